@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, sharding
+from . import decontam, jaccard, langid, linededup, packing, quality, sharding, suffixdedup
 from .runtime import table
 
 
@@ -32,9 +32,38 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "n_lines", "n_flagged", "n_removed", "text")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("_key")
+
+
+_QUERIES = (
+    op1_packing,
+    op2_decontamination,
+    op3_sharding,
+    op4_quality_rules,
+    op5_line_dedup,
+    op6_language_id,
+    op8_suffix_array_dedup,
+    op9_jaccard_join,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_sharding, op4_quality_rules, op6_language_id)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": linededup.oracle()}
