@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, linededup, packing, quality, sharding, suffixdedup
+from . import decontam, extraction, jaccard, langid, linededup, lmscore, packing, quality, sharding, suffixdedup
 from .runtime import table
 
 
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_flagged", "n_removed", "text")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -49,6 +53,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as of good quality and not toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return lmscore.score(docs, lmscore.fit(docs, docs.join(good, "doc_id", "left_semi")))
+
+
 _QUERIES = (
     op1_packing,
     op2_decontamination,
@@ -56,8 +67,10 @@ _QUERIES = (
     op4_quality_rules,
     op5_line_dedup,
     op6_language_id,
+    op7_html_extraction,
     op8_suffix_array_dedup,
     op9_jaccard_join,
+    op10_lm_scoring,
 )
 
 
