@@ -1,15 +1,524 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine: each applies an operator to the bound test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..functions.similarity import indel, with_token_set_ratio
+from ..operators import analytics as A
+from ..operators import feedback as B
+from ..operators import gates as G
+from ..operators import log as L
+from ..operators import migrate as M
+from ..operators import projection as P
+from ..operators import ranking as R
+from ..sources import bind, files
+from ..sources.bind import PROJECT, TODAY
+from . import oracle
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _number(slug: Column) -> Column:
+    return F.regexp_extract(slug, r"\d+", 0).cast("bigint")
+
+
+def _projection(s: SparkSession, d: str) -> DataFrame:
+    return P.reproject(bind.facts(s, d), bind.wal(s, d))
+
+
+def _keyword(s: SparkSession, d: str) -> DataFrame:
+    return P.keyword_tf(bind.facts(s, d))
+
+
+def _aged(s: SparkSession, d: str) -> DataFrame:
+    return P.mark_stale(_projection(s, d), TODAY)
+
+
+def _literals(s: SparkSession, name: str) -> DataFrame:
+    return s.createDataFrame(list(enumerate(oracle.LITERALS[name])), "i bigint, v string")
+
+
+# --- scans --------------------------------------------------------------------
+
+
+@query
+def wal_scan(s, d):
+    return L.scan(bind.wal_lines(s, d))
+
+
+@query
+def wal_validate(s, d):
+    return L.validate_report(bind.wal_lines(s, d, malformed=True))
+
+
+@query
+def wal_keyed(s, d):
+    return L.keyed(bind.wal(s, d)).select("line_no", "event", "project", "slug", "key")
+
+
+@query
+def list_parse(s, d):
+    return _literals(s, "lists").select("i", F.array_join(X.parse_list(F.col("v")), "/").alias("items"))
+
+
+@query
+def content_sha(s, d):
+    return bind.facts(s, d).select("slug", "content_sha")
+
+
+@query
+def scope_union(s, d):
+    f = bind.facts(s, d).select("slug", "project")
+    return files.scope_union(f.filter(F.col("project") == PROJECT), f.filter("project = 'src0'"))
+
+
+@query
+def frontmatter(s, d):
+    doc = F.concat(F.lit('---\nname: "'), "name", F.lit('"\nkeywords: [a, b]\n---\n'), F.col("body"))
+    p = bind.facts(s, d).filter("instr(name, '\"') = 0 and instr(name, '\n') = 0").select("slug", files.parse_frontmatter(doc).alias("p"))
+    return p.select("slug", F.col("p.fm")["name"].alias("name"), F.length("p.body").alias("body_chars"))
+
+
+@query
+def transcript_text(s, d):
+    return B.transcript_text(bind.transcripts(s, d))
+
+
+@query
+def transcript_metrics(s, d):
+    return B.transcript_metrics(bind.transcripts(s, d))
+
+
+@query
+def append_dedup(s, d):
+    w = bind.wal(s, d)
+    return L.append_dedup(w.filter("line_no % 2 = 0"), w.filter("line_no % 2 = 1"))
+
+
+@query
+def session_set_union(s, d):
+    def lists(event: str) -> DataFrame:
+        return bind.wal(s, d).filter(F.col("event") == event).groupBy("session").agg(F.array_sort(F.collect_set("target")).alias("slugs"))
+
+    return R.session_set_union(lists("inject"), lists("recall")).select("session", F.array_join(F.array_sort("slugs"), ",").alias("slugs"))
+
+
+@query
+def envelope_json(s, d):
+    return files.envelope(rank_topk(s, d))
+
+
+# --- filters --------------------------------------------------------------------
+
+
+@query
+def domain_filter(s, d):
+    return R.eligible(_projection(s, d), domains=["en", "fr"]).select("slug", "project")
+
+
+@query
+def scope_filter(s, d):
+    return R.scoped(_projection(s, d), PROJECT).select("slug", "project")
+
+
+@query
+def guarded_path(s, d):
+    return _literals(s, "paths").select(F.col("v").alias("path"), G.guarded_relative(F.col("v")).alias("rel"))
+
+
+@query
+def ignore_match(s, d):
+    return bind.facts(s, d).select(F.concat("skill", F.lit("/"), "slug").alias("path")).withColumn("ignored", G.ignored(F.col("path"), ["spark/**", "!spark/k1*.md", "**"]))
+
+
+@query
+def empty_status(s, d):
+    bad = F.when(F.col("doc_id") % 17 == 3, F.lit("---\nname: x\nstatus:\n---\n")).otherwise(F.lit("---\nname: x\nstatus: active\n---\n"))
+    return A.empty_status(bind.facts(s, d).withColumn("body", F.concat(bad, "body")))
+
+
+@query
+def tombstones(s, d):
+    return R.tombstones(bind.requests(s, d), bind.facts(s, d))
+
+
+# --- folds and projection ----------------------------------------------------------
+
+
+@query
+def wal_agg(s, d):
+    return L.aggregates(L.keyed(bind.wal(s, d)))
+
+
+@query
+def session_verdicts(s, d):
+    return L.session_verdicts(L.keyed(bind.wal(s, d))).select("key", "session", "useful")
+
+
+@query
+def lifecycle_status(s, d):
+    return L.lifecycle(L.keyed(bind.wal(s, d)))
+
+
+@query
+def holdout_remaining(s, d):
+    return L.holdout_remaining(L.keyed(bind.wal(s, d)))
+
+
+@query
+def reproject(s, d):
+    return _r6(_projection(s, d), "effectiveness").drop("description", "domains")
+
+
+@query
+def effectiveness(s, d):
+    return _r6(_projection(s, d), "effectiveness").select("slug", "project", "effectiveness")
+
+
+@query
+def graduation(s, d):
+    return P.graduation(bind.facts(s, d), bind.wal(s, d))
+
+
+@query
+def reconcile(s, d):
+    f = bind.facts(s, d)
+    return P.reconcile(_projection(s, d), f.filter(_number(F.col("slug")) % 3 != 0), bind.wal(s, d), [])
+
+
+@query
+def keyword_tf(s, d):
+    return _keyword(s, d)
+
+
+@query
+def overlap(s, d):
+    return R.overlap(R.terms_of(bind.requests(s, d)), _keyword(s, d))
+
+
+@query
+def mark_stale(s, d):
+    return _aged(s, d).select("slug", "project", "status")
+
+
+# --- ranking ---------------------------------------------------------------------
+
+
+@query
+def rank_topk(s, d):
+    return _r6(R.rank_topk(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT), "score")
+
+
+@query
+def score(s, d):
+    r = bind.requests(s, d).filter("query_id = 0")
+    over = R.overlap(R.terms_of(r), _keyword(s, d)).drop("query_id")
+    rows = _projection(s, d).join(over, "slug", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("bigint")))
+    return _r6(rows.select("slug", "project", "overlap", (3 * F.col("overlap") + R.static_score(F.lit(TODAY), F.lit(PROJECT))).alias("score")), "score")
+
+
+@query
+def recency(s, d):
+    return _r6(_projection(s, d).select("slug", "project", R.recency(F.col("last_injected"), F.col("created"), F.lit(TODAY)).alias("recency")), "recency")
+
+
+@query
+def recall_topk(s, d):
+    live = bind.facts(s, d).filter(_number(F.col("slug")) % 6 != 5)
+    return _r6(R.recall_topk(bind.requests(s, d), _aged(s, d), _keyword(s, d), live, TODAY, PROJECT).withColumn("rank", F.col("rank").cast("bigint")), "score")
+
+
+@query
+def skill_topk(s, d):
+    return _r6(R.skill_topk(_projection(s, d), bind.facts(s, d), TODAY, PROJECT), "score")
+
+
+@query
+def degraded_rank(s, d):
+    return _r6(R.degraded_rank(bind.requests(s, d), bind.facts(s, d), TODAY, PROJECT), "score")
+
+
+def _ranked(s, d, k: int) -> DataFrame:
+    return R.rank_topk(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT, k)
+
+
+@query
+def inject_topk(s, d):
+    p = _projection(s, d).select("slug")
+    held, done = p.filter(_number(F.col("slug")) % 5 == 1), p.filter((_number(F.col("slug")) % 7 == 2))
+    return R.inject_topk(_ranked(s, d, 200), held, done)
+
+
+@query
+def inject_render(s, d):
+    return R.inject_render(rank_topk(s, d), bind.facts(s, d)).select("query_id", "rank", "slug", F.octet_length("chunk").alias("bytes"))
+
+
+@query
+def skill_render(s, d):
+    ranked = R.skill_topk(_projection(s, d), bind.facts(s, d), TODAY, PROJECT).withColumnRenamed("skill", "query_id")
+    f = bind.facts(s, d)
+    return R.skill_render(ranked.join(f.select("slug", "project"), "slug"), f).select(F.col("query_id").alias("skill"), "rank", "slug", F.octet_length("chunk").alias("bytes"))
+
+
+@query
+def memindex_render(s, d):
+    return R.memindex(bind.facts(s, d), budget=4000)
+
+
+# --- feedback -----------------------------------------------------------------------
+
+
+def _delivered(s, d) -> DataFrame:
+    c = bind.transcripts(s, d).select("session", F.substring("session", 2, 20).cast("bigint").alias("n")).distinct()
+    f = bind.facts(s, d).select("slug", "name", "evidence", (F.col("doc_id") % 50).alias("m"))
+    return c.withColumn("m", F.col("n") % 50).join(f, "m").select("session", "slug", "name", "evidence")
+
+
+@query
+def classify(s, d):
+    return B.classify(B.transcript_text(bind.transcripts(s, d)), _delivered(s, d))
+
+
+@query
+def close_events(s, d):
+    return B.close_events(classify(s, d), bind.facts(s, d), B.transcript_metrics(bind.transcripts(s, d)), TODAY)
+
+
+@query
+def holdout_clean(s, d):
+    k = L.keyed(bind.wal(s, d))
+    return B.holdout_clean(k.filter("event = 'holdout-skip'"), k.filter("event = 'inject'"))
+
+
+# --- analytics ------------------------------------------------------------------------
+
+
+@query
+def session_metrics(s, d):
+    return A.session_metrics(bind.wal(s, d))
+
+
+@query
+def calibration(s, d):
+    return _r6(A.calibration(bind.wal(s, d)), "rate")
+
+
+@query
+def profile_signals(s, d):
+    return _r6(A.profile_signals(bind.wal(s, d), bind.facts(s, d), TODAY), "intuition")
+
+
+@query
+def profile_fractions(s, d):
+    return _r6(A.profile_fractions(bind.wal(s, d), bind.facts(s, d), TODAY), "ambient_fraction", "bayesian_fraction")
+
+
+@query
+def weaknesses(s, d):
+    return A.weaknesses(bind.facts(s, d))
+
+
+@query
+def strengths(s, d):
+    return A.strengths(bind.facts(s, d))
+
+
+@query
+def open_quanta_30d(s, d):
+    return A.open_quanta(bind.wal(s, d), TODAY)
+
+
+@query
+def wal_errors_7d(s, d):
+    return A.wal_errors(bind.wal(s, d), TODAY)
+
+
+@query
+def corpus_counts(s, d):
+    return A.corpus_counts(bind.facts(s, d), _aged(s, d))
+
+
+@query
+def candidate_check(s, d):
+    return A.candidate_check(bind.facts(s, d), bind.wal(s, d))
+
+
+@query
+def doctor(s, d):
+    bad = F.when(F.col("doc_id") % 17 == 3, F.lit("---\nstatus:\n---\n")).otherwise(F.lit(""))
+    f = bind.facts(s, d)
+    return A.doctor(f.withColumn("body", F.concat(bad, "body")), P.reproject(f, bind.wal(s, d)), bind.wal(s, d), TODAY)
+
+
+@query
+def useful_streak(s, d):
+    return A.useful_streak(bind.wal(s, d))
+
+
+@query
+def promote(s, d):
+    return A.promote(bind.facts(s, d), bind.wal(s, d))
+
+
+@query
+def ablate_report(s, d):
+    return _r6(A.ablate_report(bind.wal(s, d)), "rate")
+
+
+@query
+def ab_pool(s, d):
+    return A.ab_pool(bind.wal(s, d))
+
+
+@query
+def ab_eval_sessions(s, d):
+    return A.ab_eval_sessions(bind.wal(s, d)).withColumn("useful", F.array_join("useful", ","))
+
+
+@query
+def ab_signals(s, d):
+    return A.ab_signals(bind.wal(s, d))
+
+
+@query
+def ab_replay(s, d):
+    return _r6(A.ab_replay(bind.wal(s, d)), "recall")
+
+
+@query
+def ab_random(s, d):
+    return _r6(A.ab_random(bind.wal(s, d)), "recall")
+
+
+# --- migration ----------------------------------------------------------------------------
+
+
+@query
+def wal_active(s, d):
+    return M.wal_active(bind.wal(s, d))
+
+
+@query
+def prune_plan(s, d):
+    return M.prune_plan(bind.facts(s, d).withColumn("ref_count", F.col("doc_id") % 3), bind.wal(s, d), TODAY)
+
+
+@query
+def migrate_route(s, d):
+    f = bind.facts(s, d)
+    names = f.select("project").distinct().filter(F.substring("project", 4, 9).cast("int") % 2 == 0).select("project", F.concat(F.lit("/home/u/"), "project").alias("cwd"))
+    return M.route(f, names)
+
+
+@query
+def migrate_slugs(s, d):
+    f = bind.facts(s, d).select(F.col("type").alias("dir"), F.col("project").alias("sub"), F.col("doc_id").alias("walk"), F.concat("skill", F.col("doc_id") % 40).alias("slug"))
+    return M.allocate(f)
+
+
+@query
+def migrate_native(s, d):
+    f, n = bind.facts(s, d), F.col("doc_id")
+    cause = F.when(n % 4 == 0, F.concat(F.lit("cause "), n)).otherwise(F.lit(""))
+    return M.to_native(f.withColumns({"name": F.when(n % 2 == 0, F.col("name")).otherwise(F.lit("")), "root_cause": cause, "prevention": F.lit("")}))
+
+
+# --- scalar functions and gates ---------------------------------------------------------
+
+
+@query
+def tokenize(s, d):
+    return bind.facts(s, d).select("slug", F.array_join(X.tokenize(F.col("body")), " ").alias("tokens"))
+
+
+@query
+def query_terms(s, d):
+    return R.terms_of(bind.requests(s, d))
+
+
+@query
+def default_process(s, d):
+    return bind.facts(s, d).select("slug", X.default_process(F.col("body")).alias("processed"))
+
+
+@query
+def truncate_desc(s, d):
+    return bind.facts(s, d).select("slug", X.truncate(F.col("description")).alias("description"))
+
+
+@query
+def cap_body(s, d):
+    return bind.facts(s, d).select("slug", F.octet_length(X.cap_body(F.col("body"))).alias("bytes"))
+
+
+@query
+def sanitize(s, d):
+    v = F.col("v")
+    return _literals(s, "names").select("i", X.sanitize(v).alias("sanitized"), X.safe_name(v).alias("safe"), X.bare_slug(v).alias("bare"))
+
+
+@query
+def root_cause(s, d):
+    f = bind.facts(s, d)
+    return f.select("slug", X.root_cause(F.concat(F.lit("name: x\nroot-cause: '"), F.translate("name", "\n'\"|>", "     "), F.lit("'\n"))).alias("cause"))
+
+
+@query
+def secrets_scan(s, d):
+    w = bind.table(s, d, "documents").select("doc_id", X.secret_hits(F.col("text")).alias("h"))
+    return w.select("doc_id", "h.by_key", "h.by_value")
+
+
+@query
+def guard(s, d):
+    docs = bind.table(s, d, "documents")
+    path = F.concat(F.lit("/home/u/projects/"), "source", F.lit("/memory/k"), "doc_id", F.lit(".md"))
+    return G.guard(docs.select(F.col("doc_id").alias("write_id"), path.alias("path"), F.array("text", F.lit(None).cast("string")).alias("payload")), ["k9/**"])
+
+
+def _neighbours(s, d) -> DataFrame:
+    w = Window.partitionBy("project").orderBy("doc_id")
+    return bind.facts(s, d).select("slug", "name", F.lead("name").over(w).alias("other")).filter("other is not null")
+
+
+@query
+def indel_distance(s, d):
+    return _neighbours(s, d).select("slug", indel("name", "other").alias("distance"))
+
+
+@query
+def token_set_ratio(s, d):
+    return _r6(with_token_set_ratio(_neighbours(s, d), "name", "other").select("slug", "score"), "score")
+
+
+@query
+def dedup_check(s, d):
+    known = bind.facts(s, d).filter("type = 'mistake'").select(F.col("slug").alias("id"), F.col("name").alias("cause"), F.col("doc_id").alias("ord"))
+    new = bind.requests(s, d).select(F.col("query_id").alias("new_id"), F.substring("text", 1, 40).alias("cause"))
+    return _r6(G.dedup_check(new, known), "score")
+
+
+def queries() -> dict[str, Query]:
+    """Name -> query; every query runs over its whole tables."""
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name -> DuckDB SQL, for the queries that SQL can express."""
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
