@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, small_batches
 from .textkit import LOWER, chunks, ngram_hash, prefix_hash, span_hash, word_spans
 
 #: Words of a seed, item positions among which the rarest seeds are taken, and how many there.
@@ -182,6 +182,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     are judged each; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_key"))
     grams = materialize(item_grams(items), "item-grams")
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import discard, materialize, partitions
+from .runtime import discard, materialize, partitions, small_batches
 from .textkit import chunks, shingles, words_of
 
 #: log2 of the frequency table's buckets, and buckets in one of its rows.
@@ -296,6 +296,7 @@ def jaccard_components(docs: DataFrame, gram: int = 4, threshold: tuple[int, int
     repeated rows give repeated rows; a null doc_id takes part and never is the
     least one; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("_key"))
     entries = _entries(base, shingle_frequency(base, gram, lower), gram, lower, threshold)
     all_rows = materialize(entries.filter("token is not null or key is not null").select("token", "sid", "size", "pos", "key"), "jaccard-entries")

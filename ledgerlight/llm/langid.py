@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import small_batches
+
 #: Labelled texts taken at most (those whose id hashes lowest), words kept per language, n-gram length and n-grams kept.
 SAMPLE, VOCABULARY, MAX_GRAM, GRAMS = 4000, 20_000, 4, 40_000
 #: Factor for each character that an n-gram is shorter than the longest, and words remembered by a worker.
@@ -122,6 +124,7 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
     Counting is distributed; the driver gets the kept words and n-grams only:
     at most ``VOCABULARY`` words per language and ``GRAMS`` n-grams per language.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col(key), "text").alias("_h"))
     last = rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]  # ids only: texts of other rows aren't moved
     rows = rows.filter(F.col("_h") <= F.lit(0 if last is None else last)).limit(sample).select("lang", "text").repartition(8)
@@ -157,6 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language in alphabetical order; rows are neither added nor dropped.  If the
     input has columns named lang_pred or score, these are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

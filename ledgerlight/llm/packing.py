@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import small_batches
+
 WINDOW = 2048
 EOS = 1
 #: Costs, in tokens of padding: of any sequence, of a cut at a sentence end inside a document, of a cut elsewhere inside one.
@@ -199,6 +201,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     a null ``doc_id`` is kept; repeated rows are packed as often as they occur;
     texts of any length are cut as often as needed; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

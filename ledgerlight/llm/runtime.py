@@ -57,6 +57,12 @@ def release(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/ledgerlight-{spark.sparkContext.applicationId}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is sent to a Python worker at once, in rows and in bytes, so that long texts don't pile up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, partitions
+from .runtime import discard, materialize, partitions, small_batches
 from .textkit import chunks, mix, powers, prefix_hash, span_hash
 
 LENGTH, ANCHOR, SHALLOW = 200, 64, 16
+#: Bytes of contexts whose suffixes are sorted together (one anchor's are never parted).
+JUDGED_BYTES = 1 << 19
 _HIGH = np.uint64(2**64 - 1)
 
 
@@ -178,7 +180,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             if not parts or row[:2] != parts[-1][:2]:  # repeated rows give a context more than once
                 parts.append(row)
                 size += len(row[4])
-            if k + 1 == len(rows) or row[0] != rows[k + 1][0] and size > 1 << 21:
+            if k + 1 == len(rows) or row[0] != rows[k + 1][0] and size > JUDGED_BYTES:
                 out += found(parts)
                 parts, size = [], 0
         columns = list(zip(*out)) if out else [[]] * 4
@@ -206,6 +208,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Per text key (``docs`` has key, text): array of the byte ranges to remove, merged, in order; texts without any are left out."""
+    small_batches(docs.sparkSession)
     occurrences = _occurrences(docs.select("key", "text"), length, anchor)
     w = Window.partitionBy("anchor")
     flagged = (

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
