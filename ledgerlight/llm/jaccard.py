@@ -13,7 +13,7 @@ in blocks; a block is skipped when its largest remaining length (size minus
 position) cannot give the overlap that its smallest size asks for.
 
 *Answer-level skipping.*  A set first asks only one other set, its leader: the
-set that heads most of its lists.  If the two are similar, their answers hold for
+set that heads most of its lists (least edited sets do).  If the two are similar, their answers hold for
 one component, so that the members of a large group of near copies are not
 compared with one another.  Afterwards lists are read again for the pairs that
 are still in different components, and these are compared exactly.  No link is
@@ -158,9 +158,10 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 
 def _leaders(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Entries of lists of two sets or more, with the list's leader for the set's size band (the least sid there).
+    """Entries of lists of two sets or more, with the list's leader for the set's size band.
 
-    Streams through the sorted rows and keeps one row, so a list of any length passes.
+    The leader is the set in which the fewest rarer shingles come first: the
+    least edited member of a group of near copies.  Streams through the sorted rows and keeps one row, so a list of any length passes.
     """
     step = np.log(t[1] / t[0])
 
@@ -198,7 +199,7 @@ def _leaders(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
 
     OUT = ["token", "sid", "size", "pos", "lsid", "lsize", "lpos"]
     lists = entries.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(float(step))).cast("int"))
-    lists = lists.repartition(partitions(entries.sparkSession), "token").sortWithinPartitions("token", "band", "sid")
+    lists = lists.repartition(partitions(entries.sparkSession), "token").sortWithinPartitions("token", "band", "pos", "sid")
     return lists.mapInArrow(run, "token long, sid long, size int, pos int, lsid long, lsize int, lpos int")
 
 
