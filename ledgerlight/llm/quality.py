@@ -141,3 +141,24 @@ def apply_rules(docs: DataFrame) -> DataFrame:
         limits.append(limit.alias(f"max_{r}"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return joined.select(*[F.col(f"a.{c}") for c in columns], (~F.col("a.base_failed") & within).alias("kept"), *limits)
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query's rows; quantiles are exact, as summaries of groups under some ten thousand rows are."""
+    return r"""
+WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM base),
+grams AS (SELECT rid, i, array_to_string(w[i:i + 4], chr(1)) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM base) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+counted AS (SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines l ON l.rid = w.rid LEFT JOIN covered c ON c.rid = w.rid),
+rated AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS a, n_dup_lines / greatest(n_lines, 1) AS b, n_repeat_words / greatest(n_words, 1) AS c FROM counted),
+q AS (SELECT lang, source, count(*) AS n, quantile_disc(a, [0.5, 0.9]) AS a, quantile_disc(b, [0.5, 0.9]) AS b, quantile_disc(c, [0.5, 0.9]) AS c FROM rated WHERE NOT base_failed GROUP BY lang, source HAVING count(*) >= 50),
+p AS (SELECT lang, quantile_disc(a, [0.5, 0.9]) AS a, quantile_disc(b, [0.5, 0.9]) AS b, quantile_disc(c, [0.5, 0.9]) AS c FROM rated WHERE NOT base_failed GROUP BY lang),
+lim AS (SELECT r.*, coalesce(q.a, p.a) AS qa, coalesce(q.b, p.b) AS qb, coalesce(q.c, p.c) AS qc FROM rated r LEFT JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND a <= coalesce(greatest(qa[2] + 3 * (qa[2] - qa[1]), 0.1), 0.1) AND b <= coalesce(greatest(qb[2] + 3 * (qb[2] - qb[1]), 0.3), 0.3) AND c <= coalesce(greatest(qc[2] + 3 * (qc[2] - qc[1]), 0.2), 0.2) AS kept FROM lim
+"""

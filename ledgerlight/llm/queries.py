@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.oracle()}
+    return {"op4_quality_rules": quality.oracle(), "op5_line_dedup": linededup.oracle()}
