@@ -313,14 +313,18 @@ def jaccard_components(docs: DataFrame, gram: int = 4, threshold: tuple[int, int
     first = materialize(asked.groupBy("sid").agg(F.max_by("lsid", F.struct("n", F.col("lsid"))).alias("a")).select("a", F.col("sid").alias("b")), "jaccard-leaders")
     wanted = lists.filter(_reachable(threshold)).select("sid").distinct()
     one = heads.groupBy("sid").agg(F.min("key").alias("key")).join(wanted, "sid", "left_semi")
-    texts = base.join(one.withColumnRenamed("key", "_key"), "_key").dropDuplicates(["sid"]).select("sid", "text")
+    # Joined by sorting at every size: what fits a broadcast on a small corpus would not on a large one.
+    one = one.withColumnRenamed("key", "_key").hint("merge")
+    texts = base.select("_key", "text").join(one, "_key").dropDuplicates(["_key"]).select("sid", "text")  # no further shuffle
     texts = materialize(texts, "jaccard-texts")
     links = materialize(_verified(first, texts, gram, lower, threshold), "jaccard-links")
     labels = connected_components(links)
 
     located = lists.select("token", "sid", "size", "pos").join(labels.withColumnRenamed("v", "sid"), "sid", "left")
     cross = materialize(_cross_pairs(located.select("token", "sid", "size", "pos", F.coalesce("label", "sid").alias("comp")), threshold), "jaccard-cross")
-    more = _verified(cross, texts, gram, lower, threshold)
+    discard(lists)
+    more = materialize(_verified(cross, texts, gram, lower, threshold), "jaccard-links")
+    discard(texts)
     labels = connected_components(links.union(more))
 
     member = heads.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("key", "n_shingles", F.coalesce("label", "sid").alias("label"))
