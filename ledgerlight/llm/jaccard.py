@@ -291,8 +291,9 @@ def jaccard_components(docs: DataFrame, gram: int = 4, threshold: tuple[int, int
 
     ``threshold`` is a fraction: two texts link when intersection * denominator
     >= numerator * union.  Returns one row per input row: doc_id, n_shingles,
-    component_id (least doc_id reachable, itself included) and _key (hash of id
-    and text).  A null, empty or blank text has an empty set and is linked with
+    component_id (least doc_id reachable, itself included), first (whether the
+    row stands for its component: the least doc_id, one without id only if all
+    are) and _key (hash of id and text).  A null, empty or blank text has an empty set and is linked with
     nothing, so its component is its own doc_id; equal texts are linked;
     repeated rows give repeated rows; a null doc_id takes part and never is the
     least one; an empty table gives no rows; other columns are not read.
@@ -330,9 +331,17 @@ def jaccard_components(docs: DataFrame, gram: int = 4, threshold: tuple[int, int
     member = heads.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("key", "n_shingles", F.coalesce("label", "sid").alias("label"))
     ids = base.select("doc_id", "_key").join(member.withColumnRenamed("key", "_key"), "_key")
     ids = materialize(ids, "jaccard-members")
-    least = ids.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_key")
+    least = ids.filter("n_shingles > 0").groupBy("label").agg(F.min(order).alias("least"))
     out = ids.join(least, "label", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "_key")
+    linked = F.col("n_shingles") > 0
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~linked | (F.col("least._key") == F.col("_key"))).alias("first"),
+        "_key",
+    )
 
 
 def _reachable(t: tuple[int, int]):
@@ -344,6 +353,6 @@ def _reachable(t: tuple[int, int]):
 def keep_one_per_group(docs: DataFrame, gram: int = 5, threshold: tuple[int, int] = (80, 100), lower: bool = True) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the least doc_id, and one of repeated rows."""
     found = jaccard_components(docs, gram, threshold, lower)
-    keep = found.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("_key").distinct()
+    keep = found.filter("first").select("_key").distinct()
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

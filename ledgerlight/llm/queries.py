@@ -50,7 +50,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("_key")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("first", "_key")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

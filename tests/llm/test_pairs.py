@@ -55,6 +55,10 @@ def test_keep_one(spark):
     rows = corpus()
     kept = {r["doc_id"] for r in jaccard.keep_one_per_group(H.clashing(H.documents(spark, rows))).collect()}
     assert kept == {i for i, (_, c) in enumerate(H.components(rows, 5, 80, 100)) if c == i}
+    w = H.prose(8, 60)
+    near = [" ".join(w), " ".join(w[:-1]), " ".join(w[1:])]
+    assert jaccard.keep_one_per_group(H.documents(spark, [(None, t) for t in near])).count() == 1
+    assert [r["doc_id"] for r in jaccard.keep_one_per_group(H.documents(spark, [(None, near[0]), (4, near[1]), (9, near[2])])).collect()] == [4]
 
 
 def test_components_of_a_chain(spark):
