@@ -157,7 +157,7 @@ def with_(*parts: str, select: str) -> str:
 
 LITERALS = {
     "lists": ["[a, \"b\", 'c d']", "x, y ,, z", "single", "", "[]"],
-    "paths": ["/home/u/.claude/memory/a.md", "/home/u/projects/p1/memory/sub/b.md", "/etc/passwd", "/home/u/.claude/global/x/y.md", "/projects/memory/z.md"],
+    "paths": ["/home/u/.agent/memory/a.md", "/home/u/projects/p1/memory/sub/b.md", "/etc/passwd", "/home/u/.agent/global/x/y.md", "/projects/memory/z.md"],
     "names": ["a b/c|d", "", "x\ny", "ok-1_2.md"],
 }
 
@@ -187,7 +187,7 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "skill_topk": with_(ALL, select=f"""SELECT skill, rank, slug, round(score, 6) AS score FROM (SELECT f.skill, p.slug, {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} AS score, row_number() OVER (PARTITION BY f.skill ORDER BY {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} DESC, p.slug, p.project) AS rank FROM proj p JOIN (SELECT slug, project, skill FROM facts WHERE type = 'skill-learning') f ON p.slug = f.slug AND p.project = f.project) WHERE rank <= 5"""),
     "wal_errors_7d": with_(wal(), select=f"SELECT event, count(*) AS n FROM wal WHERE event IN {_in(ERROR_EVENTS)} AND date >= strftime({_T} - 7, '%Y-%m-%d') GROUP BY event"),
     "open_quanta_30d": with_(wal(), QUANTA, select="SELECT *, CASE WHEN sessions > 0 AND open / sessions >= 0.5 THEN 'WARN' ELSE 'OK' END AS status FROM quanta"),
-    "guarded_path": with_(values("paths"), select="""SELECT v AS path, CASE WHEN starts_with(v, '/home/u/.claude/memory/') THEN substr(v, 24) WHEN starts_with(v, '/home/u/.claude/global/') THEN substr(v, 24) ELSE nullif(regexp_extract(v, '/projects/[^/]+/memory/(.+)$', 1), '') END AS rel FROM paths"""),
+    "guarded_path": with_(values("paths"), select="""SELECT v AS path, CASE WHEN starts_with(v, '/home/u/.agent/memory/') THEN substr(v, 23) WHEN starts_with(v, '/home/u/.agent/global/') THEN substr(v, 23) ELSE nullif(regexp_extract(v, '/projects/[^/]+/memory/(.+)$', 1), '') END AS rel FROM paths"""),
     "tombstones": with_(FACTS, REQUESTS, TERMS, select=f"SELECT DISTINCT query_id, slug, project FROM terms JOIN (SELECT slug, project, unnest({tokens(_FULL.replace(', body', ''))}) AS term FROM facts) USING (term)"),
     "prune_plan": with_(wal(), FACTS, select=f"""SELECT slug, project, status <> 'pinned' AND doc_id % 3 = 0 AND ((2024 - CAST(substr(created, 1, 4) AS INT)) * 365 + (1 - CAST(substr(created, 6, 2) AS INT)) * 30 + 31 - CAST(substr(created, 9, 2) AS INT)) > 30
   AND bare NOT IN (SELECT regexp_replace(target, '\\.md$', '') FROM wal WHERE event IN {_in(ACTIVE_EVENTS)} AND target IS NOT NULL) AS pruned FROM facts"""),
