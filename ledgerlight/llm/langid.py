@@ -91,7 +91,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the evidence, 0 to 1; ``und`` and 0 for a text without letters."""
         found = _WORD.findall(text.lower()) if text and self.langs else []
-        if not found:
+        if not any(c.isalpha() for w in found for c in w):  # superscripts and the like are no letters
             return "und", 0.0
         if self.rows is None or len(self.rows) > len(self.words) + REMEMBERED:
             self.rows = _Rows(self)

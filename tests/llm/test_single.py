@@ -168,7 +168,7 @@ def test_language_on_held_out_documents(spark):
 def test_language_edge_cases(spark):
     rows = [(i, "the and of with", "en") for i in range(4)] + [(10 + i, "und der die das", "de") for i in range(4)]
     model = langid.train(H.documents(spark, rows))
-    tests = H.documents(spark, [(1, None), (2, ""), (3, "123 -- !"), (4, "the"), (5, "der"), (6, "unden"), (6, "unden")])
+    tests = H.documents(spark, [(1, None), (2, ""), (3, "123 -- ! ² ½"), (4, "the"), (5, "der"), (6, "unden"), (6, "unden")])
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(H.clashing(tests), model).collect()]
     assert got == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (6, "de"), (6, "de")]
     none = langid.train(H.documents(spark, []))
