@@ -12,7 +12,8 @@ from ..schema import INDEX_BYTES, MAX_BODY_BYTES, MAX_TOTAL_BYTES, RECALL_SPARE,
 def recency(last_injected: Column, created: Column, today: Column) -> Column:
     """1 / (1 + days / 30) since last use, or creation if never used; 0 where that date doesn't parse."""
     day = F.try_to_date(F.when(F.coalesce(last_injected, F.lit("")) != "", last_injected).otherwise(created), "yyyy-MM-dd")
-    return F.coalesce(1 / (1 + F.greatest(F.date_diff(today.cast("date"), day), F.lit(0)) / RECENCY_DAYS), F.lit(0.0))
+    days = F.date_diff(today.cast("date"), day)
+    return F.when(days.isNull(), 0.0).otherwise(1 / (1 + F.greatest(days, F.lit(0)) / RECENCY_DAYS))
 
 
 def gate(effectiveness: Column) -> Column:

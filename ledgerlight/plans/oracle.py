@@ -106,7 +106,8 @@ proj AS (SELECT slug, content_sha, type, name, description, project, domains, co
 
 def recency(last: str, created: str, today: str) -> str:
     day = f"CASE WHEN coalesce({last}, '') <> '' THEN {last} ELSE {created} END"
-    return f"coalesce(1 / (1 + greatest(date_diff('day', CASE WHEN regexp_full_match({day}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({day} AS DATE) END, {today}), 0) / 30.0), 0)"
+    days = f"date_diff('day', CASE WHEN regexp_full_match({day}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({day} AS DATE) END, {today})"
+    return f"CASE WHEN {days} IS NULL THEN 0 ELSE 1 / (1 + greatest({days}, 0) / 30.0) END"
 
 
 _T = f"DATE '{TODAY}'"
