@@ -54,9 +54,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target are the documents labelled as of good quality and not toxic."""
+    """The target are the documents labelled as of good quality and not toxic.
+
+    The labels grow with the documents, so the join sorts at every size.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct().hint("merge")
     return lmscore.score(docs, lmscore.fit(docs, docs.join(good, "doc_id", "left_semi")))
 
 
