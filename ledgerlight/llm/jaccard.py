@@ -262,8 +262,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, gram: int, lower: bool, t: tup
     n_groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     split = n_groups.filter("groups > 1")
     salted = pairs.join(split, "a", "left").withColumn("g", F.pmod(F.xxhash64("b"), F.coalesce(F.col("groups"), F.lit(1))).cast("int"))
-    partners = salted.select("a", "g", F.col("b").alias("sid")).join(texts, "sid").select("a", "g", "sid", "text")
-    owners = n_groups.select(F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(texts, "sid").select(F.col("sid").alias("a"), "g", "sid", "text")
+    partners = salted.select("a", "g", F.col("b").alias("sid")).join(texts.hint("merge"), "sid").select("a", "g", "sid", "text")
+    owners = n_groups.select(F.col("a").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(texts.hint("merge"), "sid").select(F.col("sid").alias("a"), "g", "sid", "text")
     rows = partners.union(owners).withColumn("own", F.col("sid") != F.col("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
