@@ -106,6 +106,11 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int, int]:
     return best
 
 
+def reach(n: int, threshold: float) -> int:
+    """Gap words that an alignment of ``n`` item words can hold and still score ``threshold``: each costs one of 2n points."""
+    return int(2 * n * (1 - threshold) + 1e-9) + 1
+
+
 def item_grams(items: DataFrame) -> DataFrame:
     """(item_id, pos, gram) of all items with at least ``MIN_WORDS`` words."""
 
@@ -227,7 +232,7 @@ def _searcher(spark, seeds: list[tuple[int, int, int]], by_id: dict[int, str], t
                 for (d, item), diagonals in places.items():
                     target = item_words[item]
                     n, best = len(target), (0.0, 0, 0)
-                    slack = n // 3 + 2
+                    slack = reach(n, threshold)
                     diagonals = sorted(set(diagonals))
                     k = 0
                     while k < len(diagonals):

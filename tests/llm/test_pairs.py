@@ -147,6 +147,14 @@ def test_leaks_equal_brute_force(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in expected}
 
 
+def test_leak_with_one_long_insertion(spark):
+    w = H.prose(300, 37, 10**5)
+    texts = [" ".join(H.prose(k, 40) + w[:18] + H.prose(k + 9, n) + w[18:] + H.prose(k + 20, 40)) for k, n in enumerate((20, 29, 30))]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.find_leaks(H.documents(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {0: pytest.approx(54 / 74), 1: pytest.approx(45 / 74)}
+
+
 def test_no_items_or_documents(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_leaks(H.documents(spark, [(1, "a b c")]), empty).count() == 0
