@@ -1,13 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Seeds.  Every benchmark item is split into ``SEED``-word n-grams of its
-   lower-cased words, punctuation stripped.  How many documents hold each of
-   them is counted over the whole corpus (a scan that keeps counts of the
-   item n-grams only).  An item's seeds are its rare n-grams: the least frequent
-   ones in every stretch of ``STRETCH`` positions, so that edits in one part of
-   an item leave seeds in the others.
+   lower-cased words, punctuation stripped.  An alignment that reaches the
+   threshold breaks at most once for each point it may lose, so it holds at
+   least ``shared`` of them unbroken.  How many documents hold each n-gram is
+   counted over the whole corpus (a scan that keeps counts of the item n-grams
+   only).  An item's seeds are its rare n-grams: the most frequent ones, up to
+   half of what must be shared, are left out, and so are those of no document.
 2. Candidates.  A second scan joins the n-grams of every document with the
-   seeds.  Hits of an item on nearby diagonals become one passage.
+   seeds.  Where an item has as many hits as must be shared, less those left
+   out, within the diagonals an alignment can span, they become one passage.
+   No passage that reaches the threshold is missed.
 3. Alignment.  Smith-Waterman over words scores the passage against the item.
    Its best score over the score of a full copy decides.
 
@@ -18,6 +21,7 @@ against all documents.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from .runtime import materialize, small_batches
 from .textkit import LOWER, chunks, ngram_hash, prefix_hash, span_hash, word_spans
 
-#: Words of a seed, item positions among which the rarest seeds are taken, and how many there.
-SEED, STRETCH, PER_STRETCH = 3, 6, 2
+#: Words of a seed; three can't be relied on, as a copy with a word put in after every two still scores 0.75.
+SEED = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a full copy's score, and least words of an item that count as a passage.
 THRESHOLD, MIN_WORDS = 0.6, 5
@@ -68,10 +72,22 @@ def _hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return span_hash(prefix_hash(buf), starts, ends), np.searchsorted(starts, offs), starts, ends
 
 
-def _grams(text: str | None) -> list[int]:
+def shared(n: int, threshold: float) -> tuple[int, int]:
+    """Words of the seeds of an item of ``n`` words, and how many of its positions an alignment that scores ``threshold`` has seeds at.
+
+    ``m`` matches earn 2m of the 2n points, each break between runs of matches
+    costs one, so there are at most 2m - 2n * threshold + 1 runs, which hold
+    2n * threshold - n - 1 neighbouring pairs or more.  Where that is none, the
+    matches themselves are counted.
+    """
+    pairs = math.ceil((2 * threshold - 1) * n - 1 - 1e-9)
+    return (SEED, pairs) if pairs > 0 else (1, max(1, math.ceil(threshold * n - 1e-9)))
+
+
+def _grams(text: str | None, size: int) -> list[int]:
     raw = np.frombuffer((text or "").encode(), np.uint8)
     h, _, _, _ = _hashes(raw, np.array([0, len(raw)]))
-    return ngram_hash(h, min(SEED, len(h)) or 1).view(np.int64).tolist()
+    return ngram_hash(h, size).view(np.int64).tolist()
 
 
 def align(item: list[str], passage: list[str]) -> tuple[int, int, int]:
@@ -111,21 +127,24 @@ def reach(n: int, threshold: float) -> int:
     return int(2 * n * (1 - threshold) + 1e-9) + 1
 
 
-def item_grams(items: DataFrame) -> DataFrame:
-    """(item_id, pos, gram) of all items with at least ``MIN_WORDS`` words."""
+def item_grams(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item_id, pos, gram, need) of all items with at least ``MIN_WORDS`` words; ``need``: as ``shared`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pos, grams = [], [], []
+            ids, pos, grams, needs = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is not None and len(words(t)) >= MIN_WORDS:
-                    g = _grams(t)
+                n = len(words(t))
+                if i is not None and n >= MIN_WORDS:
+                    size, need = shared(n, threshold)
+                    g = _grams(t, size)
                     ids += [i] * len(g)
+                    needs += [need] * len(g)
                     pos += range(len(g))
                     grams += g
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(grams, pa.int64())], names=["item_id", "pos", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(grams, pa.int64()), pa.array(needs, pa.int32())], names=["item_id", "pos", "gram", "need"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, pos int, gram long")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, pos int, gram long, need int")
 
 
 def document_frequency(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
@@ -138,10 +157,10 @@ def document_frequency(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
                 h, first, _, _ = _hashes(buf, offs)
-                at, doc = _hits(h, first, known)
-                if len(at):
-                    pairs = np.unique(np.stack([doc, _find(ngram_hash(h, SEED)[at], known)]), axis=1)
-                    np.add.at(counts, pairs[1], 1)
+                _, doc, slot = _hits(h, first, known)
+                if len(doc):
+                    pairs = np.unique(doc * len(known) + slot) % len(known)
+                    counts += np.bincount(pairs, minlength=len(known))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["gram", "n"])
 
@@ -153,27 +172,70 @@ def _find(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(known, values), len(known) - 1)
 
 
-def _hits(h: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions whose n-gram is in ``known`` (sorted) and stays inside one text, and their texts."""
-    grams = ngram_hash(h, SEED)
-    if not len(grams) or not len(known):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _hits(h: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word positions whose n-gram is in ``known`` (sorted) and stays inside one text, their texts, and their places in ``known``."""
+    out = [(np.zeros(0, np.int64),) * 3]
     # A bitmap of the low hash bits drops nearly all positions before the search.
     bits = np.zeros(1 << 20, bool)
     bits[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    at = np.flatnonzero(bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    at = at[known[_find(grams[at], known)] == grams[at]]
-    doc = np.searchsorted(first, at, side="right") - 1
-    inside = at + SEED <= first[doc + 1]
-    return at[inside], doc[inside]
-
-
-def choose_seeds(rows: list[tuple[int, int, int]], df: dict[int, int]) -> list[tuple[int, int, int]]:
-    """Of every item's (item_id, pos, gram), the ``PER_STRETCH`` rarest in each stretch; ties by position."""
-    groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for i, p, g in rows:
-        groups.setdefault((i, p // STRETCH), []).append((df.get(g, 0), p, g))
-    return [(i, p, g) for (i, _), found in groups.items() for _, p, g in sorted(found)[:PER_STRETCH]]
+    for size in (1, SEED):
+        grams = ngram_hash(h, size)
+        if not len(grams) or not len(known):
+            continue
+        at = np.flatnonzero(bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        slot = _find(grams[at], known)
+        same = known[slot] == grams[at]
+        at, slot = at[same], slot[same]
+        doc = np.searchsorted(first, at, side="right") - 1
+        inside = at + size <= first[doc + 1]
+        out.append((at[inside], doc[inside], slot[inside]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def choose_seeds(rows: list[tuple[int, int, int, int]], df: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """The seeds of every item's (item_id, pos, gram, need), and how many of them a passage has to hit.
+
+    Half of ``need`` less one, the most frequent n-grams, may be left out, as the others must then be hit that much
+    less often; n-grams of no document can't be hit.
+    """
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    needs = {}
+    for i, p, g, need in rows:
+        groups.setdefault(i, []).append((df.get(g, 0), p, g))
+        needs[i] = need
+    seeds = []
+    for i, found in groups.items():
+        out = needs[i] // 2
+        needs[i] -= out
+        seeds += [(i, p, g) for n, p, g in sorted(found)[: len(found) - out] if n]
+    return seeds, needs
+
+
+def _passages(pair: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, need: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(pair, least and greatest diagonal) where at least ``need`` positions of the item are hit within ``gap`` diagonals.
+
+    All arrays are by hit.  Overlapping stretches are joined.
+    """
+    order = np.lexsort((diagonal, pair))
+    pair, diagonal, pos, need, gap = (x[order] for x in (pair, diagonal, pos, need, gap))
+    width = int(diagonal.max() - diagonal.min() + gap.max() + 1)
+    key = pair * width + (diagonal - diagonal.min())
+    last = np.searchsorted(key, key + gap, side="right")  # never beyond the pair, as its keys end gap before the next one's
+    start = np.arange(len(key))
+    full = np.flatnonzero(last - start >= need)
+    open_: tuple[int, int, int] | None = None
+    for k in full.tolist():
+        if last[k] - k < 4096 and len(np.unique(pos[k : last[k]])) < need[k]:
+            continue
+        p, lo, hi = int(pair[k]), int(diagonal[k]), int(diagonal[last[k] - 1])
+        if open_ and open_[0] == p and lo <= open_[2]:
+            open_ = (p, open_[1], hi)
+        else:
+            if open_:
+                yield open_
+            open_ = (p, lo, hi)
+    if open_:
+        yield open_
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,67 +251,64 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_key"))
-    grams = materialize(item_grams(items), "item-grams")
+    grams = materialize(item_grams(items, threshold), "item-grams")
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-grams.count() // BROADCAST_SEEDS))
     out = None
     for k in range(blocks):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k
         rows = grams.filter(mine).distinct().toArrow()
-        listed = list(zip(*(rows[c].to_pylist() for c in ("item_id", "pos", "gram"))))
-        known = np.unique(np.array([g for _, _, g in listed], np.int64).view(np.uint64))
-        seeds = choose_seeds(listed, document_frequency(slim, known) if len(known) else {})
+        listed = list(zip(*(rows[c].to_pylist() for c in ("item_id", "pos", "gram", "need"))))
+        known = np.unique(np.array([x[2] for x in listed], np.int64).view(np.uint64))
+        seeds, needs = choose_seeds(listed, document_frequency(slim, known) if len(known) else {})
         wanted = {i for i, _, _ in seeds}
         block_texts = texts.filter(mine).toArrow()
         by_id = {i: t for i, t in zip(block_texts["item_id"].to_pylist(), block_texts["text"].to_pylist()) if i in wanted}
-        found = slim.mapInArrow(_searcher(spark, seeds, by_id, threshold), "doc_id long, item_id long, score double, start long, end long, _key long")
+        found = slim.mapInArrow(_searcher(spark, seeds, needs, by_id, threshold), "doc_id long, item_id long, score double, start long, end long, _key long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _searcher(spark, seeds: list[tuple[int, int, int]], by_id: dict[int, str], threshold: float):
+def _searcher(spark, seeds: list[tuple[int, int, int]], needs: dict[int, int], by_id: dict[int, str], threshold: float):
     seeds = sorted(seeds, key=lambda s: (s[2] & (2**64 - 1), s[0], s[1]))
     known, counts = np.unique(np.array([s[2] for s in seeds], np.int64).view(np.uint64), return_counts=True)
-    shared = spark.sparkContext.broadcast((known, np.concatenate([[0], np.cumsum(counts)]), [s[0] for s in seeds], np.array([s[1] for s in seeds], np.int64), {i: words(t) for i, t in by_id.items()}))
+    ids = sorted(by_id)
+    place = {i: k for k, i in enumerate(ids)}
+    item_words = [words(by_id[i]) for i in ids]
+    need = np.array([needs[i] for i in ids], np.int64)
+    gaps = np.array([reach(len(w), threshold) for w in item_words], np.int64)
+    sent = spark.sparkContext.broadcast((known, counts, np.array([place[s[0]] for s in seeds], np.int64), np.array([s[1] for s in seeds], np.int64), ids, item_words, need, gaps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at_seed, items_of, pos_of, item_words = shared.value
+        known, counts, items_of, pos_of, ids, item_words, need, gaps = sent.value
+        at_seed = np.concatenate([[0], np.cumsum(counts)])
         for batch in batches:
             rows: list[tuple] = []
             for a, b, buf, offs in chunks(batch.column(1)):
                 if not len(known):
                     continue
                 h, first, starts, ends = _hashes(buf, offs)
-                at, doc = _hits(h, first, known)
+                at, doc, slot = _hits(h, first, known)
                 if not len(at):
                     continue
-                slots = _find(ngram_hash(h, SEED)[at], known)
-                places: dict[tuple[int, int], list[int]] = {}
-                for p, d, s in zip(at.tolist(), doc.tolist(), slots.tolist()):
-                    for k in range(at_seed[s], at_seed[s + 1]):
-                        places.setdefault((d, items_of[k]), []).append(p - int(pos_of[k]))
-                raw = None
-                for (d, item), diagonals in places.items():
-                    target = item_words[item]
-                    n, best = len(target), (0.0, 0, 0)
-                    slack = reach(n, threshold)
-                    diagonals = sorted(set(diagonals))
-                    k = 0
-                    while k < len(diagonals):
-                        e = k
-                        while e + 1 < len(diagonals) and diagonals[e + 1] - diagonals[k] <= slack:
-                            e += 1
-                        lo = max(int(first[d]), diagonals[k] - slack)
-                        hi = min(int(first[d + 1]), diagonals[e] + n + slack)
-                        raw = buf.tobytes() if raw is None else raw
-                        passage = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                        got, x, y = align(target, [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in passage])
-                        score = got / (MATCH * n)
-                        if score > best[0]:
-                            best = (score, lo + x, lo + y)
-                        k = e + 1
-                    if best[0] >= threshold:
-                        rows.append((a + d, item, best[0], int(starts[best[1]] - offs[d]), int(ends[best[2] - 1] - offs[d])))
+                # One row for each hit and each item position that has the n-gram.
+                many = counts[slot]
+                seed = np.repeat(at_seed[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                item, pos = items_of[seed], pos_of[seed]
+                found = _passages(np.repeat(doc, many) * len(ids) + item, np.repeat(at, many) - pos, pos, need[item], gaps[item])
+                raw, best = None, {}
+                for pair, low, high in found:
+                    d, k = divmod(pair, len(ids))
+                    target, slack = item_words[k], int(gaps[k])
+                    lo = max(int(first[d]), low - slack)
+                    hi = min(int(first[d + 1]), high + len(target) + slack)
+                    raw = buf.tobytes() if raw is None else raw
+                    passage = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+                    got, x, y = align(target, [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in passage])
+                    score = got / (MATCH * len(target))
+                    if score >= threshold and score > best.get((d, k), (0.0,))[0]:
+                        best[d, k] = (score, lo + x, lo + y)
+                rows += [(a + d, ids[k], score, int(starts[x] - offs[d]), int(ends[y - 1] - offs[d])) for (d, k), (score, x, y) in best.items()]
             index = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(index), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))), batch.column(2).take(index)],

@@ -155,6 +155,26 @@ def test_leak_with_one_long_insertion(spark):
     assert got == {0: pytest.approx(54 / 74), 1: pytest.approx(45 / 74)}
 
 
+def test_every_copy_that_scores_shares_seeds(spark):
+    r, texts, items = random.Random(8), [], []
+    for i in range(40):
+        w = H.prose(700 + i, r.choice((5, 6, 7, 11, 20, 37)), 10**5)
+        items.append((i, " ".join(w)))
+        copy = []
+        for k, x in enumerate(w):
+            kind = r.random()
+            copy += [x, f"z{k}"] if kind < 0.25 else [f"y{k}"] if kind < 0.35 else [x]
+        texts.append(" ".join(H.prose(i, 30) + copy + H.prose(i + 1, 30)))
+    w = H.prose(900, 36, 10**5)
+    items.append((40, " ".join(w)))
+    texts.append(" ".join(x for k in range(0, 36, 2) for x in (*w[k : k + 2], f"z{k}")))  # a word after every two: no three in a row
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in items if local_score(x.split(), t.split()) / (2 * len(x.split())) >= decontam.THRESHOLD}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(H.documents(spark, list(enumerate(texts))), bench).collect()}
+    assert (40, 40) in expected and len(expected) > 20
+    assert got == expected
+
+
 def test_no_items_or_documents(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_leaks(H.documents(spark, [(1, "a b c")]), empty).count() == 0
