@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Seeds.  Every benchmark item is split into ``SEED``-word n-grams of its
-   lower-cased words, punctuation stripped.  An alignment that reaches the
+   case-folded words, punctuation stripped.  An alignment that reaches the
    threshold breaks at most once for each point it may lose, so it holds at
    least ``shared`` of them unbroken.  How many documents hold each n-gram is
    counted over the whole corpus (a scan that keeps counts of the item n-grams
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialize, small_batches
-from .textkit import LOWER, chunks, ngram_hash, prefix_hash, span_hash, word_spans
+from .textkit import chunks, ngram_hash, prefix_hash, span_hash, word_spans
 
 #: Words of a seed; three can't be relied on, as a copy with a word put in after every two still scores 0.75.
 SEED = 2
@@ -44,18 +44,52 @@ _EDGE = np.zeros(256, bool)  # punctuation bytes trimmed from words
 _EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
+_GROWS = np.zeros(0x10000, bool)  # characters that folding makes several of
+_GROWS[[c for c in range(0x10000) if len(chr(c).casefold()) > 1]] = True
+
+
 def words(text: str | None) -> list[str]:
-    """Lower-cased (A-Z) words without ASCII punctuation at their edges; words of punctuation alone are dropped."""
+    """Case-folded (all of Unicode) words without ASCII punctuation at their edges; words of punctuation alone are dropped."""
     if not text:
         return []
-    lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
-    trimmed = (re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "", w) for w in re.split(r"[\x20\x09-\x0D]+", lowered))
+    trimmed = (re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "", w) for w in re.split(r"[\x20\x09-\x0D]+", text.casefold()))
     return [w for w in trimmed if w]
 
 
+def _widths(codes: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of code points; a surrogate stands for one byte that is no UTF-8."""
+    return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000) - 2 * ((codes >= 0xDC80) & (codes <= 0xDCFF))
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def _folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts case-folded: bytes, offsets, and for each place between two characters its place in ``buf``."""
+    raw = buf.tobytes()
+    if raw.isascii():
+        return np.frombuffer(raw.lower(), np.uint8), offs, np.arange(len(buf) + 1)
+    text = raw.decode("utf-8", "surrogateescape")
+    folded = text.casefold()
+    old, new = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, folded))
+    sizes = _widths(new)
+    at, to = _before(_widths(old)), _before(sizes)
+    if len(new) == len(old):  # one character for each
+        char, ends = np.arange(len(new)), to
+    else:
+        many = np.ones(len(old), np.int64)
+        odd = np.flatnonzero(_GROWS[np.minimum(old, len(_GROWS) - 1)])
+        many[odd] = [len(chr(c).casefold()) for c in old[odd].tolist()]
+        char, ends = np.repeat(np.arange(len(old)), many), to[_before(many)]
+    back = np.empty(to[-1] + 1, np.int64)
+    back[:-1] = np.repeat(at[char], sizes)
+    back[ends] = at
+    return np.frombuffer(folded.encode("utf-8", "surrogateescape"), np.uint8), ends[np.searchsorted(at, offs)], back
+
+
 def _hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, first word of each text, and byte spans of the words as ``words`` has them."""
-    buf = LOWER[buf]
+    """Word hashes, first word of each text, and byte spans of the words as ``words`` has them; ``buf`` is folded."""
     starts, ends, _ = word_spans(buf, offs)
     while True:
         trim = (starts < ends) & _EDGE[buf[np.minimum(starts, len(buf) - 1)]] if len(starts) else np.zeros(0, bool)
@@ -85,7 +119,7 @@ def shared(n: int, threshold: float) -> tuple[int, int]:
 
 
 def _grams(text: str | None, size: int) -> list[int]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+    raw = np.frombuffer((text or "").casefold().encode(), np.uint8)
     h, _, _, _ = _hashes(raw, np.array([0, len(raw)]))
     return ngram_hash(h, size).view(np.int64).tolist()
 
@@ -156,7 +190,7 @@ def document_frequency(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
         counts = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
-                h, first, _, _ = _hashes(buf, offs)
+                h, first, _, _ = _hashes(*_folded(buf, offs)[:2])
                 _, doc, slot = _hits(h, first, known)
                 if len(doc):
                     pairs = np.unique(doc * len(known) + slot) % len(known)
@@ -287,7 +321,8 @@ def _searcher(spark, seeds: list[tuple[int, int, int]], needs: dict[int, int], b
             for a, b, buf, offs in chunks(batch.column(1)):
                 if not len(known):
                     continue
-                h, first, starts, ends = _hashes(buf, offs)
+                buf, folded_offs, back = _folded(buf, offs)
+                h, first, starts, ends = _hashes(buf, folded_offs)
                 at, doc, slot = _hits(h, first, known)
                 if not len(at):
                     continue
@@ -304,11 +339,11 @@ def _searcher(spark, seeds: list[tuple[int, int, int]], needs: dict[int, int], b
                     hi = min(int(first[d + 1]), high + len(target) + slack)
                     raw = buf.tobytes() if raw is None else raw
                     passage = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                    got, x, y = align(target, [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in passage])
+                    got, x, y = align(target, passage)
                     score = got / (MATCH * len(target))
                     if score >= threshold and score > best.get((d, k), (0.0,))[0]:
                         best[d, k] = (score, lo + x, lo + y)
-                rows += [(a + d, ids[k], score, int(starts[x] - offs[d]), int(ends[y - 1] - offs[d])) for (d, k), (score, x, y) in best.items()]
+                rows += [(a + d, ids[k], score, int(back[starts[x]] - offs[d]), int(back[ends[y - 1]] - offs[d])) for (d, k), (score, x, y) in best.items()]
             index = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(index), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))), batch.column(2).take(index)],

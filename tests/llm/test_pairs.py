@@ -175,6 +175,30 @@ def test_every_copy_that_scores_shares_seeds(spark):
     assert got == expected
 
 
+def test_leak_in_capitals(spark):
+    item = "Ein größerer Élan für die Straße über Ñandú, où çà älter wäre: Öl, Übung"
+    texts = [f"Prosa İß vorher {x} und ﬁn" for x in (item, item.upper(), item.lower())]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.find_leaks(H.documents(spark, [*enumerate(texts), (9, "ganz ANDERER Text über etwas")]), bench).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for d, r in got.items():
+        assert r["score"] == 1 and texts[d].encode()[r["start"] : r["end"]].decode().casefold() == item.casefold()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text("aÉßİﬁ 𐐀,.", max_size=8).map(str.encode), st.binary(max_size=6)), max_size=6))
+def test_folded_places(texts):
+    raw, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    try:
+        whole = [t.decode() for t in texts]
+    except UnicodeDecodeError:
+        assert len(decontam._folded(raw, offs)[1]) == len(offs)
+        return
+    buf, at, back = decontam._folded(raw, offs)
+    assert [buf.tobytes()[a:b].decode() for a, b in zip(at, at[1:])] == [t.casefold() for t in whole]
+    assert back[at].tolist() == offs.tolist()
+
+
 def test_no_items_or_documents(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_leaks(H.documents(spark, [(1, "a b c")]), empty).count() == 0
