@@ -4,8 +4,10 @@ Both models are bigram models of one form over one vocabulary: the most frequent
 words of the corpus, a class for all others, and a begin mark.  Counts cover
 every text.  A kept bigram is discounted by ``DISCOUNT``; what that frees, with
 the counts of bigrams that aren't kept, goes to the unigram model, so each
-distribution sums to one.  Vocabulary and bigrams are bounded by parameters, as
-for any pruned model, so the models can be broadcast at any input size.
+distribution sums to one.  ``score_corpus`` keeps every word and bigram, whatever the
+input's size: the models stay tables, and each chunk of documents asks for the
+losses of its own distinct bigrams by joins.  ``fit`` gives pruned models, bounded
+by its parameters, that can be broadcast.
 
 A document's score is the mean over its words of target loss minus background
 loss (natural logarithms): the lower, the closer to the target.
@@ -17,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, small_batches
-from .textkit import chunks, words_of
+from .runtime import discard, materialize, small_batches
+from .textkit import buffer_of, chunks, words_of
 
 #: Words in the vocabulary, bigrams kept at most (the most frequent in both corpora together), discount and unigram prior.
 VOCABULARY, BIGRAMS, DISCOUNT, PRIOR = 16_384, 1_000_000, 0.75, 0.1
 #: Distinct keys that a task gathers before it sends their counts on.
 HELD = 2_000_000
+#: Bytes of text that ask for losses together, and what stands before a text's first word.
+CHUNK, BEGIN = 8 << 20, 0x5851F42D4C957F2D
 
 
 class _Tally:
@@ -197,3 +201,99 @@ def score(docs: DataFrame, models: tuple[np.ndarray, Model, Model]) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(t - b, mask=none)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+
+
+def _pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: a key of it and the one before, the one before, and itself; and each text's first word."""
+    words, first = words_of(buf, offs, lower=True)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1][np.diff(first) > 0]] = BEGIN
+    keys = before ^ ((words << np.uint64(17)) | (words >> np.uint64(47)))
+    return keys.view(np.int64), before.view(np.int64), words.view(np.int64), first
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and target with the chunk of each row: consecutive rows of about ``CHUNK`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            _, offs = buffer_of(b.column(1))
+            ends = held + offs[1:]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk + ends // CHUNK)], names=["doc_id", "text", "target", "chunk"])
+            held += int(offs[-1])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("target").cast("boolean").alias("target")).mapInArrow(run, "doc_id long, text string, target boolean, chunk long")
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """(chunk, h, w, b, t): the distinct bigrams of each chunk, how often they are in it, and in its target documents."""
+
+    def of(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys, h, w, first = _pairs(*buffer_of(table["text"]))
+        wanted = np.repeat(table["target"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+        _, at, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        t = np.bincount(place[wanted], minlength=len(n))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(h[at]), pa.array(w[at]), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["chunk", "h", "w", "b", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            ids = b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if held and ids[x] != now:
+                    yield of(held, now)
+                    held = []
+                now = int(ids[x])
+                held.append(b.slice(x, y - x))
+        if held:
+            yield of(held, now)
+
+    return rows.select("text", "target", "chunk").mapInArrow(run, "chunk long, h long, w long, b long, t long")
+
+
+def score_corpus(docs: DataFrame) -> DataFrame:
+    """What ``score`` gives for every row of ``docs``, by models of all rows and of those whose ``target`` is true.
+
+    Every word and bigram counts, and nothing that grows with the input is
+    collected or broadcast.  Edge cases are as in ``score``; a null target is none.
+    """
+    small_batches(docs.sparkSession)
+    rows = materialize(_chunked(docs.withColumn("target", F.coalesce("target", F.lit(False)))), "lm-texts")
+    bigrams = materialize(_asked(rows).groupBy("h", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-bigrams")
+    words = materialize(bigrams.groupBy("w").agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "lm-words")
+    total = words.agg(F.sum("ub").alias("b"), F.sum("ut").alias("t"), F.count("*").alias("n")).first()
+    size = total["n"] + 2  # as in ``fit``: the class of other words and the begin mark
+    past = bigrams.groupBy("h").agg(*(f(F.col(c)).alias(f"{p}{c}") for c in "bt" for p, f in (("n", F.sum), ("d", lambda x: F.count_if(x > 0)))))
+
+    def loss(c: str) -> Column:
+        n = F.greatest(F.col(f"n{c}"), F.lit(1))
+        kept = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / n
+        rest = F.when(F.col(f"n{c}") > 0, DISCOUNT * F.col(f"d{c}") / n).otherwise(1.0)
+        unigram = (F.col(f"u{c}") + PRIOR) / ((total[c] or 0) + PRIOR * size)
+        return (-F.log(kept + rest * unigram)).cast("float").alias(f"l{c}")
+
+    model = materialize(bigrams.join(past.hint("merge"), "h").join(words.hint("merge"), "w").select("h", "w", loss("t"), loss("b")), "lm-losses")
+    discard(bigrams)
+    key = F.col("h").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47))).alias("k")
+    found = materialize(_asked(rows).select("chunk", "h", "w").join(model.hint("merge"), ["h", "w"]).select("chunk", key, "lt", "lb"), "lm-found")
+    discard(model)
+
+    def run(texts: pa.Table, losses: pa.Table) -> pa.Table:
+        known = losses["k"].to_numpy()
+        order = np.argsort(known)
+        keys, _, _, first = _pairs(*buffer_of(texts["text"]))
+        at = order[np.searchsorted(known, keys, sorter=order)] if len(keys) else np.zeros(0, np.int64)
+        n = np.diff(first)
+        t, b = (np.diff(np.concatenate([[0.0], np.cumsum(losses[c].to_numpy()[at], dtype=np.float64)])[first]) / np.maximum(n, 1) for c in ("lt", "lb"))
+        none = n == 0
+        return pa.table({"doc_id": texts["doc_id"], "n_tokens": pa.array(n.astype(np.int64)), "loss_target": pa.array(t, mask=none), "loss_background": pa.array(b, mask=none), "score": pa.array(t - b, mask=none)})
+
+    return rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -59,8 +59,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     The labels grow with the documents, so the join sorts at every size.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct().hint("merge")
-    return lmscore.score(docs, lmscore.fit(docs, docs.join(good, "doc_id", "left_semi")))
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct().hint("merge")
+    return lmscore.score_corpus(docs.join(good, "doc_id", "left"))
 
 
 _QUERIES = (

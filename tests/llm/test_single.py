@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import extraction, langid, linededup, lmscore, packing, quality, sharding
+from ledgerlight.llm import extraction, langid, linededup, lmscore, packing, quality, queries, sharding
 
 from ..conftest import DATA
 from . import helpers as H
@@ -259,6 +259,25 @@ def test_scores_equal_plain_models(spark):
             assert got[i] == (pytest.approx(t, abs=1e-4), pytest.approx(b, abs=1e-4), pytest.approx(t - b, abs=1e-4))
 
 
+def test_query_counts_every_bigram(spark, tmp_path, monkeypatch):
+    """The query's scores are those of whole models, wherever the pruned models' bounds stand."""
+    monkeypatch.setattr(lmscore.fit, "__defaults__", (3, 2))
+    texts = [" ".join(H.prose(i, 12, 8)) for i in range(10)] + ["", None, "W1 w1 w2"]
+    H.documents(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i < 4), 0) for i in range(8)] + [(9, 1, 1), (0, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = queries.op10_lm_scoring(spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: (r["loss_target"], r["loss_background"], r["score"], r["n_tokens"]) for r in rows}
+    assert len(rows) == len(got) == len(texts)
+    for i, (t, b) in enumerate(plain_scores(texts, [0, 1, 2, 3], {f"w{i}" for i in range(8)})):
+        if t is None:
+            assert got[i] == (None, None, None, 0)
+        else:
+            assert got[i][:3] == (pytest.approx(t, abs=1e-4), pytest.approx(b, abs=1e-4), pytest.approx(t - b, abs=1e-4))
+    empty = H.documents(spark, []).withColumn("target", F.lit(True))
+    assert lmscore.score_corpus(empty).count() == 0
+
+
 def test_pruned_models_sum_to_one(spark):
     df = H.documents(spark, [(i, " ".join(H.prose(i, 60, 30))) for i in range(20)])
     known, target, background = lmscore.fit(df, df.filter("doc_id < 5"), vocabulary=12, bigrams=25)
