@@ -1,13 +1,17 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are bigram models of one form over one vocabulary: the most frequent
-words of the corpus, a class for all others, and a begin mark.  Counts cover
-every text.  A kept bigram is discounted by ``DISCOUNT``; what that frees, with
-the counts of bigrams that aren't kept, goes to the unigram model, so each
-distribution sums to one.  ``score_corpus`` keeps every word and bigram, whatever the
-input's size: the models stay tables, and each chunk of documents asks for the
-losses of its own distinct bigrams by joins.  ``fit`` gives pruned models, bounded
-by its parameters, that can be broadcast.
+Both models are bigram models of one form over one vocabulary: every word of the
+corpus, a class for all others, and a begin mark.  Counts cover every text.  A
+bigram is discounted by ``DISCOUNT``; what that frees goes to the unigram model,
+so each distribution sums to one.  No word or bigram is left out, at any size.
+
+The models never are in one place.  Texts are held in chunks of about ``CHUNK``
+bytes.  A chunk sends its distinct bigrams and words, sorted and packed, to
+buckets by their hashes; a bucket adds up what all chunks sent and returns the
+sums, in the order in which each chunk had sent its keys.  So nothing but packed
+keys and counts is moved, no join is made, and a frequent word is one entry of
+each chunk.  A bucket is dealt by both words of a bigram, so that the followers
+of a frequent word are spread too.  The number of buckets grows with that of chunks.
 
 A document's score is the mean over its words of target loss minus background
 loss (natural logarithms): the lower, the closer to the target.
@@ -15,285 +19,238 @@ loss (natural logarithms): the lower, the closer to the target.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, small_batches
-from .textkit import buffer_of, chunks, words_of
+from .runtime import discard, doc_id, materialize, small_batches
+from .textkit import buffer_of, words_of
 
-#: Words in the vocabulary, bigrams kept at most (the most frequent in both corpora together), discount and unigram prior.
-VOCABULARY, BIGRAMS, DISCOUNT, PRIOR = 16_384, 1_000_000, 0.75, 0.1
-#: Distinct keys that a task gathers before it sends their counts on.
-HELD = 2_000_000
-#: Bytes of text that ask for losses together, and what stands before a text's first word.
-CHUNK, BEGIN = 8 << 20, 0x5851F42D4C957F2D
+#: Absolute discount of a bigram's count, and what is added to each word's count.
+DISCOUNT, PRIOR = 0.75, 0.1
+#: Bytes of text in a chunk, and of those whose keys a bucket sums up.
+CHUNK = BUCKET = 8 << 20
+#: Stands before a text's first word.
+BEGIN = 0x5851F42D4C957F2D
 
 
-class _Tally:
-    """Counts of 64-bit keys, kept sorted; handed on when there are many."""
-
-    def __init__(self):
-        self.keys, self.counts, self.new, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.new.append(np.unique(keys, return_counts=True))
-        self.size += len(self.new[-1][0])
-        if self.size > HELD // 2:
-            self.merge()
-
-    def merge(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
-        counts = np.concatenate([self.counts, *(c for _, c in self.new)])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(at, counts, len(self.keys)).astype(np.int64)
-        self.new, self.size = [], 0
-
-    def take(self) -> pa.RecordBatch:
-        self.merge()
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], names=["k", "n"])
-        self.__init__()
-        return out
-
-
-def _count(texts: DataFrame, keys_of) -> DataFrame:
-    """(k, n): how often each key occurs; ``keys_of`` gives the keys of a buffer of texts."""
+def _chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and target with the chunk of each row: consecutive rows of about ``CHUNK`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0)):
-                tally.add(keys_of(buf, offs))
-                if len(tally.keys) > HELD:
-                    yield tally.take()
-        yield tally.take()
-
-    return texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-def _word_keys(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return words_of(buf, offs, lower=True)[0].view(np.int64)
-
-
-def _ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary; its size for words that aren't there."""
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at, len(vocabulary))
-
-
-def _bigrams(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of each word with the one before it (the begin mark first), the word's id, and each text's first word."""
-    words, first = words_of(buf, offs, lower=True)
-    ids = _ids(words.view(np.int64), vocabulary)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = len(vocabulary) + 1
-    return before * (len(vocabulary) + 2) + ids, ids, first
-
-
-class Model:
-    """One n-gram model over the shared vocabulary."""
+        from pyspark import TaskContext
 
-    def __init__(self, size: int, unigrams: np.ndarray, keys: np.ndarray, counts: np.ndarray, histories: np.ndarray):
-        """``unigrams``: counts by word id; ``keys`` (sorted), ``counts``: kept bigrams; ``histories``: how often an id comes before a word."""
-        p = unigrams + PRIOR
-        self.unigram = p / p.sum()
-        if not len(keys):  # a key that no words have
-            keys, counts = np.array([-1]), np.array([0])
-        past = np.maximum(keys // size, 0)
-        kept = np.maximum(counts - DISCOUNT, 0) / np.maximum(histories[past], 1)
-        self.rest = 1 - np.bincount(past, kept, len(histories))
-        self.keys = keys
-        self.log = np.log(kept + self.rest[past] * self.unigram[keys % size]).astype(np.float32)
-        self.log_unigram, self.log_rest = np.log(self.unigram), np.log(np.maximum(self.rest, 1e-12))
-        self.size = size
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            _, offs = buffer_of(b.column(1))
+            ends = held + offs[1:]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk + ends // CHUNK)], names=["doc_id", "text", "target", "chunk"])
+            held += int(offs[-1])
 
-    def losses(self, keys: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Loss of every word; ``at`` and ``known`` say where, and if, its bigram is kept."""
-        return -np.where(known, self.log[at], self.log_rest[keys // self.size] + self.log_unigram[keys % self.size])
+    return docs.select(doc_id(), "text", F.coalesce(F.col("target").cast("boolean"), F.lit(False)).alias("target")).mapInArrow(run, "doc_id long, text string, target boolean, chunk long")
 
 
-def _top(counts: DataFrame, most: int) -> DataFrame:
-    """The ``most`` most frequent keys, ties by key."""
-    return counts.orderBy(F.desc("n"), "k").limit(most)
+class _Keys:
+    """A chunk's distinct bigrams and words, each in order of bucket and key, and where its words have them."""
 
+    def __init__(self, texts: pa.Table, deal: tuple[int, int]):
+        words, self.first = words_of(*buffer_of(texts["text"]), lower=True)
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[self.first[:-1][np.diff(self.first) > 0]] = BEGIN
+        wanted = np.repeat(texts["target"].to_numpy().astype(bool), np.diff(self.first))
+        one, two = (np.uint64(x) for x in deal)
+        # Words get their places first, so that bigrams are sorted by small numbers.
+        known, at = np.unique(np.concatenate([words, before]), return_inverse=True)
+        order = np.lexsort((known, known % (one * two)))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.words = known[order]
+        self.word_bucket = (self.words % (one * two)).astype(np.int64)
+        self.word, self.past = rank[at[: len(words)]], rank[at[len(words) :]]
+        self.used = [np.bincount(x[y], minlength=len(known)) for x in (self.word, self.past) for y in (slice(None), wanted)]  # as words, as histories; of all, of target texts
+        size = max(1, len(known))
+        found, where, at, n = np.unique(self.past * size + self.word, return_index=True, return_inverse=True, return_counts=True)
+        bucket = ((before[where] % one) * two + words[where] % two).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.pair, n, where = rank[at], n[order], where[order]
+        self.h, self.w, self.pair_bucket = before[where], words[where], bucket[order]
+        self.counts = [n, np.bincount(self.pair[wanted], minlength=len(n))]
 
-def _most_frequent(both: DataFrame, most: int) -> DataFrame:
-    """Bigrams of the highest count classes, as many whole classes as give at most ``most`` bigrams.
 
-    Classes are counts up to 4096 and 256 steps for each doubling beyond, so their
-    number is bounded and nothing is sorted.
-    """
-    n = F.col("b") + F.col("t")
-    level = F.when(n < 4096, n).otherwise(4096 + F.floor(256 * F.log2(n / 4096))).cast("long")
-    classed = both.withColumn("level", level)
-    sizes = sorted(map(tuple, classed.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, cut = 0, None
-    for value, count in sizes:
-        total += count
-        if total > most:
-            break
-        cut = value
-    return classed.filter(F.lit(False) if cut is None else F.col("level") >= cut)
-
-
-def fit(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> tuple[np.ndarray, Model, Model]:
-    """The shared vocabulary (sorted word hashes) and the models of ``target`` and of ``docs``; null texts have no words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = np.sort(np.array(_top(_count(docs, _word_keys), vocabulary).select("k").toArrow()["k"].to_numpy(), np.int64))
-    if not len(known):
-        known = np.zeros(1, np.int64)
-    size = len(known) + 2
-    shared = spark.sparkContext.broadcast(known)
-
-    def keys_of(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return _bigrams(buf, offs, shared.value)[0]
-
-    both = materialize(
-        _count(docs, keys_of).withColumnRenamed("n", "b").join(_count(target, keys_of).withColumnRenamed("n", "t"), "k", "full").select("k", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("t", F.lit(0)).alias("t")),
-        "bigrams",
-    )
-
-    def sums(side: str) -> np.ndarray:  # by id: bounded by the vocabulary
-        rows = both.groupBy((F.pmod("k", F.lit(size)) if side == "word" else F.floor(F.col("k") / size)).cast("long").alias("i")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
-        out = np.zeros((2, size))
-        for row, name in enumerate("tb"):
-            out[row, rows["i"].to_numpy()] = rows[name].to_numpy()
-        return out
-
-    words, histories = sums("word"), sums("history")
-    kept = _most_frequent(both, bigrams).select("k", "b", "t").toArrow()
-    keys = kept["k"].to_numpy()
-    order = np.argsort(keys)
-    keys = keys[order]
-    models = [Model(size, words[i], keys, kept[name].to_numpy()[order], histories[i]) for i, name in enumerate("tb")]
-    return known, models[0], models[1]
-
-
-def score(docs: DataFrame, models: tuple[np.ndarray, Model, Model]) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background and score (their difference) of every row, per word.
-
-    A null, empty or blank text has no tokens and null losses and score; texts
-    of any length are scored whole; equal rows get equal scores; null doc_ids
-    are kept; an empty table gives no rows; other columns are not read.
-    """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _parts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the runs of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, target, background = shared.value
-        for batch in batches:
-            sizes, sums = [], []
-            for _, _, buf, offs in chunks(batch.column(1)):
-                keys, _, first = _bigrams(buf, offs, known)
-                at = np.minimum(np.searchsorted(target.keys, keys), len(target.keys) - 1)
-                kept = target.keys[at] == keys
-                both = [np.concatenate([[0.0], np.cumsum(m.losses(keys, at, kept))]) for m in (target, background)]
-                sizes.append(np.diff(first))
-                sums.append(np.stack([np.diff(c[first]) for c in both]))
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            t, b = np.concatenate(sums, axis=1) / np.maximum(n, 1) if sums else np.zeros((2, 0))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(t - b, mask=none)], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
-
-
-def _pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word: a key of it and the one before, the one before, and itself; and each text's first word."""
-    words, first = words_of(buf, offs, lower=True)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][np.diff(first) > 0]] = BEGIN
-    keys = before ^ ((words << np.uint64(17)) | (words >> np.uint64(47)))
-    return keys.view(np.int64), before.view(np.int64), words.view(np.int64), first
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Counts side by side; 32 bits each where they fit."""
+    wide = any(len(c) and int(c.max()) >> 32 for c in columns)
+    return (b"\1" if wide else b"\0") + b"".join(c.astype("<u8" if wide else "<u4").tobytes() for c in columns)
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, text and target with the chunk of each row: consecutive rows of about ``CHUNK`` bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, "<u8" if data[0] else "<u4", offset=1).reshape(columns, -1).astype(np.int64)
 
-        chunk, held = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            _, offs = buffer_of(b.column(1))
-            ends = held + offs[1:]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk + ends // CHUNK)], names=["doc_id", "text", "target", "chunk"])
-            held += int(offs[-1])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("target").cast("boolean").alias("target")).mapInArrow(run, "doc_id long, text string, target boolean, chunk long")
+SENT = "pairs boolean, bucket long, chunk long, keys binary, runs binary, others binary, counts binary"
+BACK = "pairs boolean, bucket long, chunk long, counts binary"
 
 
-def _asked(rows: DataFrame) -> DataFrame:
-    """(chunk, h, w, b, t): the distinct bigrams of each chunk, how often they are in it, and in its target documents."""
+def _sent(rows: DataFrame, deal: tuple[int, int]) -> DataFrame:
+    """What every chunk sends to its buckets."""
 
     def of(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys, h, w, first = _pairs(*buffer_of(table["text"]))
-        wanted = np.repeat(table["target"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        _, at, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        t = np.bincount(place[wanted], minlength=len(n))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(h[at]), pa.array(w[at]), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["chunk", "h", "w", "b", "t"])
+        k = _Keys(pa.Table.from_batches(held).combine_chunks(), deal)
+        out = []
+        for bucket, a, b in _parts(k.pair_bucket):
+            heads = np.flatnonzero(np.concatenate([[True], k.h[a + 1 : b] != k.h[a : b - 1]]))
+            runs = np.diff(np.append(heads, b - a))
+            out.append((True, bucket, chunk, k.h[a:b][heads].tobytes(), runs.astype("<u4").tobytes(), k.w[a:b].tobytes(), _pack(*(c[a:b] for c in k.counts))))
+        for bucket, a, b in _parts(k.word_bucket):
+            out.append((False, bucket, chunk, k.words[a:b].tobytes(), None, None, _pack(*(c[a:b] for c in k.used))))
+        columns = list(zip(*out)) if out else [[]] * 7
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["pairs", "bucket", "chunk", "keys", "runs", "others", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for b in batches:
-            ids = b.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-            for x, y in zip(cuts, cuts[1:]):
-                if x == y:
-                    continue
-                if held and ids[x] != now:
+            for chunk, x, y in _parts(b.column(2).to_numpy()):
+                if held and chunk != now:
                     yield of(held, now)
                     held = []
-                now = int(ids[x])
+                now = chunk
                 held.append(b.slice(x, y - x))
         if held:
             yield of(held, now)
 
-    return rows.select("text", "target", "chunk").mapInArrow(run, "chunk long, h long, w long, b long, t long")
+    return rows.select("text", "target", "chunk").mapInArrow(run, SENT)
+
+
+def _sum(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (places of one of each, in order), the sums of their counts, and for each key the place of its sum."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    at = np.flatnonzero(new)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[at], np.add.reduceat(counts[:, order], at, axis=1) if len(at) else counts, place
+
+
+def _pair_sums(sent: DataFrame, deal: tuple[int, int]) -> DataFrame:
+    """Sums of each bucket's bigrams, for every chunk that sent them; and, with a null chunk, how many words follow each history.
+
+    The latter go to the buckets of words: keys are the histories, counts the followers in all and in target texts.
+    """
+    buckets = np.uint64(deal[0] * deal[1])
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = list(zip(t["chunk"].to_pylist(), t["keys"].to_pylist(), t["runs"].to_pylist(), t["others"].to_pylist(), t["counts"].to_pylist()))
+        h = np.concatenate([np.repeat(np.frombuffer(k, np.uint64), np.frombuffer(r, "<u4")) for _, k, r, _, _ in parts])
+        w = np.concatenate([np.frombuffer(o, np.uint64) for *_, o, _ in parts])
+        counts = [_unpack(c, 2) for *_, c in parts]
+        at, sums, place = _sum((h, w), np.concatenate(counts, axis=1))
+        mine = t["bucket"][0].as_py()
+        out, a = [], 0
+        for (chunk, *_), c in zip(parts, counts):
+            b = a + c.shape[1]
+            out.append((True, mine, chunk, None, _pack(*sums[:, place[a:b]])))
+            a = b
+        past, spot = np.unique(h[at], return_inverse=True)
+        follow = [np.bincount(spot, x > 0, len(past)).astype(np.int64) for x in sums]
+        order = np.argsort(past % buckets, kind="stable")
+        for bucket, a, b in _parts((past[order] % buckets).astype(np.int64)):
+            out.append((False, bucket, None, past[order[a:b]].tobytes(), _pack(*(f[order[a:b]] for f in follow))))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("pairs", "bucket", "chunk", "keys", "counts"), zip(*out), (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+
+    return sent.filter("pairs").groupBy("bucket").applyInArrow(run, "pairs boolean, bucket long, chunk long, keys binary, counts binary")
+
+
+def _word_sums(sent: DataFrame) -> DataFrame:
+    """Sums of each bucket's words for every chunk that sent them; and, with a null chunk, how many words there are and how often they occur.
+
+    Counts are six a word: as a word and as a history, in all and in target texts, and its followers in both.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = list(zip(t["chunk"].to_pylist(), t["keys"].to_pylist(), t["counts"].to_pylist()))
+        words = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in parts])
+        counts = np.zeros((6, len(words)), np.int64)
+        a, ends = 0, []
+        for chunk, k, c in parts:
+            b = a + len(k) // 8
+            if chunk is None:
+                counts[4:, a:b] = _unpack(c, 2)
+            else:
+                counts[:4, a:b] = _unpack(c, 4)
+            ends.append((chunk, a, b))
+            a = b
+        _, sums, place = _sum((words,), counts)
+        mine = t["bucket"][0].as_py()
+        out = [(False, mine, chunk, _pack(*sums[:, place[a:b]])) for chunk, a, b in ends if chunk is not None]
+        out.append((False, mine, None, _pack(np.array([(sums[0] > 0).sum(), sums[0].sum(), sums[1].sum()]))))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("pairs", "bucket", "chunk", "counts"), zip(*out), (pa.bool_(), pa.int64(), pa.int64(), pa.binary()))})
+
+    return sent.groupBy("bucket").applyInArrow(run, BACK)
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
-    """What ``score`` gives for every row of ``docs``, by models of all rows and of those whose ``target`` is true.
+    """doc_id, n_tokens, loss_target, loss_background and score (their difference) of every row of ``docs``, per word.
 
-    Every word and bigram counts, and nothing that grows with the input is
-    collected or broadcast.  Edge cases are as in ``score``; a null target is none.
+    The background is all rows, the target those whose ``target`` is true (null
+    is false).  A null, empty or blank text has no tokens and null losses and
+    score; texts of any length are counted and scored whole; equal texts get
+    equal scores; null doc_ids are kept, ids that aren't numbers become null;
+    an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = materialize(_chunked(docs.withColumn("target", F.coalesce("target", F.lit(False)))), "lm-texts")
-    bigrams = materialize(_asked(rows).groupBy("h", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-bigrams")
-    words = materialize(bigrams.groupBy("w").agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "lm-words")
-    total = words.agg(F.sum("ub").alias("b"), F.sum("ut").alias("t"), F.count("*").alias("n")).first()
-    size = total["n"] + 2  # as in ``fit``: the class of other words and the begin mark
-    past = bigrams.groupBy("h").agg(*(f(F.col(c)).alias(f"{p}{c}") for c in "bt" for p, f in (("n", F.sum), ("d", lambda x: F.count_if(x > 0)))))
-
-    def loss(c: str) -> Column:
-        n = F.greatest(F.col(f"n{c}"), F.lit(1))
-        kept = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / n
-        rest = F.when(F.col(f"n{c}") > 0, DISCOUNT * F.col(f"d{c}") / n).otherwise(1.0)
-        unigram = (F.col(f"u{c}") + PRIOR) / ((total[c] or 0) + PRIOR * size)
-        return (-F.log(kept + rest * unigram)).cast("float").alias(f"l{c}")
-
-    model = materialize(bigrams.join(past.hint("merge"), "h").join(words.hint("merge"), "w").select("h", "w", loss("t"), loss("b")), "lm-losses")
-    discard(bigrams)
-    key = F.col("h").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47))).alias("k")
-    found = materialize(_asked(rows).select("chunk", "h", "w").join(model.hint("merge"), ["h", "w"]).select("chunk", key, "lt", "lb"), "lm-found")
-    discard(model)
-
-    def run(texts: pa.Table, losses: pa.Table) -> pa.Table:
-        known = losses["k"].to_numpy()
-        order = np.argsort(known)
-        keys, _, _, first = _pairs(*buffer_of(texts["text"]))
-        at = order[np.searchsorted(known, keys, sorter=order)] if len(keys) else np.zeros(0, np.int64)
-        n = np.diff(first)
-        t, b = (np.diff(np.concatenate([[0.0], np.cumsum(losses[c].to_numpy()[at], dtype=np.float64)])[first]) / np.maximum(n, 1) for c in ("lt", "lb"))
+    rows = materialize(_chunked(docs), "lm-texts")
+    buckets = max(1, -(-rows.select("chunk").distinct().count() * CHUNK // BUCKET))
+    two = math.isqrt(buckets)
+    deal = (-(-buckets // two), two)
+    sent = materialize(_sent(rows, deal), "lm-sent")
+    pairs = materialize(_pair_sums(sent, deal), "lm-pairs")
+    words = sent.filter("not pairs").select("bucket", "chunk", "keys", "counts").union(pairs.filter("not pairs").select("bucket", "chunk", "keys", "counts"))
+    words = materialize(_word_sums(words), "lm-words")
+    discard(sent)
+    total = np.zeros(3, np.int64)
+    for r in words.filter("chunk is null").select("counts").toLocalIterator():  # one short row a bucket
+        total += _unpack(bytes(r[0]), 3)[:, 0]
+    size = int(total[0]) + 2  # the class of other words and the begin mark
+    found = pairs.filter("pairs").select("pairs", "bucket", "chunk", "counts").union(words.filter("chunk is not null"))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        k = _Keys(texts, deal)
+        pair, word = np.zeros((2, len(k.w))), np.zeros((6, len(k.words)))
+        at = {(True, b): (x, y) for b, x, y in _parts(k.pair_bucket)} | {(False, b): (x, y) for b, x, y in _parts(k.word_bucket)}
+        for is_pair, bucket, data in zip(found["pairs"].to_pylist(), found["bucket"].to_pylist(), found["counts"].to_pylist()):
+            x, y = at[is_pair, bucket]
+            if is_pair:
+                pair[:, x:y] = _unpack(data, 2)
+            else:
+                word[:, x:y] = _unpack(data, 6)
+        n, losses = np.diff(k.first), []
+        for side in (1, 0):  # target, background
+            history = np.maximum(word[2 + side], 1)
+            rest = np.where(word[2 + side] > 0, DISCOUNT * word[4 + side] / history, 1.0)
+            unigram = (word[side] + PRIOR) / (int(total[1 + side]) + PRIOR * size)
+            p = np.maximum(pair[side][k.pair] - DISCOUNT, 0) / history[k.past] + rest[k.past] * unigram[k.word]
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])[k.first]
+            losses.append(np.diff(sums) / np.maximum(n, 1))
         none = n == 0
+        t, b = losses
         return pa.table({"doc_id": texts["doc_id"], "n_tokens": pa.array(n.astype(np.int64)), "loss_target": pa.array(t, mask=none), "loss_background": pa.array(b, mask=none), "score": pa.array(t - b, mask=none)})
 
-    return rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    texts = rows.select("chunk", "doc_id", "text", "target")
+    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, extraction, jaccard, langid, linededup, lmscore, packing, quality, sharding, suffixdedup
-from .runtime import table
+from .runtime import doc_id, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The labels grow with the documents, so the join sorts at every size.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct().hint("merge")
+    docs = table(spark, sf_dir, "documents").select(doc_id(), "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(doc_id(), F.lit(True).alias("target")).distinct().hint("merge")
     return lmscore.score_corpus(docs.join(good, "doc_id", "left"))
 
 

@@ -88,4 +88,5 @@ def clashing(df):
     """``df`` with columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("x") for c in ("key", "_key", "shard", "sid", "token", "size", "h", "score", "spans", "site", "n", "a", "kept")})
+    names = ("key", "_key", "shard", "sid", "token", "size", "h", "score", "spans", "site", "n", "a", "kept", "_flags", "_c", "part", "chunk", "target", "label", "lang_pred", "a.b")
+    return df.withColumns({c: F.lit("x") for c in names})

@@ -245,48 +245,42 @@ def plain_scores(texts, target, vocabulary):
     return out
 
 
-def test_scores_equal_plain_models(spark):
-    texts = [" ".join(H.prose(i, 12, 8)) for i in range(10)] + ["", None, "W1 w1 w2"]
-    df = H.clashing(H.documents(spark, list(enumerate(texts))))
-    target = [0, 1, 2, 3]
-    models = lmscore.fit(df, df.filter("doc_id < 4"))
-    got = {r["doc_id"]: (r["loss_target"], r["loss_background"], r["score"]) for r in lmscore.score(df, models).collect()}
-    plain = plain_scores(texts, target, {f"w{i}" for i in range(8)})
-    for i, (t, b) in enumerate(plain):
+def check_scores(rows, texts, target):
+    got = {r["doc_id"]: (r["loss_target"], r["loss_background"], r["score"], r["n_tokens"]) for r in rows}
+    assert len(rows) == len(got) == len(texts)
+    known = {w for t in texts for w in H.WORD.findall((t or "").translate(H.LOWER))}
+    for i, (t, b) in enumerate(plain_scores(texts, target, known)):
         if t is None:
-            assert got[i] == (None, None, None)
+            assert got[i] == (None, None, None, 0)
         else:
-            assert got[i] == (pytest.approx(t, abs=1e-4), pytest.approx(b, abs=1e-4), pytest.approx(t - b, abs=1e-4))
+            assert got[i][:3] == (pytest.approx(t, abs=1e-6), pytest.approx(b, abs=1e-6), pytest.approx(t - b, abs=1e-6))
+
+
+def test_scores_equal_plain_models(spark, monkeypatch):
+    """One chunk, and texts that are spread over many chunks and buckets."""
+    texts = [" ".join(H.prose(i, 12 + 9 * i, 8 + i)) for i in range(20)] + ["", None, "W1 w1 w2", " \n "]
+    df = H.clashing(H.documents(spark, list(enumerate(texts)))).withColumn("target", F.when(F.col("doc_id") < 4, True))
+    check_scores(lmscore.score_corpus(df).collect(), texts, [0, 1, 2, 3])
+    monkeypatch.setattr(lmscore, "CHUNK", 300)
+    monkeypatch.setattr(lmscore, "BUCKET", 300)
+    check_scores(lmscore.score_corpus(df).collect(), texts, [0, 1, 2, 3])
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    long = " ".join(H.prose(3, 400_000, 5000))
+    texts = [long, long[:900], "w1 w2", None]
+    assert len(long) > 2 << 20
+    df = H.documents(spark, list(enumerate(texts))).withColumn("target", F.col("doc_id") == 1)
+    got = {r["doc_id"]: r for r in lmscore.score_corpus(df).collect()}
+    assert got[0]["n_tokens"] == 400_000 and got[1]["score"] < got[0]["score"] and got[3]["score"] is None
 
 
-def test_query_counts_every_bigram(spark, tmp_path, monkeypatch):
-    """The query's scores are those of whole models, wherever the pruned models' bounds stand."""
-    monkeypatch.setattr(lmscore.fit, "__defaults__", (3, 2))
+def test_the_query_scores_labelled_documents(spark, tmp_path):
+    """The target are the documents labelled as good and not toxic, each counted once."""
     texts = [" ".join(H.prose(i, 12, 8)) for i in range(10)] + ["", None, "W1 w1 w2"]
     H.documents(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, int(i < 4), 0) for i in range(8)] + [(9, 1, 1), (0, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    rows = queries.op10_lm_scoring(spark, str(tmp_path)).collect()
-    got = {r["doc_id"]: (r["loss_target"], r["loss_background"], r["score"], r["n_tokens"]) for r in rows}
-    assert len(rows) == len(got) == len(texts)
-    for i, (t, b) in enumerate(plain_scores(texts, [0, 1, 2, 3], {f"w{i}" for i in range(8)})):
-        if t is None:
-            assert got[i] == (None, None, None, 0)
-        else:
-            assert got[i][:3] == (pytest.approx(t, abs=1e-4), pytest.approx(b, abs=1e-4), pytest.approx(t - b, abs=1e-4))
+    check_scores(queries.op10_lm_scoring(spark, str(tmp_path)).collect(), texts, [0, 1, 2, 3])
     empty = H.documents(spark, []).withColumn("target", F.lit(True))
     assert lmscore.score_corpus(empty).count() == 0
-
-
-def test_pruned_models_sum_to_one(spark):
-    df = H.documents(spark, [(i, " ".join(H.prose(i, 60, 30))) for i in range(20)])
-    known, target, background = lmscore.fit(df, df.filter("doc_id < 5"), vocabulary=12, bigrams=25)
-    size = len(known) + 2
-    for m in (target, background):
-        keys = np.arange(size * size)
-        at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
-        p = np.exp(-m.losses(keys, at, m.keys[at] == keys)).reshape(size, size)
-        assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    assert lmscore.score(H.documents(spark, []), (known, target, background)).count() == 0
-    empty = H.documents(spark, [])
-    assert lmscore.score(df, lmscore.fit(empty, empty)).count() == 20
