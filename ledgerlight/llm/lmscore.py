@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import discard, doc_id, materialize, small_batches
-from .textkit import buffer_of, words_of
+from .textkit import buffer_of, chunks, mix, words_of
 
 #: Absolute discount of a bigram's count, and what is added to each word's count.
 DISCOUNT, PRIOR = 0.75, 0.1
@@ -54,33 +54,47 @@ def _chunked(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id(), "text", F.coalesce(F.col("target").cast("boolean"), F.lit(False)).alias("target")).mapInArrow(run, "doc_id long, text string, target boolean, chunk long")
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key among them, and how often each occurs."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[first], place, np.diff(np.append(first, len(keys)))
+
+
 class _Keys:
     """A chunk's distinct bigrams and words, each in order of bucket and key, and where its words have them."""
 
     def __init__(self, texts: pa.Table, deal: tuple[int, int]):
-        words, self.first = words_of(*buffer_of(texts["text"]), lower=True)
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[self.first[:-1][np.diff(self.first) > 0]] = BEGIN
-        wanted = np.repeat(texts["target"].to_numpy().astype(bool), np.diff(self.first))
+        got = [words_of(buf, offs, lower=True) for _, _, buf, offs in chunks(texts["text"].combine_chunks())]
+        words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in got)])
+        n = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for _, f in got)])
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        wanted = np.repeat(texts["target"].to_numpy().astype(bool), n)
         one, two = (np.uint64(x) for x in deal)
         # Words get their places first, so that bigrams are sorted by small numbers.
-        known, at = np.unique(np.concatenate([words, before]), return_inverse=True)
-        order = np.lexsort((known, known % (one * two)))
+        known, at, _ = _distinct(np.append(words, np.uint64(BEGIN)))
+        bucket = known % (one * two)
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.words = known[order]
-        self.word_bucket = (self.words % (one * two)).astype(np.int64)
-        self.word, self.past = rank[at[: len(words)]], rank[at[len(words) :]]
+        self.words, self.word_bucket = known[order], bucket[order].astype(np.int64)
+        self.word, begin = rank[at[:-1]], rank[at[-1]]
+        self.past = np.empty_like(self.word)
+        self.past[1:] = self.word[:-1]
+        self.past[self.first[:-1][n > 0]] = begin
         self.used = [np.bincount(x[y], minlength=len(known)) for x in (self.word, self.past) for y in (slice(None), wanted)]  # as words, as histories; of all, of target texts
-        size = max(1, len(known))
-        found, where, at, n = np.unique(self.past * size + self.word, return_index=True, return_inverse=True, return_counts=True)
-        bucket = ((before[where] % one) * two + words[where] % two).astype(np.int64)
+        found, at, n = _distinct(self.past * len(known) + self.word)
+        past, word = found // len(known), found % len(known)
+        bucket = ((self.words[past] % one) * two + self.words[word] % two).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.pair, n, where = rank[at], n[order], where[order]
-        self.h, self.w, self.pair_bucket = before[where], words[where], bucket[order]
+        self.pair, n = rank[at], n[order]
+        self.h, self.w, self.pair_bucket = self.words[past[order]], self.words[word[order]], bucket[order]
         self.counts = [n, np.bincount(self.pair[wanted], minlength=len(n))]
 
 
@@ -136,12 +150,19 @@ def _sent(rows: DataFrame, deal: tuple[int, int]) -> DataFrame:
 
 
 def _sum(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (places of one of each, in order), the sums of their counts, and for each key the place of its sum."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+    """Distinct keys (places of one of each), the sums of their counts, and for each key the place of its sum."""
+    mixed = keys[0]
+    for k in keys[1:]:
+        mixed = mix(mixed) ^ k
+    order = np.argsort(mixed)
+    same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+        same &= k[order][1:] == k[order][:-1]
+    if (~same & (mixed[order][1:] == mixed[order][:-1])).any():  # different keys fell together
+        order = np.lexsort(keys[::-1])
+        same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
     at = np.flatnonzero(new)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
