@@ -14,9 +14,8 @@
 3. Alignment.  Smith-Waterman over words scores the passage against the item.
    Its best score over the score of a full copy decides.
 
-The seed table is broadcast when its counted size is within ``BROADCAST_SEEDS``;
-a larger benchmark is worked through in blocks of items of that size, each
-against all documents.
+Items are worked through in blocks of about ``BLOCK_WORDS`` words, each against
+all documents, so that the broadcast seeds of a block are bounded.
 """
 
 from __future__ import annotations
@@ -30,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, small_batches
+from .runtime import doc_id, map_rows, small_batches
 from .textkit import chunks, ngram_hash, prefix_hash, span_hash, word_spans
 
 #: Words of a seed; three can't be relied on, as a copy with a word put in after every two still scores 0.75.
 SEED = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Least share of a full copy's score, and least words of an item that count as a passage.
+#: Least share of a full copy's score; an item of fewer than ``MIN_WORDS`` words has to be found whole.
 THRESHOLD, MIN_WORDS = 0.6, 5
-BROADCAST_SEEDS = 200_000
+#: Words of the items that are broadcast together.
+BLOCK_WORDS = 1 << 20
 
 _EDGE = np.zeros(256, bool)  # punctuation bytes trimmed from words
 _EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -161,24 +161,37 @@ def reach(n: int, threshold: float) -> int:
     return int(2 * n * (1 - threshold) + 1e-9) + 1
 
 
-def item_grams(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, pos, gram, need) of all items with at least ``MIN_WORDS`` words; ``need``: as ``shared`` says."""
+class Item:
+    """A benchmark item: its words, seeds as (position, n-gram), hits that a passage needs, and least score."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, pos, grams, needs = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(words(t))
-                if i is not None and n >= MIN_WORDS:
-                    size, need = shared(n, threshold)
-                    g = _grams(t, size)
-                    ids += [i] * len(g)
-                    needs += [need] * len(g)
-                    pos += range(len(g))
-                    grams += g
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(grams, pa.int64()), pa.array(needs, pa.int32())], names=["item_id", "pos", "gram", "need"])
-
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, pos int, gram long, need int")
+    def __init__(self, item_id: int | None, text: str | None, threshold: float):
+        self.item_id, self.words = item_id, words(text)
+        n = len(self.words)
+        self.threshold = threshold if n >= MIN_WORDS else 1.0
+        size, self.need = shared(n, self.threshold)
+        self.grams = list(enumerate(_grams(text, size)))
+
+    def choose_seeds(self, df: dict[int, int]) -> None:
+        """Leave out n-grams: those of no document, which can't be hit, and the most frequent ones, up to half of the hits needed.
+
+        A passage needs that many hits less then.
+        """
+        out = self.need // 2
+        rare = sorted((df.get(g, 0), p, g) for p, g in self.grams)[: len(self.grams) - out]
+        self.need -= out
+        self.grams = [(p, g) for n, p, g in rare if n]
+
+
+def _blocks(items: DataFrame, threshold: float, block_words: int) -> Iterator[list[Item]]:
+    """The distinct items with a word, in blocks of about ``block_words`` words; an item is never parted."""
+    slim = items.select(F.col("item_id").try_cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
+    total = slim.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    for k in range(blocks if total else 0):
+        rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        block = [Item(i, t, threshold) for i, t in zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())]
+        if block := [x for x in block if x.words]:
+            yield block
 
 
 def document_frequency(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
@@ -226,25 +239,6 @@ def _hits(h: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def choose_seeds(rows: list[tuple[int, int, int, int]], df: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
-    """The seeds of every item's (item_id, pos, gram, need), and how many of them a passage has to hit.
-
-    Half of ``need`` less one, the most frequent n-grams, may be left out, as the others must then be hit that much
-    less often; n-grams of no document can't be hit.
-    """
-    groups: dict[int, list[tuple[int, int, int]]] = {}
-    needs = {}
-    for i, p, g, need in rows:
-        groups.setdefault(i, []).append((df.get(g, 0), p, g))
-        needs[i] = need
-    seeds = []
-    for i, found in groups.items():
-        out = needs[i] // 2
-        needs[i] -= out
-        seeds += [(i, p, g) for n, p, g in sorted(found)[: len(found) - out] if n]
-    return seeds, needs
-
-
 def _passages(pair: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, need: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(pair, least and greatest diagonal) where at least ``need`` positions of the item are hit within ``gap`` diagonals.
 
@@ -272,88 +266,112 @@ def _passages(pair: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, need: np.
         yield open_
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+class _Searcher:
+    """Finds the items of one block in texts; sent to the tasks once."""
+
+    def __init__(self, block: list[Item]):
+        self.items = block
+        seeds = sorted((g & (2**64 - 1), k, p) for k, x in enumerate(block) for p, g in x.grams)
+        self.known, counts = np.unique(np.array([g for g, _, _ in seeds], np.uint64), return_counts=True)
+        self.at_seed = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.item, self.pos = np.array([k for _, k, _ in seeds], np.int64), np.array([p for _, _, p in seeds], np.int64)
+        self.need = np.array([x.need for x in block], np.int64)
+        self.gaps = np.array([reach(len(x.words), x.threshold) for x in block], np.int64)
+
+    def search(self, texts: pa.Array) -> list[tuple]:
+        """(row, item_id, score, start, end) of the best passage of each row and item."""
+        rows: list[tuple] = []
+        items = self.items
+        for a, _, buf, offs in chunks(texts) if len(self.known) else ():
+            buf, folded_offs, back = _folded(buf, offs)
+            h, first, starts, ends = _hashes(buf, folded_offs)
+            at, doc, slot = _hits(h, first, self.known)
+            if not len(at):
+                continue
+            # One row for each hit and each item position that has the n-gram.
+            many = np.diff(self.at_seed)[slot]
+            seed = np.repeat(self.at_seed[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            item, pos = self.item[seed], self.pos[seed]
+            found = _passages(np.repeat(doc, many) * len(items) + item, np.repeat(at, many) - pos, pos, self.need[item], self.gaps[item])
+            raw, best = None, {}
+            for pair, low, high in found:
+                d, k = divmod(pair, len(items))
+                target, slack = items[k].words, int(self.gaps[k])
+                lo = max(int(first[d]), low - slack)
+                hi = min(int(first[d + 1]), high + len(target) + slack)
+                raw = buf.tobytes() if raw is None else raw
+                passage = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+                got, x, y = align(target, passage)
+                score = got / (MATCH * len(target))
+                if score >= items[k].threshold and score > best.get((d, k), (0.0,))[0]:
+                    best[d, k] = (score, lo + x, lo + y)
+            rows += [(a + d, items[k].item_id, score, int(back[starts[x]] - offs[d]), int(back[ends[y - 1]] - offs[d])) for (d, k), (score, x, y) in best.items()]
+        return rows
+
+
+def _searchers(docs: DataFrame, items: DataFrame, threshold: float, block_words: int) -> Iterator:
+    """A broadcast searcher for each block of items, with seeds that are rare in ``docs``."""
+    for block in _blocks(items, threshold, block_words):
+        known = np.unique(np.array([g for x in block for _, g in x.grams], np.int64).view(np.uint64))
+        df = document_frequency(docs, known)
+        for x in block:
+            x.choose_seeds(df)
+        yield docs.sparkSession.sparkContext.broadcast(_Searcher(block))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item of which a copy, exact or edited, stands in the document.
 
     Returns doc_id, item_id, score (best alignment over that of a full copy, 0
-    to 1), start and end (bytes of the UTF-8 text that the passage covers) and
-    _key (hash of the row's id and text).  The best passage of each item is
-    given, the first on ties.  Null texts have no words; items under
-    ``MIN_WORDS`` words or without an id are not searched; repeated documents
-    are judged each; an empty table on either side gives no rows.
+    to 1), start and end (bytes of the UTF-8 text that the passage covers).
+    The best passage of each item is given, the first on ties.  An item of fewer
+    than ``MIN_WORDS`` words counts where all its words stand in a row; one
+    without words is in no document.  Items are told apart by id and text: all
+    texts of a repeated or null item_id are searched, and each that is found gives
+    a row; repeated items count once.  Null texts have no words; repeated
+    documents are judged each; ids that aren't numbers become null; an empty
+    table on either side gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_key"))
-    grams = materialize(item_grams(items, threshold), "item-grams")
-    texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-grams.count() // BROADCAST_SEEDS))
+    small_batches(docs.sparkSession)
+    slim = docs.select(doc_id(), "text")
+    schema = "doc_id long, item_id long, score double, start long, end long"
+    names = ["doc_id", "item_id", "score", "start", "end"]
+    kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def searched(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = shared.value.search(batch.column(1))
+                index = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1))], names=names)
+
+        return slim.mapInArrow(run, schema)
+
     out = None
-    for k in range(blocks):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k
-        rows = grams.filter(mine).distinct().toArrow()
-        listed = list(zip(*(rows[c].to_pylist() for c in ("item_id", "pos", "gram", "need"))))
-        known = np.unique(np.array([x[2] for x in listed], np.int64).view(np.uint64))
-        seeds, needs = choose_seeds(listed, document_frequency(slim, known) if len(known) else {})
-        wanted = {i for i, _, _ in seeds}
-        block_texts = texts.filter(mine).toArrow()
-        by_id = {i: t for i, t in zip(block_texts["item_id"].to_pylist(), block_texts["text"].to_pylist()) if i in wanted}
-        found = slim.mapInArrow(_searcher(spark, seeds, needs, by_id, threshold), "doc_id long, item_id long, score double, start long, end long, _key long")
+    for shared in _searchers(docs, items, threshold, block_words):
+        found = searched(shared)
         out = found if out is None else out.union(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _searcher(spark, seeds: list[tuple[int, int, int]], needs: dict[int, int], by_id: dict[int, str], threshold: float):
-    seeds = sorted(seeds, key=lambda s: (s[2] & (2**64 - 1), s[0], s[1]))
-    known, counts = np.unique(np.array([s[2] for s in seeds], np.int64).view(np.uint64), return_counts=True)
-    ids = sorted(by_id)
-    place = {i: k for k, i in enumerate(ids)}
-    item_words = [words(by_id[i]) for i in ids]
-    need = np.array([needs[i] for i in ids], np.int64)
-    gaps = np.array([reach(len(w), threshold) for w in item_words], np.int64)
-    sent = spark.sparkContext.broadcast((known, counts, np.array([place[s[0]] for s in seeds], np.int64), np.array([s[1] for s in seeds], np.int64), ids, item_words, need, gaps))
+def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item was found; nulls and edge cases as in ``find_leaks``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, items_of, pos_of, ids, item_words, need, gaps = sent.value
-        at_seed = np.concatenate([[0], np.cumsum(counts)])
-        for batch in batches:
-            rows: list[tuple] = []
-            for a, b, buf, offs in chunks(batch.column(1)):
-                if not len(known):
-                    continue
-                buf, folded_offs, back = _folded(buf, offs)
-                h, first, starts, ends = _hashes(buf, folded_offs)
-                at, doc, slot = _hits(h, first, known)
-                if not len(at):
-                    continue
-                # One row for each hit and each item position that has the n-gram.
-                many = counts[slot]
-                seed = np.repeat(at_seed[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                item, pos = items_of[seed], pos_of[seed]
-                found = _passages(np.repeat(doc, many) * len(ids) + item, np.repeat(at, many) - pos, pos, need[item], gaps[item])
-                raw, best = None, {}
-                for pair, low, high in found:
-                    d, k = divmod(pair, len(ids))
-                    target, slack = item_words[k], int(gaps[k])
-                    lo = max(int(first[d]), low - slack)
-                    hi = min(int(first[d + 1]), high + len(target) + slack)
-                    raw = buf.tobytes() if raw is None else raw
-                    passage = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                    got, x, y = align(target, passage)
-                    score = got / (MATCH * len(target))
-                    if score >= threshold and score > best.get((d, k), (0.0,))[0]:
-                        best[d, k] = (score, lo + x, lo + y)
-                rows += [(a + d, ids[k], score, int(back[starts[x]] - offs[d]), int(back[ends[y - 1]] - offs[d])) for (d, k), (score, x, y) in best.items()]
-            index = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))), batch.column(2).take(index)],
-                names=["doc_id", "item_id", "score", "start", "end", "_key"],
-            )
-
-    return run
-
-
-def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item was found."""
-    leaks = find_leaks(docs, items, threshold).select("_key").distinct()
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(leaks, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Every block of items is one narrow pass over the rows; nothing is joined.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def passed(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[r[0] for r in shared.value.search(batch.column(at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return map_rows(rows, run)
+
+    out = docs
+    for shared in _searchers(docs, items, threshold, block_words):
+        out = passed(out, shared)
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import discard, materialize, partitions, small_batches
+from .runtime import discard, doc_id, materialize, partitions, quoted, row_key, small_batches, unused
 from .textkit import chunks, shingles, words_of
 
 #: log2 of the frequency table's buckets, and buckets in one of its rows.
@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, gram: int = 4, threshold: tuple[int, int
     least one; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("_key"))
+    base = docs.select(doc_id(), F.col("text"), row_key().alias("_key"))
     entries = _entries(base, shingle_frequency(base, gram, lower), gram, lower, threshold)
     all_rows = materialize(entries.filter("token is not null or key is not null").select("token", "sid", "size", "pos", "key"), "jaccard-entries")
     heads = all_rows.filter("token is null").groupBy("key").agg(F.first("sid").alias("sid"), F.first("size").cast("long").alias("n_shingles"))
@@ -353,6 +353,7 @@ def _reachable(t: tuple[int, int]):
 def keep_one_per_group(docs: DataFrame, gram: int = 5, threshold: tuple[int, int] = (80, 100), lower: bool = True) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: the least doc_id, and one of repeated rows."""
     found = jaccard_components(docs, gram, threshold, lower)
-    keep = found.filter("first").select("_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = unused(docs.columns, "_key")
+    keep = found.filter("first").select(F.col("_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key())
+    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(*quoted(docs.columns))

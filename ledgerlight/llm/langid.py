@@ -11,23 +11,32 @@ The model is bounded by its parameters, so it is broadcast.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import small_batches
+from .runtime import map_rows, quoted, small_batches
 
-#: Labelled texts taken at most (those whose id hashes lowest), words kept per language, n-gram length and n-grams kept.
-SAMPLE, VOCABULARY, MAX_GRAM, GRAMS = 4000, 20_000, 4, 40_000
+#: Labelled texts taken at most (those whose id hashes lowest), and n-gram length.  Every word and n-gram of the sample is learned.
+SAMPLE, MAX_GRAM = 4000, 4
 #: Factor for each character that an n-gram is shorter than the longest, and words remembered by a worker.
 BACKOFF, REMEMBERED = 0.6, 400_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+_WORD, _MARK = re.compile(r"[^\W\d_]+"), re.compile(f"[{_MARKS}]")
+_MARKED_WORD = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased runs of letters and of the marks that combine with them (as in Indic scripts)."""
+    text = text.lower()
+    return (_MARKED_WORD if _MARK.search(text) else _WORD).findall(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -90,7 +99,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the evidence, 0 to 1; ``und`` and 0 for a text without letters."""
-        found = _WORD.findall(text.lower()) if text and self.langs else []
+        found = tokens(text) if text and self.langs else []
         if not any(c.isalpha() for w in found for c in w):  # superscripts and the like are no letters
             return "und", 0.0
         if self.rows is None or len(self.rows) > len(self.words) + REMEMBERED:
@@ -106,7 +115,7 @@ class Model:
 def _tokens(lang: str, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
     words: Counter[str] = Counter()
     for t in texts:
-        words.update(_WORD.findall(t.lower()))
+        words.update(tokens(t))
     grams: Counter[str] = Counter()
     for w, c in words.items():
         padded = f"_{w}_"
@@ -121,8 +130,10 @@ def _tokens(lang: str, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
 def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows with a text and a label, chosen by a hash of their key, the same at every run.
 
-    Counting is distributed; the driver gets the kept words and n-grams only:
-    at most ``VOCABULARY`` words per language and ``GRAMS`` n-grams per language.
+    Counting is distributed; the driver gets the distinct words and n-grams of
+    the sample, which bounds them.  Rows without text or label teach nothing,
+    repeated rows count as often as they occur, rows whose hash is the bound's are
+    taken up to the bound, and an empty table gives a model that knows no language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col(key), "text").alias("_h"))
@@ -140,16 +151,14 @@ def train(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["kind", "lang", "token", "n"])
 
     counts = rows.mapInArrow(count, "kind int, lang string, token string, n long").groupBy("kind", "lang", "token").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("kind", "lang")
-    best = counts.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "token")), "all": F.sum("n").over(w)})
-    best = best.filter(F.col("rank") <= F.when(F.col("kind") == 0, VOCABULARY).otherwise(GRAMS)).select("kind", "lang", "token", "n", "all").toArrow()
-    langs = sorted(set(best["lang"].to_pylist()))
+    found = counts.toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
     tables: tuple[dict, dict] = ({}, {})
     totals = ([0] * len(langs), [0] * len(langs))
-    for kind, lang, token, n, total in zip(*(best[c].to_pylist() for c in ("kind", "lang", "token", "n", "all"))):
+    for kind, lang, token, n in zip(*(found[c].to_pylist() for c in ("kind", "lang", "token", "n"))):
         tables[kind].setdefault(token, [0] * len(langs))[at[lang]] = n
-        totals[kind][at[lang]] = total
+        totals[kind][at[lang]] += n
     return Model(langs, tables[0], tables[1], totals)
 
 
@@ -163,13 +172,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             found = [m.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[f"c{i}" for i in range(len(kept) + 2)])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return map_rows(docs.select(*quoted(kept)), run, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))

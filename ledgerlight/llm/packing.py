@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import small_batches
+from .runtime import doc_id, small_batches
 
 WINDOW = 2048
 EOS = 1
@@ -217,4 +217,4 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
         packer.flush(True)
         yield packer.take()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return docs.select(doc_id(), F.col("text")).mapInArrow(run, SCHEMA)

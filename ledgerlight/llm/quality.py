@@ -1,9 +1,15 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
 Every document gets counts from its whole text, computed inside its own row.
-Thresholds are not fixed: quantile summaries of the rates, built per language
-and source with map-side partial sketches that merge, give each group its own
-limits, and a join brings them back to the documents.
+No threshold is fixed.  Quantile summaries of the nonzero part of each rate are
+built per language and source, per language and over all, with map-side partial
+sketches that merge.  A group's limit is the natural break of its summary: the
+place that parts the least rate and the quantiles into two classes with the most
+variance between them.  Where the upper class isn't at least ``APART`` times as
+high as the lower one on average there is no break, and the limit lies as far
+above the upper quantile as that is above the median.  Limits of few rows are
+drawn towards those of the language, and these towards those of all, by
+``PRIOR_ROWS`` rows' worth; a join brings them back to the documents.
 """
 
 from __future__ import annotations
@@ -13,20 +19,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import doc_id, materialize, spread_join
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 GRAM = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Rates judged by group, their upper quantile, and how far beyond it (as a share of the spread from the median) a rate may go.
+#: Rates judged by group; quantiles of a summary (multiples of 1 / STEPS), and how far apart the means of two classes are at least.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate")
-UPPER, MARGIN = 0.9, 3.0
-#: Accuracy of a quantile summary (rank error 1 / accuracy), and rows below which a group takes its language's thresholds.
-ACCURACY, MIN_GROUP = 2000, 50
-#: Rates never judged too high, so that a group where nearly all rates are 0 has room.
-FLOOR = {"symbol_rate": 0.1, "dup_line_rate": 0.3, "repeat_rate": 0.2}
+STEPS, APART = 16, 2
+#: Accuracy of a quantile summary (rank error 1 / accuracy), and rows that the wider group's limit counts for.
+ACCURACY, PRIOR_ROWS = 2000, 50
+#: Groups (a key and three limits each) that a broadcast may hold; beyond it they are joined by parts of their rows.
+BROADCAST_GROUPS = 1 << 17
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,7 +86,7 @@ def measure(docs: DataFrame) -> DataFrame:
     words = F.transform(F.filter(F.split(text, SEPARATORS), lambda w: w != ""), lambda w: F.xxhash64(w))
     word_counts = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _let(_hashes(w), _repeated).alias("r")))
     char_counts = _let(bare, lambda x: F.struct(F.length(x).cast("long").alias("n"), F.length(F.translate(x, SYMBOLS, "")).cast("long").alias("rest")))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", line_counts.alias("_l"), word_counts.alias("_w"), char_counts.alias("_c"))
+    counted = docs.select(doc_id(), "lang", "source", line_counts.alias("_l"), word_counts.alias("_w"), char_counts.alias("_c"))
     return counted.select(
         "doc_id",
         "lang",
@@ -105,15 +111,52 @@ def _rates(measured: DataFrame) -> DataFrame:
     )
 
 
+def _limit(points: Column) -> Column:
+    """The limit from a group's least rate and its ``STEPS`` quantiles, in order; null without them."""
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
+
+    def parted(k: Column) -> Column:
+        low, high = mean(F.slice(points, F.lit(1), k)), mean(F.slice(points, k + 1, STEPS + 1 - k))
+        score = (k * (STEPS + 1 - k)).cast("double") * (high - low) * (high - low)
+        return F.struct(score.alias("score"), (-k).alias("k"), ((F.get(points, k - 1) + F.get(points, k)) / F.lit(2.0)).alias("at"), (high >= F.lit(float(APART)) * low).alias("apart"))
+
+    upper, median = F.get(points, F.lit(STEPS - 1)), F.get(points, F.lit(STEPS // 2))
+    breaks = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), parted)
+    return F.when(F.size(points) == STEPS + 1, _let(F.array_max(breaks), lambda b: F.when(b["apart"] & (b["score"] > 0), b["at"]).otherwise(upper + (upper - median))))
+
+
 def thresholds(rated: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of ``keys`` (nulls are a group): its size and, per rate, its limit.
+    """One row per group of ``keys`` (nulls are a group): its rows and, per rate, its limit, null where every rate is 0."""
+    steps = [k / STEPS for k in range(1, STEPS + 1)]
+    summaries = []
+    for r in RATES:
+        some = F.when(F.col(r) > 0, F.col(r))
+        summaries += [F.min(r).alias(f"least_{r}"), F.percentile_approx(some, steps, ACCURACY).alias(f"steps_{r}")]
+    found = rated.groupBy(*keys).agg(F.count("*").alias("group_rows"), *summaries)
+    points = [F.when(F.col(f"steps_{r}").isNotNull(), F.concat(F.array(f"least_{r}"), f"steps_{r}")) for r in RATES]
+    found = found.select(*keys, "group_rows", *[x.alias(f"points_{r}") for x, r in zip(points, RATES)])
+    return found.select(*keys, "group_rows", *[_let(F.col(f"points_{r}"), _limit).alias(f"max_{r}") for r in RATES])
 
-    The limit is the upper quantile plus ``MARGIN`` times its distance from the
-    median, and at least the rate's floor.
-    """
-    summaries = [F.percentile_approx(r, [0.5, UPPER], ACCURACY).alias(f"_{r}") for r in RATES]
-    limits = [F.greatest(F.get(f"_{r}", F.lit(1)) + MARGIN * (F.get(f"_{r}", F.lit(1)) - F.get(f"_{r}", F.lit(0))), F.lit(FLOOR[r])).alias(f"max_{r}") for r in RATES]
-    return rated.groupBy(*keys).agg(F.count("*").alias("group_rows"), *summaries).select(*keys, "group_rows", *limits)
+
+def _drawn(own: str, wide: str, rows: str) -> Column:
+    """A group's limit drawn towards that of the wider group; either one where the other is null."""
+    n = F.col(rows).cast("double")
+    return F.coalesce(F.col(wide) + (F.col(own) - F.col(wide)) * n / (n + F.lit(float(PRIOR_ROWS))), F.col(own), F.col(wide))
+
+
+def limits(sound: DataFrame) -> DataFrame:
+    """One row per language and source of ``sound`` (rated rows): group and, per rate, the limit that holds; null where every rate of the corpus is 0."""
+    whole = thresholds(sound, [])
+    langs = thresholds(sound, ["lang"]).join(F.broadcast(whole.select(*[F.col(f"max_{r}").alias(f"all_{r}") for r in RATES])))
+    langs = langs.select(F.col("lang").alias("of"), *[_drawn(f"max_{r}", f"all_{r}", "group_rows").alias(f"lang_{r}") for r in RATES])
+    groups = thresholds(sound, ["lang", "source"]).join(langs, F.col("lang").eqNullSafe(F.col("of")))
+    return groups.select("lang", "source", _group().alias("group"), *[_drawn(f"max_{r}", f"lang_{r}", "group_rows").alias(f"max_{r}") for r in RATES])
+
+
+def _group() -> Column:
+    return F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -121,31 +164,53 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 
     ``base_failed``: fewer than 10 words, or more than 20 % of the words inside
     repeated five-word windows.  ``kept``: not base_failed, and no rate above
-    the limit of the document's language and source; groups under
-    ``MIN_GROUP`` rows take the limits of their language.  Documents that
-    base_failed stay out of the summaries.  An empty table gives no rows.
+    the limit of the document's language and source; a rate at the limit is
+    kept.  Documents that base_failed stay out of the summaries; a null language
+    or source is a value of its own.  An empty table gives no rows.
     """
     rated = _rates(materialize(measure(docs), "quality-counts"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rated = rated.withColumn("base_failed", failed)
-    sound = rated.filter(~F.col("base_failed"))
-    by_source = thresholds(sound, ["lang", "source"]).filter(F.col("group_rows") >= MIN_GROUP)
-    by_lang = thresholds(sound, ["lang"])
-    a, s, t = rated.alias("a"), by_source.alias("s"), by_lang.alias("t")
-    joined = a.join(s, F.col("a.lang").eqNullSafe(F.col("s.lang")) & F.col("a.source").eqNullSafe(F.col("s.source")), "left").join(t, F.col("a.lang").eqNullSafe(F.col("t.lang")), "left")
+    rated = rated.withColumn("base_failed", failed).withColumn("group", _group())
+    found = materialize(limits(rated.filter(~F.col("base_failed"))).drop("lang", "source"), "quality-limits")
+    if found.count() <= BROADCAST_GROUPS:
+        joined = rated.join(F.broadcast(found), "group", "left")
+    else:
+        joined = spread_join(rated, found, "group", F.col("doc_id"))
     within = F.lit(True)
-    limits = []
     for r in RATES:
-        limit = F.coalesce(F.col(f"s.max_{r}"), F.col(f"t.max_{r}"), F.lit(FLOOR[r]))
-        within = within & (F.col(f"a.{r}") <= limit)
-        limits.append(limit.alias(f"max_{r}"))
+        within = within & (F.col(f"max_{r}").isNull() | (F.col(r) <= F.col(f"max_{r}")))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return joined.select(*[F.col(f"a.{c}") for c in columns], (~F.col("a.base_failed") & within).alias("kept"), *limits)
+    return joined.select(*columns, (~F.col("base_failed") & within).alias("kept"), *[f"max_{r}" for r in RATES])
 
 
 def oracle() -> str:
     """DuckDB SQL of the query's rows; quantiles are exact, as summaries of groups under some ten thousand rows are."""
-    return r"""
+
+    def break_at(p: str) -> str:
+        """The limit from the points in column ``p``."""
+        x = [f"{p}[{i + 1}]" for i in range(STEPS + 1)]
+        mean = lambda v: f"(({' + '.join(v)}) / {len(v)}.0::DOUBLE)"
+        breaks = []
+        for k in range(1, STEPS + 1):
+            low, high = mean(x[:k]), mean(x[k:])
+            breaks.append(f"{{'score': {k * (STEPS + 1 - k)}::DOUBLE * ({high} - {low}) * ({high} - {low}), 'k': {-k}, 'at': ({x[k - 1]} + {x[k]}) / 2.0::DOUBLE, 'apart': {high} >= {APART}::DOUBLE * {low}}}")
+        upper, median = x[STEPS - 1], x[STEPS // 2]
+        best = f"list_reverse_sort([{', '.join(breaks)}])[1]"
+        return f"list_transform([{best}], lambda brk: CASE WHEN brk.apart AND brk.score > 0 THEN brk.at ELSE {upper} + ({upper} - {median}) END)[1]"
+
+    steps = f"[{', '.join(str(k / STEPS) for k in range(1, STEPS + 1))}]"
+    rates = ("a", "b", "c")
+
+    def group(name: str, keys: str) -> str:
+        found = ", ".join(f"CASE WHEN count(*) FILTER ({r} > 0) > 0 THEN list_prepend(min({r}), quantile_disc({r}, {steps}) FILTER ({r} > 0)) END AS {r}" for r in rates)
+        by = f"GROUP BY {keys}" if keys else ""
+        limit = ", ".join(f"CASE WHEN {r} IS NOT NULL THEN {break_at(r)} END AS {r}" for r in rates)
+        return f"{name} AS (SELECT {keys + ', ' if keys else ''}n, {limit} FROM (SELECT {keys + ', ' if keys else ''}count(*)::DOUBLE AS n, {found} FROM rated WHERE NOT base_failed {by}))"
+
+    def drawn(own: str, wide: str, r: str) -> str:
+        return f"coalesce({wide}.{r} + ({own}.{r} - {wide}.{r}) * {own}.n / ({own}.n + {PRIOR_ROWS}.0::DOUBLE), {own}.{r}, {wide}.{r}) AS {r}"
+
+    return rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM base),
 grams AS (SELECT rid, i, array_to_string(w[i:i + 4], chr(1)) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
@@ -156,9 +221,12 @@ counted AS (SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coale
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN lines l ON l.rid = w.rid LEFT JOIN covered c ON c.rid = w.rid),
 rated AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS a, n_dup_lines / greatest(n_lines, 1) AS b, n_repeat_words / greatest(n_words, 1) AS c FROM counted),
-q AS (SELECT lang, source, count(*) AS n, quantile_disc(a, [0.5, 0.9]) AS a, quantile_disc(b, [0.5, 0.9]) AS b, quantile_disc(c, [0.5, 0.9]) AS c FROM rated WHERE NOT base_failed GROUP BY lang, source HAVING count(*) >= 50),
-p AS (SELECT lang, quantile_disc(a, [0.5, 0.9]) AS a, quantile_disc(b, [0.5, 0.9]) AS b, quantile_disc(c, [0.5, 0.9]) AS c FROM rated WHERE NOT base_failed GROUP BY lang),
-lim AS (SELECT r.*, coalesce(q.a, p.a) AS qa, coalesce(q.b, p.b) AS qb, coalesce(q.c, p.c) AS qc FROM rated r LEFT JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON p.lang IS NOT DISTINCT FROM r.lang)
+{group("t", "")},
+{group("l0", "lang")},
+l AS (SELECT l0.lang, {", ".join(drawn("l0", "t", r) for r in rates)} FROM l0, t),
+{group("s", "lang, source")},
+lim AS (SELECT s.lang, s.source, {", ".join(drawn("s", "l", r) for r in rates)} FROM s JOIN l ON l.lang IS NOT DISTINCT FROM s.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND a <= coalesce(greatest(qa[2] + 3 * (qa[2] - qa[1]), 0.1), 0.1) AND b <= coalesce(greatest(qb[2] + 3 * (qb[2] - qb[1]), 0.3), 0.3) AND c <= coalesce(greatest(qc[2] + 3 * (qc[2] - qc[1]), 0.2), 0.2) AS kept FROM lim
+  NOT base_failed AND {" AND ".join(f"(lim.{r} IS NULL OR r.{r} <= lim.{r})" for r in rates)} AS kept
+FROM rated r LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM r.lang AND lim.source IS NOT DISTINCT FROM r.source
 """

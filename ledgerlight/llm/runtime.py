@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -126,6 +127,14 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def map_rows(df: DataFrame, run, *added: T.StructField) -> DataFrame:
+    """``mapInArrow`` for tasks that keep all columns and put ``added`` after them; names may be any, so tasks see plain ones."""
+    plain = [f"c{i}" for i in range(len(df.columns) + len(added))]
+    fields = [*df.schema.fields, *added]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, fields)])
+    return df.toDF(*plain[: len(df.columns)]).mapInArrow(run, schema).toDF(*[f.name for f in fields])
+
+
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: Column, how: str = "left") -> DataFrame:
     """``big`` joined with ``small`` (one row per ``key``) such that no task gets all rows of one key.
 

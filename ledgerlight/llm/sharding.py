@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions
+from .runtime import doc_id, materialize, partitions
 
 SHARDS = 40
 #: Bytes counted for each row beside its text.
@@ -36,7 +36,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_B
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_id(),
         (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_row"),

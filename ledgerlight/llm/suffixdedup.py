@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, partitions, small_batches
+from .runtime import discard, doc_id, materialize, partitions, row_key, small_batches
 from .textkit import chunks, mix, powers, prefix_hash, span_hash
 
 LENGTH, ANCHOR, SHALLOW = 200, 64, 16
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     are kept; overlaps inside one text count; an empty table gives no rows.
     What is kept may end inside a character, therefore it is binary.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    base = docs.select(doc_id(), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("key"))
     spans = repeated_spans(base, length, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

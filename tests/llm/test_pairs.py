@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontam, jaccard, suffixdedup
 from ledgerlight.llm.components import connected_components
@@ -121,7 +122,7 @@ def test_alignment_score(a, b):
 
 
 def test_leaks_equal_brute_force(spark):
-    items = [(i, " ".join(H.prose(200 + i, 30, 10**5))) for i in range(6)] + [(90, "too short"), (91, None), (None, "a b c d e f g h")]
+    items = [(i, " ".join(H.prose(200 + i, 30, 10**5))) for i in range(6)] + [(90, "four short words here"), (91, None), (None, "a b c d e f g h"), (92, "word"), (92, "a second text of one id")]
     texts = []
     for i in range(6):
         w = items[i][1].split()
@@ -129,22 +130,60 @@ def test_leaks_equal_brute_force(spark):
         texts.append(" ".join(H.prose(i, 20) + edited(w, i, 5) + H.prose(i + 1, 20)))
         texts.append(" ".join(w[:8] + H.prose(i, 60)))
         texts.append(" ".join(w[:12] + ["ins"] + w[12:20] + w[22:]))
-    texts += ["", None, " ".join(H.prose(1, 5000))]
+    texts += ["", None, " ".join(H.prose(1, 5000)), "Four short, words here", "four short other words here", "x a b c d e f g h", "word", "so a second text of one id"]
     docs, bench = H.documents(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id bigint, text string")
     expected = set()
     for d, t in enumerate(texts):
         passage = decontam.words(t)
         for i, x in items:
             w = decontam.words(x)
-            if i is not None and len(w) >= decontam.MIN_WORDS and local_score(w, passage) / (2 * len(w)) >= decontam.THRESHOLD:
+            if w and local_score(w, passage) / (2 * len(w)) >= (decontam.THRESHOLD if len(w) >= decontam.MIN_WORDS else 1):
                 expected.add((d, i))
     got = decontam.find_leaks(H.clashing(docs), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == expected and len(got) == len(expected)
+    assert {i for _, i in expected} >= {90, None, 92}
     for r in got:
+        if r["doc_id"] >= 27:
+            continue
         span = texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
         assert local_score(decontam.words(dict(items)[r["item_id"]]), decontam.words(span)) / (2 * len(decontam.words(dict(items)[r["item_id"]]))) == pytest.approx(r["score"])
-    kept = {r["doc_id"] for r in decontam.drop_leaking(docs, bench).collect()}
-    assert kept == set(range(len(texts))) - {d for d, _ in expected}
+    for words in (decontam.BLOCK_WORDS, 40):  # one block of items, and several
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench, block_words=words).collect()} == expected
+        clean = decontam.drop_leaking(H.clashing(docs), bench, block_words=words)
+        assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+        assert clean.columns == H.clashing(docs).columns and {r["_key"] for r in clean.collect()} == {"x"} == {r["a.b"] for r in clean.collect()}
+
+
+def test_ids_of_any_type(spark):
+    """Whatever the type of doc_id, the same rows go; those of a null id are judged by their texts."""
+    item = " ".join(H.prose(600, 20, 10**5))
+    rows = [(1, "own text " + " ".join(H.prose(1, 30, 10**5))), (2, "leak " + item), (None, item), (None, "another clean text " + " ".join(H.prose(2, 30, 10**5))), (3, "own text " + " ".join(H.prose(1, 30, 10**5)))]
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    for kind in ("int", "string", "long"):
+        docs = H.clashing(H.documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)))
+        kept = decontam.drop_leaking(docs, bench)
+        assert kept.dtypes == docs.dtypes
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
+        one = jaccard.keep_one_per_group(docs)
+        assert one.dtypes == docs.dtypes and {r["_key"] for r in one.collect()} == {"x"}
+        assert sorted(str(r["doc_id"]) for r in one.collect()) == ["1", "2", "None"]
+        assert suffixdedup.remove_repeats(docs).count() == 5
+    docs = H.documents(spark, rows).withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    assert sorted(str(r["doc_id"]) for r in decontam.drop_leaking(docs, bench).collect()) == ["None", "id-1", "id-3"]
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a chunk of the kernels, with a leak, a repeated passage and a near copy at their ends."""
+    item = " ".join(H.prose(601, 25, 10**5))
+    long = " ".join(H.prose(44, 250_000, 10**6))
+    assert len(long) > decontam.chunks.__defaults__[0]
+    texts = [long + " " + item, "short " + item, long]
+    docs = H.documents(spark, list(enumerate(texts)))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()} == {0, 1}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    got = {r["doc_id"]: r["n_removed"] for r in suffixdedup.remove_repeats(docs, with_text=False).collect()}
+    assert got == {0: len(texts[0]), 1: len(item) + 1, 2: len(long)}
 
 
 def test_leak_with_one_long_insertion(spark):
