@@ -174,7 +174,8 @@ def test_ids_of_any_type(spark):
 
 def test_very_long_texts(spark):
     """Texts beyond a chunk of the kernels, with a leak, a repeated passage and a near copy at their ends."""
-    item = " ".join(H.prose(601, 25, 10**5))
+    item = " ".join(H.prose(601, 50, 10**5))
+    assert len(item) >= suffixdedup.LENGTH  # the least that a repeat covers
     long = " ".join(H.prose(44, 250_000, 10**6))
     assert len(long) > decontam.chunks.__defaults__[0]
     texts = [long + " " + item, "short " + item, long]
