@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, doc_id, materialize, small_batches
+from .runtime import doc_id, materialize, small_batches
 from .textkit import buffer_of, chunks, mix, words_of
 
 #: Absolute discount of a bigram's count, and what is added to each word's count.
@@ -66,9 +66,9 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Keys:
-    """A chunk's distinct bigrams and words, each in order of bucket and key, and where its words have them."""
+    """A chunk's distinct words and, unless left out, bigrams, each in order of bucket and key, and where its words have them."""
 
-    def __init__(self, texts: pa.Table, deal: tuple[int, int]):
+    def __init__(self, texts: pa.Table, deal: tuple[int, int], pairs: bool = True):
         got = [words_of(buf, offs, lower=True) for _, _, buf, offs in chunks(texts["text"].combine_chunks())]
         words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in got)])
         n = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for _, f in got)])
@@ -87,6 +87,8 @@ class _Keys:
         self.past[1:] = self.word[:-1]
         self.past[self.first[:-1][n > 0]] = begin
         self.used = [np.bincount(x[y], minlength=len(known)) for x in (self.word, self.past) for y in (slice(None), wanted)]  # as words, as histories; of all, of target texts
+        if not pairs:
+            return
         found, at, n = _distinct(self.past * len(known) + self.word)
         past, word = found // len(known), found % len(known)
         bucket = ((self.words[past] % one) * two + self.words[word] % two).astype(np.int64)
@@ -114,25 +116,25 @@ def _unpack(data: bytes, columns: int) -> np.ndarray:
     return np.frombuffer(data, "<u8" if data[0] else "<u4", offset=1).reshape(columns, -1).astype(np.int64)
 
 
-SENT = "pairs boolean, bucket long, chunk long, keys binary, runs binary, others binary, counts binary"
+SENT = "bucket long, chunk long, keys binary, runs binary, others binary, counts binary"
 BACK = "pairs boolean, bucket long, chunk long, counts binary"
 
 
-def _sent(rows: DataFrame, deal: tuple[int, int]) -> DataFrame:
-    """What every chunk sends to its buckets."""
+def _sent(rows: DataFrame, deal: tuple[int, int], pairs: bool) -> DataFrame:
+    """What every chunk sends to its buckets: its bigrams or its words."""
 
     def of(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
-        k = _Keys(pa.Table.from_batches(held).combine_chunks(), deal)
+        k = _Keys(pa.Table.from_batches(held).combine_chunks(), deal, pairs)
         out = []
-        for bucket, a, b in _parts(k.pair_bucket):
+        for bucket, a, b in _parts(k.pair_bucket) if pairs else ():
             heads = np.flatnonzero(np.concatenate([[True], k.h[a + 1 : b] != k.h[a : b - 1]]))
             runs = np.diff(np.append(heads, b - a))
-            out.append((True, bucket, chunk, k.h[a:b][heads].tobytes(), runs.astype("<u4").tobytes(), k.w[a:b].tobytes(), _pack(*(c[a:b] for c in k.counts))))
-        for bucket, a, b in _parts(k.word_bucket):
-            out.append((False, bucket, chunk, k.words[a:b].tobytes(), None, None, _pack(*(c[a:b] for c in k.used))))
-        columns = list(zip(*out)) if out else [[]] * 7
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["pairs", "bucket", "chunk", "keys", "runs", "others", "counts"])
+            out.append((bucket, chunk, k.h[a:b][heads].tobytes(), runs.astype("<u4").tobytes(), k.w[a:b].tobytes(), _pack(*(c[a:b] for c in k.counts))))
+        for bucket, a, b in () if pairs else _parts(k.word_bucket):
+            out.append((bucket, chunk, k.words[a:b].tobytes(), None, None, _pack(*(c[a:b] for c in k.used))))
+        columns = list(zip(*out)) if out else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "chunk", "keys", "runs", "others", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -195,7 +197,7 @@ def _pair_sums(sent: DataFrame, deal: tuple[int, int]) -> DataFrame:
             out.append((False, bucket, None, past[order[a:b]].tobytes(), _pack(*(f[order[a:b]] for f in follow))))
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("pairs", "bucket", "chunk", "keys", "counts"), zip(*out), (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
 
-    return sent.filter("pairs").groupBy("bucket").applyInArrow(run, "pairs boolean, bucket long, chunk long, keys binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(run, "pairs boolean, bucket long, chunk long, keys binary, counts binary")
 
 
 def _word_sums(sent: DataFrame) -> DataFrame:
@@ -240,11 +242,10 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-rows.select("chunk").distinct().count() * CHUNK // BUCKET))
     two = math.isqrt(buckets)
     deal = (-(-buckets // two), two)
-    sent = materialize(_sent(rows, deal), "lm-sent")
-    pairs = materialize(_pair_sums(sent, deal), "lm-pairs")
-    words = sent.filter("not pairs").select("bucket", "chunk", "keys", "counts").union(pairs.filter("not pairs").select("bucket", "chunk", "keys", "counts"))
-    words = materialize(_word_sums(words), "lm-words")
-    discard(sent)
+    # What is sent lies only in the shuffle: texts are read once for bigrams and once for words, as keys don't compress.
+    pairs = materialize(_pair_sums(_sent(rows, deal, True), deal), "lm-pairs")
+    own = _sent(rows, deal, False).select("bucket", "chunk", "keys", "counts")
+    words = materialize(_word_sums(own.union(pairs.filter("not pairs").select("bucket", "chunk", "keys", "counts"))), "lm-words")
     total = np.zeros(3, np.int64)
     for r in words.filter("chunk is null").select("counts").toLocalIterator():  # one short row a bucket
         total += _unpack(bytes(r[0]), 3)[:, 0]
