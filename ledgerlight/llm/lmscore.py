@@ -107,13 +107,14 @@ def _parts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Counts side by side; 32 bits each where they fit."""
-    wide = any(len(c) and int(c.max()) >> 32 for c in columns)
-    return (b"\1" if wide else b"\0") + b"".join(c.astype("<u8" if wide else "<u4").tobytes() for c in columns)
+    """Counts side by side, after their width: the least of 1, 2, 4 and 8 bytes that holds all of them."""
+    most = max((int(c.max()) for c in columns if len(c)), default=0)
+    width = next(w for w in (1, 2, 4, 8) if not most >> 8 * w)
+    return bytes([width]) + b"".join(c.astype(f"<u{width}").tobytes() for c in columns)
 
 
 def _unpack(data: bytes, columns: int) -> np.ndarray:
-    return np.frombuffer(data, "<u8" if data[0] else "<u4", offset=1).reshape(columns, -1).astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).reshape(columns, -1).astype(np.int64)
 
 
 SENT = "bucket long, chunk long, keys binary, runs binary, others binary, counts binary"
