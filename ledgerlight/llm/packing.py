@@ -8,9 +8,12 @@ a token grid, so that the sum of padding and cut penalties is least.  With
     best[i] = penalty(i) + min over i - window <= j < i of best[j] + window - (i - j)
 
 so the inner minimum is over ``best[j] + j``: a monotone queue gives it in
-amortised constant time.  Sequences whose length is a power of two need no
-padding and enter as direct transitions.  The stream is cut in bounded buffers;
-the last sequence of a buffer is carried into the next one.
+amortised constant time.  Padding counts as lost room at every length: a short
+power of two, which needs no padding, would lose the rest of a sequence all the
+same.  Only a task's last window of tokens, which cannot fill its sequence, may
+be cut into powers of two; they enter there as direct transitions.  The stream
+is cut in bounded buffers; the last sequence of a buffer is carried into the
+next one.
 
 Nothing is shuffled: each task packs what it scans, so the plan is one narrow
 stage at any size, and a lost task is redone alone with the same result.
@@ -35,7 +38,7 @@ from .runtime import doc_id, small_batches
 WINDOW = 2048
 EOS = 1
 #: Costs, in tokens of padding: of any sequence, of a cut at a sentence end inside a document, of a cut elsewhere inside one.
-OPEN_COST, SENTENCE_COST, HARD_COST = 8.0, 2.0, 12.0
+OPEN_COST, SENTENCE_COST, HARD_COST = 8.0, 8.0, 32.0
 #: Tokens between the grid's cut places, and tokens held before a buffer is cut.
 GRID, BUFFER_TOKENS = 64, 1 << 20
 
@@ -63,9 +66,9 @@ def default_vocabulary() -> str:
 def load_encoder(path: str):
     """A byte-level BPE of the vocabulary and merges in ``path``, and the flags of ids that end a sentence.
 
-    The file is the JSON form of a public tokenizer.  Ids equal those of the
-    ``tokenizers`` library for every text; strings of special tokens in a text
-    are ordinary text.
+    The file is the JSON form of a public tokenizer.  Ids equal those that the
+    ``tokenizers`` library's ``encode`` gives for every text: the string of an
+    added token has that token's id, and parts the text.
     """
     import json
 
@@ -73,21 +76,30 @@ def load_encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], {t["content"]: t["id"] for t in file["added_tokens"]}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(printable))}
-    raw = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in to_byte for c in token) and not token.startswith("<|")}
-    encoder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=raw, special_tokens={})
-    ends = np.zeros(max(raw.values()) + 2, bool)
+    raw = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in to_byte for c in token) and token not in added}
+    encoder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=raw, special_tokens=added)
+    ends = np.zeros(max(*raw.values(), *added.values()) + 1, bool)
     for token, i in raw.items():
         ends[i] = token.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in token
-    ends[EOS] = True
+    ends[[EOS, *added.values()]] = True
     return encoder, ends
 
 
-def choose_cuts(n: int, places: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
+def token_ids(encoder, text: str | None) -> np.ndarray:
+    """Ids of a text (null: empty) and the end mark."""
+    return np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), EOS).astype(np.uint32, copy=False)
+
+
+def choose_cuts(n: int, places: np.ndarray, costs: np.ndarray, window: int, tail: int | None = None) -> list[int]:
     """Ends of the sequences of a stream of ``n`` tokens.
 
+    Sequences from place ``tail`` on (none by default) have no cost of padding
+    at a power of two.
+
     ``places`` are the allowed cut places in rising order, the last being ``n``;
     consecutive ones, and 0 and the first, are at most ``window`` apart.
     ``costs`` are their penalties.  Ties go to the longer sequence.
@@ -95,6 +107,7 @@ def choose_cuts(n: int, places: np.ndarray, costs: np.ndarray, window: int) -> l
     at = places.tolist()
     cost = costs.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    tail = n if tail is None else tail
     best, back = {0: 0.0}, {}
     queue: deque[tuple[int, float]] = deque([(0, 0.0)])  # rising in best[j] + j
     get = best.get
@@ -103,10 +116,11 @@ def choose_cuts(n: int, places: np.ndarray, costs: np.ndarray, window: int) -> l
             queue.popleft()
         j, key = queue[0]
         low, source = key + window - i, j
-        for p in powers:
-            b = get(i - p)
-            if b is not None and b < low:
-                low, source = b, i - p
+        if i > tail:
+            for p in powers:
+                b = get(i - p) if i - p >= tail else None
+                if b is not None and b < low:
+                    low, source = b, i - p
         low += c + OPEN_COST
         best[i], back[i] = low, source
         key = low + i
@@ -160,7 +174,7 @@ class _Packer:
         stream = np.concatenate([d[2] for d in self.docs])
         doc_ends = np.cumsum([len(d[2]) for d in self.docs])
         places, costs = cut_places(self.sentence_ends[stream], doc_ends, self.window, last)
-        cuts = choose_cuts(len(stream), places, costs, self.window)
+        cuts = choose_cuts(len(stream), places, costs, self.window, max(0, len(stream) - self.window) if last else None)
         if not last:
             cuts = cuts[:-1]
         done, k, a = 0, 0, 0
@@ -209,9 +223,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
         packer = _Packer(TaskContext.get().partitionId(), window, ends, with_ids)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode_ordinary(text.as_py() or "")
-                ids.append(EOS)
-                packer.add(doc_id, np.array(ids, dtype=np.uint32))
+                packer.add(doc_id, token_ids(encoder, text.as_py()))
                 if len(packer.out) >= 4096:
                     yield packer.take()
         packer.flush(True)

@@ -17,7 +17,7 @@ from ledgerlight.llm import extraction, langid, linededup, lmscore, packing, qua
 from ..conftest import DATA
 from . import helpers as H
 
-VARIED = ["A b. C d! e", "", None, "x", "naïve café — ok.\n" * 40, "<|endoftext|> text", "word " * 9000, "日本語 текст"]
+VARIED = ["A b. C d! e", "", None, "x", "naïve café — ok.\n" * 40, "<|endoftext|> text", "a <|endoftext|>\n<|endoftext|><|endoftext|>b <|endoftext|", "word " * 9000, "日本語 текст"]
 
 
 # --- packing ---------------------------------------------------------------------
@@ -28,7 +28,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = list(enumerate(VARIED)) + [(None, "no id"), (3, "x")]
     got = packing.pack_documents(H.clashing(H.documents(spark, rows).coalesce(1))).collect()
     pieces, sequences = {}, {}
@@ -58,37 +57,62 @@ def test_ids_equal_the_tokenizer_on_the_test_table(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encoder, _ = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    assert [encoder.encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts += [x or "" for x in VARIED]
+    assert [packing.token_ids(encoder, x).tolist() for x in texts] == [e.ids + [packing.EOS] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_little_padding_on_the_test_table(spark):
-    got = packing.pack_documents(spark.read.parquet(f"{DATA}/documents.parquet"), with_ids=False).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    got = packing.pack_documents(docs, with_ids=False).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     sizes = [r["n"] for r in got]
     padding = sum(packing.WINDOW - n for n in sizes if n & (n - 1))
     assert padding < 0.01 * sum(sizes)
+    assert len(sizes) <= 1.02 * sum(sizes) / packing.WINDOW + 1
+
+
+def test_buffers_part_no_document_wrongly(spark, monkeypatch):
+    r = random.Random(5)
+    streams = [(i, np.array([r.randrange(2, 9000) for _ in range(r.choice([0, 3, 700, 6000]))] + [packing.EOS], np.uint32)) for i in range(60)]
+    _, ends = packing.load_encoder(packing.default_vocabulary())
+    monkeypatch.setattr(packing, "BUFFER_TOKENS", 5000)
+    packer = packing._Packer(0, packing.WINDOW, ends, True)
+    for doc_id, ids in streams:
+        packer.add(doc_id, ids)
+    packer.flush(True)
+    joined, filled = {}, Counter()
+    for doc_id, start, length, _, total, sequence, offset, piece in packer.out:
+        have = joined.setdefault(doc_id, [])
+        assert len(have) == start and offset == filled[sequence] and total == len(dict(streams)[doc_id])
+        have += np.frombuffer(piece, "<u4").tolist()
+        filled[sequence] += length
+    assert {i: ids.tolist() for i, ids in streams} == joined
+    assert max(filled.values()) <= packing.WINDOW and sorted(filled) == list(range(len(filled)))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.booleans(), min_size=1, max_size=60), st.integers(0, 9))
-def test_cuts_are_optimal(flags, seed):
+@given(st.lists(st.booleans(), min_size=1, max_size=60), st.integers(0, 9), st.integers(0, 60))
+def test_cuts_are_optimal(flags, seed, tail):
     window, n = 16, len(flags)
     r = random.Random(seed)
     places = np.array([i for i in range(1, n) if flags[i] or i % 8 == 0] + [n])
     costs = np.array([r.choice([0.0, 2.0, 12.0]) for _ in places])
 
+    def padding(start, size):
+        return 0 if start >= tail and size & (size - 1) == 0 else window - size
+
     def total(cuts):
         cost, at, by = 0.0, 0, dict(zip(places.tolist(), costs.tolist()))
         for c in cuts:
             size = c - at
             assert 0 < size <= window
-            cost += by[c] + packing.OPEN_COST + (0 if size & (size - 1) == 0 else window - size)
+            cost += by[c] + packing.OPEN_COST + padding(at, size)
             at = c
         return cost
 
     best = {0: 0.0}
     for i, c in zip(places.tolist(), costs.tolist()):
-        best[i] = min(best[j] + c + packing.OPEN_COST + (0 if (i - j) & (i - j - 1) == 0 else window - (i - j)) for j in best if 0 < i - j <= window)
-    assert total(packing.choose_cuts(n, places, costs, window)) == pytest.approx(best[n])
+        best[i] = min(best[j] + c + packing.OPEN_COST + padding(j, i - j) for j in best if 0 < i - j <= window)
+    assert total(packing.choose_cuts(n, places, costs, window, tail)) == pytest.approx(best[n])
 
 
 # --- sharding and quality -----------------------------------------------------------
