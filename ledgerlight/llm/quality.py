@@ -9,7 +9,10 @@ variance between them.  Where the upper class isn't at least ``APART`` times as
 high as the lower one on average there is no break, and the limit lies as far
 above the upper quantile as that is above the median.  Limits of few rows are
 drawn towards those of the language, and these towards those of all, by
-``PRIOR_ROWS`` rows' worth; a join brings them back to the documents.
+``PRIOR_ROWS`` rows' worth, but not into the group's own lower class (a group
+without a break is one class, up to its limit): from ``STEPS`` rows on, when a
+summary has a row for each quantile, not at all, and with fewer rows the less the
+more rows there are.  A join brings the limits back to the documents.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ def _rates(measured: DataFrame) -> DataFrame:
 
 
 def _limit(points: Column) -> Column:
-    """The limit from a group's least rate and its ``STEPS`` quantiles, in order; null without them."""
+    """The limit from a group's least rate and its ``STEPS`` quantiles, in order, and the top of its lower class; null without them."""
 
     def mean(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
@@ -120,15 +123,21 @@ def _limit(points: Column) -> Column:
     def parted(k: Column) -> Column:
         low, high = mean(F.slice(points, F.lit(1), k)), mean(F.slice(points, k + 1, STEPS + 1 - k))
         score = (k * (STEPS + 1 - k)).cast("double") * (high - low) * (high - low)
-        return F.struct(score.alias("score"), (-k).alias("k"), ((F.get(points, k - 1) + F.get(points, k)) / F.lit(2.0)).alias("at"), (high >= F.lit(float(APART)) * low).alias("apart"))
+        return F.struct(score.alias("score"), (-k).alias("k"), F.get(points, k - 1).alias("top"), ((F.get(points, k - 1) + F.get(points, k)) / F.lit(2.0)).alias("at"), (high >= F.lit(float(APART)) * low).alias("apart"))
 
     upper, median = F.get(points, F.lit(STEPS - 1)), F.get(points, F.lit(STEPS // 2))
+    whole = upper + (upper - median)
     breaks = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), parted)
-    return F.when(F.size(points) == STEPS + 1, _let(F.array_max(breaks), lambda b: F.when(b["apart"] & (b["score"] > 0), b["at"]).otherwise(upper + (upper - median))))
+
+    def chosen(b: Column) -> Column:
+        parts = b["apart"] & (b["score"] > 0)
+        return F.struct(F.when(parts, b["at"]).otherwise(whole).alias("at"), F.when(parts, b["top"]).otherwise(whole).alias("top"))
+
+    return F.when(F.size(points) == STEPS + 1, _let(F.array_max(breaks), chosen))
 
 
 def thresholds(rated: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of ``keys`` (nulls are a group): its rows and, per rate, its limit, null where every rate is 0."""
+    """One row per group of ``keys`` (nulls are a group): its rows and, per rate, its limit and the top of its lower class, null where every rate is 0."""
     steps = [k / STEPS for k in range(1, STEPS + 1)]
     summaries = []
     for r in RATES:
@@ -137,22 +146,24 @@ def thresholds(rated: DataFrame, keys: list[str]) -> DataFrame:
     found = rated.groupBy(*keys).agg(F.count("*").alias("group_rows"), *summaries)
     points = [F.when(F.col(f"steps_{r}").isNotNull(), F.concat(F.array(f"least_{r}"), f"steps_{r}")) for r in RATES]
     found = found.select(*keys, "group_rows", *[x.alias(f"points_{r}") for x, r in zip(points, RATES)])
-    return found.select(*keys, "group_rows", *[_let(F.col(f"points_{r}"), _limit).alias(f"max_{r}") for r in RATES])
+    found = found.select(*keys, "group_rows", *[_let(F.col(f"points_{r}"), _limit).alias(f"limit_{r}") for r in RATES])
+    return found.select(*keys, "group_rows", *[F.col(f"limit_{r}")[part].alias(f"{name}_{r}") for r in RATES for part, name in (("at", "max"), ("top", "top"))])
 
 
-def _drawn(own: str, wide: str, rows: str) -> Column:
-    """A group's limit drawn towards that of the wider group; either one where the other is null."""
-    n = F.col(rows).cast("double")
-    return F.coalesce(F.col(wide) + (F.col(own) - F.col(wide)) * n / (n + F.lit(float(PRIOR_ROWS))), F.col(own), F.col(wide))
+def _drawn(rate: str, wide: str) -> Column:
+    """A group's limit drawn towards that of the wider group, but not into its lower class; either one where the other is null."""
+    n, own, top, wider = F.col("group_rows").cast("double"), F.col(f"max_{rate}"), F.col(f"top_{rate}"), F.col(wide)
+    least = F.when(n >= STEPS, top).otherwise(wider + (top - wider) * (n - F.lit(1.0)) / F.lit(float(STEPS - 1)))
+    return F.coalesce(F.greatest(wider + (own - wider) * n / (n + F.lit(float(PRIOR_ROWS))), least), own, wider)
 
 
 def limits(sound: DataFrame) -> DataFrame:
     """One row per language and source of ``sound`` (rated rows): group and, per rate, the limit that holds; null where every rate of the corpus is 0."""
     whole = thresholds(sound, [])
     langs = thresholds(sound, ["lang"]).join(F.broadcast(whole.select(*[F.col(f"max_{r}").alias(f"all_{r}") for r in RATES])))
-    langs = langs.select(F.col("lang").alias("of"), *[_drawn(f"max_{r}", f"all_{r}", "group_rows").alias(f"lang_{r}") for r in RATES])
+    langs = langs.select(F.col("lang").alias("of"), *[_drawn(r, f"all_{r}").alias(f"lang_{r}") for r in RATES])
     groups = thresholds(sound, ["lang", "source"]).join(langs, F.col("lang").eqNullSafe(F.col("of")))
-    return groups.select("lang", "source", _group().alias("group"), *[_drawn(f"max_{r}", f"lang_{r}", "group_rows").alias(f"max_{r}") for r in RATES])
+    return groups.select("lang", "source", _group().alias("group"), *[_drawn(r, f"lang_{r}").alias(f"max_{r}") for r in RATES])
 
 
 def _group() -> Column:
@@ -187,16 +198,17 @@ def oracle() -> str:
     """DuckDB SQL of the query's rows; quantiles are exact, as summaries of groups under some ten thousand rows are."""
 
     def break_at(p: str) -> str:
-        """The limit from the points in column ``p``."""
+        """The limit from the points in column ``p``, and the top of the lower class."""
         x = [f"{p}[{i + 1}]" for i in range(STEPS + 1)]
         mean = lambda v: f"(({' + '.join(v)}) / {len(v)}.0::DOUBLE)"
         breaks = []
         for k in range(1, STEPS + 1):
             low, high = mean(x[:k]), mean(x[k:])
-            breaks.append(f"{{'score': {k * (STEPS + 1 - k)}::DOUBLE * ({high} - {low}) * ({high} - {low}), 'k': {-k}, 'at': ({x[k - 1]} + {x[k]}) / 2.0::DOUBLE, 'apart': {high} >= {APART}::DOUBLE * {low}}}")
+            breaks.append(f"{{'score': {k * (STEPS + 1 - k)}::DOUBLE * ({high} - {low}) * ({high} - {low}), 'k': {-k}, 'top': {x[k - 1]}, 'at': ({x[k - 1]} + {x[k]}) / 2.0::DOUBLE, 'apart': {high} >= {APART}::DOUBLE * {low}}}")
         upper, median = x[STEPS - 1], x[STEPS // 2]
         best = f"list_reverse_sort([{', '.join(breaks)}])[1]"
-        return f"list_transform([{best}], lambda brk: CASE WHEN brk.apart AND brk.score > 0 THEN brk.at ELSE {upper} + ({upper} - {median}) END)[1]"
+        one = lambda part: f"CASE WHEN brk.apart AND brk.score > 0 THEN brk.{part} ELSE {upper} + ({upper} - {median}) END"
+        return f"list_transform([{best}], lambda brk: {{'at': {one('at')}, 'top': {one('top')}}})[1]"
 
     steps = f"[{', '.join(str(k / STEPS) for k in range(1, STEPS + 1))}]"
     rates = ("a", "b", "c")
@@ -208,7 +220,9 @@ def oracle() -> str:
         return f"{name} AS (SELECT {keys + ', ' if keys else ''}n, {limit} FROM (SELECT {keys + ', ' if keys else ''}count(*)::DOUBLE AS n, {found} FROM rated WHERE NOT base_failed {by}))"
 
     def drawn(own: str, wide: str, r: str) -> str:
-        return f"coalesce({wide}.{r} + ({own}.{r} - {wide}.{r}) * {own}.n / ({own}.n + {PRIOR_ROWS}.0::DOUBLE), {own}.{r}, {wide}.{r}) AS {r}"
+        n, at, top = f"{own}.n", f"({own}.{r})['at']", f"({own}.{r})['top']"
+        least = f"CASE WHEN {n} >= {STEPS} THEN {top} ELSE {wide} + ({top} - {wide}) * ({n} - 1.0::DOUBLE) / {STEPS - 1}.0::DOUBLE END"
+        return f"coalesce(greatest({wide} + ({at} - {wide}) * {n} / ({n} + {PRIOR_ROWS}.0::DOUBLE), {least}), {at}, {wide}) AS {r}"
 
     return rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -223,9 +237,9 @@ counted AS (SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coale
 rated AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS a, n_dup_lines / greatest(n_lines, 1) AS b, n_repeat_words / greatest(n_words, 1) AS c FROM counted),
 {group("t", "")},
 {group("l0", "lang")},
-l AS (SELECT l0.lang, {", ".join(drawn("l0", "t", r) for r in rates)} FROM l0, t),
+l AS (SELECT l0.lang, {", ".join(drawn("l0", f"(t.{r})['at']", r) for r in rates)} FROM l0, t),
 {group("s", "lang, source")},
-lim AS (SELECT s.lang, s.source, {", ".join(drawn("s", "l", r) for r in rates)} FROM s JOIN l ON l.lang IS NOT DISTINCT FROM s.lang)
+lim AS (SELECT s.lang, s.source, {", ".join(drawn("s", f"l.{r}", r) for r in rates)} FROM s JOIN l ON l.lang IS NOT DISTINCT FROM s.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(f"(lim.{r} IS NULL OR r.{r} <= lim.{r})" for r in rates)} AS kept
 FROM rated r LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM r.lang AND lim.source IS NOT DISTINCT FROM r.source
