@@ -51,6 +51,13 @@ def overlap(terms: DataFrame, keyword: DataFrame, strict_keys: bool = False) ->
     return terms.join(keyword.select("slug", "project", "term"), "term").groupBy(*by).agg(F.count_distinct("term").alias("overlap"))
 
 
+def scores(requests: DataFrame, projection: DataFrame, keyword: DataFrame, today: str, project: str) -> DataFrame:
+    """(query_id, slug, project, overlap, score): every request with every fact that shares a term with it, whatever the status."""
+    facts = projection.select("slug", "project", static_score(F.lit(today), F.lit(project)).alias("static"))
+    rows = overlap(terms_of(requests), keyword).join(facts, "slug")
+    return rows.select("query_id", "slug", "project", "overlap", (W_OVERLAP * F.col("overlap") + F.col("static")).alias("score"))
+
+
 def _best(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "slug", "project")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -226,10 +226,7 @@ def rank_topk(s, d):
 
 @query
 def score(s, d):
-    r = bind.requests(s, d).filter("query_id = 0")
-    over = R.overlap(R.terms_of(r), _keyword(s, d)).drop("query_id")
-    rows = _projection(s, d).join(over, "slug", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("bigint")))
-    return _r6(rows.select("slug", "project", "overlap", (3 * F.col("overlap") + R.static_score(F.lit(TODAY), F.lit(PROJECT))).alias("score")), "score")
+    return _r6(R.scores(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT), "score")
 
 
 @query
@@ -510,7 +507,7 @@ def token_set_ratio(s, d):
 @query
 def dedup_check(s, d):
     known = bind.facts(s, d).filter("type = 'mistake'").select(F.col("slug").alias("id"), F.col("name").alias("cause"), F.col("doc_id").alias("ord"))
-    new = bind.requests(s, d).select(F.col("query_id").alias("new_id"), F.substring("text", 1, 40).alias("cause"))
+    new = bind.requests(s, d).select(F.col("query_id").alias("new_id"), F.col("text").alias("cause"))
     return _r6(G.dedup_check(new, known), "score")
 
 
