@@ -28,15 +28,24 @@ SAMPLE, MAX_GRAM = 4000, 4
 #: Factor for each character that an n-gram is shorter than the longest, and words remembered by a worker.
 BACKOFF, REMEMBERED = 0.6, 400_000
 
-_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
-_WORD, _MARK = re.compile(r"[^\W\d_]+"), re.compile(f"[{_MARKS}]")
-_MARKED_WORD = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks of the basic plane and of the planes beyond it; a class of both is searched by ranges, many times as slowly.
+_BASIC, _BEYOND = ("".join(chr(c) for c in r if unicodedata.category(chr(c))[0] == "M") for r in (range(0x300, 0x10000), range(0x10000, 0x20000)))
+_MARK, _FAR_MARK = re.compile(f"[{_BASIC}]"), re.compile(f"[{_BEYOND}]")
+_MARKED_WORD = re.compile(rf"(?:[^\W\d_]|[{_BASIC}{_BEYOND}])+")
+
+
+def _marked(text: str) -> bool:
+    """Whether a mark stands in ``text``; only texts with characters beyond the basic plane are searched for marks from there."""
+    if text.isascii():
+        return False
+    return bool(_MARK.search(text)) or (len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text) and bool(_FAR_MARK.search(text)))
 
 
 def tokens(text: str) -> list[str]:
     """Lower-cased runs of letters and of the marks that combine with them (as in Indic scripts)."""
     text = text.lower()
-    return (_MARKED_WORD if _MARK.search(text) else _WORD).findall(text)
+    return (_MARKED_WORD if _marked(text) else _WORD).findall(text)
 
 
 def held_out(doc_id: Column) -> Column:

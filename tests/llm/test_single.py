@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -199,6 +201,20 @@ def test_language_edge_cases(spark):
     assert langid.identify(tests, none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_words_with_combining_marks():
+    marks = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+    plain, marked = re.compile(r"[^\W\d_]+"), re.compile(rf"(?:[^\W\d_]|[{marks}])+")
+    for text in ("हिन्दी पाठ", "ab\U0001d165c d", "Été 12", "\U0001f600 plain é", "\U00011000न x", "e\u0301te\u0301", "", "abc d_e", "\ud800 ab"):
+        low = text.lower()
+        assert langid.tokens(text) == (marked if any(c in marks for c in low) else plain).findall(low)
+
+
+def test_language_of_a_long_text(spark):
+    model = langid.train(H.documents(spark, [(i, "the and of with", "en") for i in range(4)] + [(10 + i, "und der die das", "de") for i in range(4)]))
+    got = langid.identify(H.documents(spark, [(1, "der die das " * 200_000), (2, "the and " * 200_000)]), model).collect()
+    assert [r["lang_pred"] for r in got] == ["de", "en"]
+
+
 # --- extraction ---------------------------------------------------------------------------
 
 
