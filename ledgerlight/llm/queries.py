@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, jaccard, langid, linededup, lmscore, packing, quality, sharding, suffixdedup
-from .runtime import doc_id, table
+from . import audit, decontam, extraction, jaccard, langid, linededup, lmscore, packing, quality, sharding, suffixdedup, tokenfile
+from .runtime import doc_id, new_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_corpus(docs.join(good, "doc_id", "left"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents").select(doc_id(), "text"), path)
+    return tokenfile.token_digests(tokenfile.read_tokens(spark, path))
+
+
 _QUERIES = (
     op1_packing,
     op2_decontamination,
@@ -74,6 +84,8 @@ _QUERIES = (
     op8_suffix_array_dedup,
     op9_jaccard_join,
     op10_lm_scoring,
+    op11_filter_audit,
+    op12_token_files,
 )
 
 
@@ -82,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.oracle(), "op5_line_dedup": linededup.oracle()}
+    return {"op4_quality_rules": quality.oracle(), "op5_line_dedup": linededup.oracle(), "op11_filter_audit": audit.oracle()}

@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; ``release`` and ``sweep`` delete it as they do materialised tables."""
+    path = f"{shared_dir(spark)}/ledgerlight-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -41,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that every executor sees.  Shuffle files of the job are removed when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerlight-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     schema = df.schema
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -52,7 +59,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(schema).parquet(path)
     out._ledgerlight_path = path
     return out

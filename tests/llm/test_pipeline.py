@@ -58,7 +58,7 @@ def test_pipeline_equals_plain_stages(spark):
 
 def test_registered_queries(spark):
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     n_docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
     for n in ("op3_sharding", "op4_quality_rules", "op6_language_id", "op9_jaccard_join"):
         assert __spark_entry__.queries()[n](spark, DATA).count() == n_docs
