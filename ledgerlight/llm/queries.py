@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontam, extraction, jaccard, langid, linededup, lmscore, packing, quality, sharding, suffixdedup, tokenfile
+from . import audit, decontam, extraction, jaccard, langid, lexsearch, linededup, lmscore, packing, quality, sharding, suffixdedup, tokenfile
 from .runtime import doc_id, new_path, table
 
 
@@ -73,6 +73,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(tokenfile.read_tokens(spark, path))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexsearch.build_index(table(spark, sf_dir, "documents").select(doc_id(), "text"))
+    return lexsearch.search(index, table(spark, sf_dir, "benchmark"))
+
+
 _QUERIES = (
     op1_packing,
     op2_decontamination,
@@ -86,6 +91,7 @@ _QUERIES = (
     op10_lm_scoring,
     op11_filter_audit,
     op12_token_files,
+    op13_lexical_search,
 )
 
 
@@ -94,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.oracle(), "op5_line_dedup": linededup.oracle(), "op11_filter_audit": audit.oracle()}
+    return {"op4_quality_rules": quality.oracle(), "op5_line_dedup": linededup.oracle(), "op11_filter_audit": audit.oracle(), "op13_lexical_search": lexsearch.oracle()}
