@@ -168,7 +168,45 @@ def values(name: str) -> str:
     return f"{name}(i, v) AS (VALUES {rows})"
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence; ``a`` has 126 characters at most, as its rows are bits of one number."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    mask = f"list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END))::HUGEINT"
+    rows = f"list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask})), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({rows}) END"
+
+
+def token_set(text: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{Nd}}_]', ' ', 'g'), '\\s+'), lambda w: w <> '')))"
+
+
+def set_ratio(pairs: str, keep: str) -> str:
+    """CTEs that end in ``rated``: the columns ``keep`` of ``pairs`` (a, b: texts, the shorter one b) and their token-set similarity."""
+    return f"""r0 AS (SELECT {keep}, {token_set('a')} AS ta, {token_set('b')} AS tb FROM {pairs}),
+r1 AS (SELECT *, array_to_string(list_filter(ta, lambda w: list_contains(tb, w)), ' ') AS s, array_to_string(list_filter(ta, lambda w: NOT list_contains(tb, w)), ' ') AS x,
+  array_to_string(list_filter(tb, lambda w: NOT list_contains(ta, w)), ' ') AS y FROM r0),
+r2 AS (SELECT *, length(s) AS ls, length(x) AS lx, length(y) AS ly, (s <> '')::INT AS sep FROM r1),
+rated AS (SELECT {keep}, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0::DOUBLE WHEN s <> '' AND (x = '' OR y = '') THEN 100.0::DOUBLE ELSE greatest(
+  100.0::DOUBLE * (1 - (lx + ly - 2 * ({lcs('y', 'x')})) / (2 * (ls + sep) + lx + ly)::DOUBLE),
+  CASE WHEN s <> '' THEN 100.0::DOUBLE * (1 - (sep + lx) / (2 * ls + sep + lx)::DOUBLE) ELSE 0 END, CASE WHEN s <> '' THEN 100.0::DOUBLE * (1 - (sep + ly) / (2 * ls + sep + ly)::DOUBLE) ELSE 0 END) END AS score FROM r2)"""
+
+
+NEIGHBOURS = "neighbours AS (SELECT slug, name, lead(name) OVER (PARTITION BY project ORDER BY doc_id) AS other FROM facts QUALIFY other IS NOT NULL)"
+#: Facts just written against the mistakes before them; every pair is rated.
+MERGES = f"""mistakes AS (SELECT project, slug, name AS cause, CASE WHEN doc_id % 7 <> 0 THEN recurrence END AS recurrence, doc_id, doc_id // 9 % 3 = 0 AS fresh FROM facts WHERE type = 'mistake'),
+mpairs AS (SELECT n.project, n.slug, k.project AS to_project, k.slug AS to_slug, k.doc_id AS ord, n.cause AS a, k.cause AS b FROM mistakes n JOIN mistakes k ON n.fresh AND NOT k.fresh AND length(n.cause) >= 10 AND length(k.cause) >= 10),
+{set_ratio('mpairs', 'project, slug, to_project, to_slug, ord')},
+matches AS (SELECT * FROM rated WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY project, slug ORDER BY score DESC, ord) = 1)"""
+
 SQL: dict[str, str] = {
+    "indel_distance": with_(FACTS, NEIGHBOURS, select=f"SELECT slug, (length(name) + length(other) - 2 * ({lcs('name', 'other')}))::INTEGER AS distance FROM neighbours"),
+    "token_set_ratio": with_(FACTS, NEIGHBOURS, "p AS (SELECT slug, name AS a, other AS b FROM neighbours)", set_ratio("p", "slug"), select="SELECT slug, round(score, 6) AS score FROM rated"),
+    "dedup_check": with_(FACTS, "p AS (SELECT item_id AS new_id, slug, doc_id, text AS a, name AS b FROM benchmark CROSS JOIN facts WHERE type = 'mistake')", set_ratio("p", "new_id, slug, doc_id"), select="""SELECT new_id, CASE WHEN score >= 50 THEN slug END AS best_id,
+  CASE WHEN score >= 50 THEN round(score, 6) END AS score, CASE WHEN score >= 80 THEN 'blocked' WHEN score >= 50 THEN 'candidate' ELSE 'allow' END AS decision FROM rated QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY score DESC, doc_id) = 1"""),
+    "post_merge": with_(FACTS, MERGES, select="""SELECT m.project, m.slug, coalesce(m.recurrence + count(x.slug), -1)::BIGINT AS recurrence FROM mistakes m LEFT JOIN matches x ON x.score >= 80 AND x.to_project = m.project AND x.to_slug = m.slug
+  WHERE NOT EXISTS (SELECT 1 FROM matches g WHERE g.score >= 80 AND g.project = m.project AND g.slug = m.slug) GROUP BY m.project, m.slug, m.recurrence"""),
+    "merge_events": with_(FACTS, MERGES, select=f"""SELECT '{TODAY}' AS date, CASE WHEN score >= 80 THEN 'dedup-merged' ELSE 'dedup-candidate' END AS event,
+  regexp_replace(slug, '\\.md$', '') || CASE WHEN score >= 80 THEN '>' ELSE '~' END || regexp_replace(to_slug, '\\.md$', '') AS target, 'm1' AS session FROM matches"""),
     "wal_scan": with_(wal(), select="SELECT line_no, date, event, target, session FROM wal"),
     "wal_validate": with_(wal(True), select="""SELECT CASE WHEN len(string_split(v, '|')) <> 4 THEN 'columns' WHEN NOT regexp_full_match(date, '\\d{4}-\\d{2}-\\d{2}') THEN 'date' WHEN NOT regexp_full_match(event, '[a-z][a-z0-9-]*') THEN 'event' WHEN session = '' THEN 'session' ELSE 'ok' END AS reason, count(*) AS n
 FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROUP BY 1"""),

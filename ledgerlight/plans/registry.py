@@ -511,6 +511,26 @@ def dedup_check(s, d):
     return _r6(G.dedup_check(new, known), "score")
 
 
+def _mistakes(s, d) -> DataFrame:
+    """Facts with their cause; every seventh has no recurrence."""
+    f = bind.facts(s, d)
+    return f.select("project", "slug", "type", F.col("name").alias("cause"), F.when(F.col("doc_id") % 7 != 0, F.col("recurrence")).alias("recurrence"), F.col("doc_id").alias("ord"))
+
+
+def _written(s, d) -> DataFrame:
+    return bind.facts(s, d).filter(F.floor(F.col("doc_id") / 9) % 3 == 0).select("project", "slug")
+
+
+@query
+def post_merge(s, d):
+    return G.after_merge(_mistakes(s, d), _written(s, d)).filter("type = 'mistake'").select("project", "slug", F.coalesce("recurrence", F.lit(-1)).cast("bigint").alias("recurrence"))
+
+
+@query
+def merge_events(s, d):
+    return G.merge_events(G.written_matches(_mistakes(s, d), _written(s, d)), TODAY, "m1")
+
+
 def queries() -> dict[str, Query]:
     """Name -> query; every query runs over its whole tables."""
     return dict(_QUERIES)
