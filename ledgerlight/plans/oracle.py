@@ -198,7 +198,19 @@ mpairs AS (SELECT n.project, n.slug, k.project AS to_project, k.slug AS to_slug,
 {set_ratio('mpairs', 'project, slug, to_project, to_slug, ord')},
 matches AS (SELECT * FROM rated WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY project, slug ORDER BY score DESC, ord) = 1)"""
 
+TIMED = f"timed AS (SELECT w.*, epoch_us(e.ts) // 1000 AS ms FROM wal w JOIN events e ON e.event_id = w.line_no), now AS (SELECT epoch_us(TIMESTAMP '{TODAY} 00:00:00') // 1000 AS n)"
+#: Milliseconds of 24 hours.
+_DAY = 86_400_000
+
 SQL: dict[str, str] = {
+    "retro_silent": with_(wal(), TIMED, select=f"""SELECT strftime(make_timestamp((due * 1000)::BIGINT), '%Y-%m-%d') AS date, 'trigger-silent-retro' AS event, target, session
+FROM (SELECT session, target, min(ms) + {_DAY} AS due FROM timed WHERE event = 'inject' GROUP BY ALL) i, now WHERE due <= n
+  AND NOT EXISTS (SELECT 1 FROM timed c WHERE c.session = i.session AND c.event IN {_in(CLOSING_EVENTS)} AND c.ms <= i.due)"""),
+    "list_lives": with_(wal(), TIMED, select=f"""SELECT session, kind, max(ms)::BIGINT AS last, array_to_string(list_sort(list(DISTINCT slug)), ',') AS slugs, any_value(n) - max(ms) <= any_value(life) AS live
+FROM (SELECT *, sum(ended) OVER (PARTITION BY session, kind ORDER BY ms ROWS UNBOUNDED PRECEDING) AS number
+  FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY session, kind ORDER BY ms) > life THEN 1 ELSE 0 END AS ended
+    FROM (SELECT session, target AS slug, ms, n, CASE WHEN event IN ('inject', 'recall') THEN 'injected' WHEN event = 'holdout-skip' THEN 'holdout' ELSE 'skill' END AS kind, CASE WHEN event = 'strategy-used' THEN {_DAY} ELSE 7 * {_DAY} END AS life
+      FROM timed, now WHERE event IN ('inject', 'recall', 'holdout-skip', 'strategy-used') AND ms <= n))) GROUP BY session, kind, number"""),
     "indel_distance": with_(FACTS, NEIGHBOURS, select=f"SELECT slug, (length(name) + length(other) - 2 * ({lcs('name', 'other')}))::INTEGER AS distance FROM neighbours"),
     "token_set_ratio": with_(FACTS, NEIGHBOURS, "p AS (SELECT slug, name AS a, other AS b FROM neighbours)", set_ratio("p", "slug"), select="SELECT slug, round(score, 6) AS score FROM rated"),
     "dedup_check": with_(FACTS, "p AS (SELECT item_id AS new_id, slug, doc_id, text AS a, name AS b FROM benchmark CROSS JOIN facts WHERE type = 'mistake')", set_ratio("p", "new_id, slug, doc_id"), select="""SELECT new_id, CASE WHEN score >= 50 THEN slug END AS best_id,

@@ -16,6 +16,7 @@ from ..operators import log as L
 from ..operators import migrate as M
 from ..operators import projection as P
 from ..operators import ranking as R
+from ..operators import sessions as S
 from ..sources import bind, files
 from ..sources.bind import PROJECT, TODAY
 from . import oracle
@@ -363,6 +364,17 @@ def doctor(s, d):
     return A.doctor(f.withColumn("body", F.concat(bad, "body")), P.reproject(f, bind.wal(s, d)), bind.wal(s, d), TODAY)
 
 
+@query
+def retro_silent(s, d):
+    return S.retro_silent(bind.wal(s, d, timed=True), F.lit(f"{TODAY} 00:00:00"))
+
+
+@query
+def list_lives(s, d):
+    lives = S.list_lives(S.list_entries(bind.wal(s, d, timed=True)), F.lit(f"{TODAY} 00:00:00"))
+    return lives.withColumn("slugs", F.array_join("slugs", ","))
+
+
 @query
 def useful_streak(s, d):
     return A.useful_streak(bind.wal(s, d))

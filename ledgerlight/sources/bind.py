@@ -23,10 +23,11 @@ def _pick(value: Column, names: tuple[str, ...]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), value.cast("int"))
 
 
-def wal(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
+def wal(spark: SparkSession, sf_dir: str, malformed: bool = False, timed: bool = False) -> DataFrame:
     """Event log rows (line_no, date, event, target, session), one per row of ``events``.
 
-    With ``malformed``, a few rows break one rule of the line format each.
+    With ``malformed``, a few rows break one rule of the line format each; with
+    ``timed``, rows have their time (ts) too.
     """
     owner = table(spark, sf_dir, "documents").filter("doc_id < 25").select(F.col("doc_id").alias("k"), "source")
     e = table(spark, sf_dir, "events").select(
@@ -36,6 +37,7 @@ def wal(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
         (F.col("user_id") % 30).alias("u"),
         (F.col("event_id") % 97).alias("r"),
         "event_type",
+        *(["ts"] if timed else []),
     )
     e = e.join(F.broadcast(owner), "k", "left")  # 25 rows at most
     base_event = F.when(F.col("u") == 7, "inject").otherwise(
@@ -82,7 +84,7 @@ def wal(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
         chain = chain.when(when, row(*what))
     date = F.when(r == 29, F.lit("2024/01/02")).otherwise(F.col("date")) if malformed else F.col("date")
     # inline() makes the chain's result plain columns, so that later expressions don't repeat it.
-    return e.select("line_no", date.alias("date"), F.inline(F.array(chain.otherwise(row(base_event, base_target, session)))))
+    return e.select("line_no", date.alias("date"), *(["ts"] if timed else []), F.inline(F.array(chain.otherwise(row(base_event, base_target, session)))))
 
 
 def wal_lines(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:

@@ -108,6 +108,13 @@ def read(spark: SparkSession, path: str, at: int | None = None) -> DataFrame:
     return _rows(spark, path, _manifest(spark, path, number))
 
 
+def matching(spark: SparkSession, path: str, keys: DataFrame, at: int) -> DataFrame:
+    """Rows of a version in the buckets that may hold a key of ``keys``; other buckets aren't read."""
+    manifest = _manifest(spark, path, at)
+    wanted = {r[0] for r in keys.select(_bucket(manifest["keys"], manifest["buckets"])).distinct().collect()}
+    return _rows(spark, path, manifest, wanted)
+
+
 def _write(rows: DataFrame, path: str, keys: list[str], buckets: int) -> dict[str, str]:
     """Write rows in buckets to a new folder; bucket -> folder."""
     folder = f"data/{uuid.uuid4().hex}"

@@ -1,8 +1,7 @@
 """The log fold as a stream.
 
-Each batch's events reduce to deltas that merge with the stored state by keys:
-counters add, days take the least and the greatest, verdicts keep useful over
-silent.  The result after a finished stream equals the batch fold of the whole log.
+Counters add, days take the least and the greatest.  The result after a finished
+stream equals the batch fold of the whole log; verdicts are in ``streaming.sessions``.
 """
 
 from __future__ import annotations
@@ -34,16 +33,3 @@ def start_counters(stream: DataFrame, name: str, checkpoint: str | None = None):
 def deduplicated(stream: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
     """The stream's rows once each, among those at most ``delay`` late."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["date", "event", "target", "session"])
-
-
-def merge_batch(state_path: str):
-    """For foreachBatch: merge a batch's deltas into the verdict table, (key, session, useful), kept under ``state_path`` in numbered versions."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = L.session_verdicts(L.keyed(batch)).select("key", "session", "useful")
-        if number:
-            new = spark.read.parquet(f"{state_path}/v{number - 1}").unionByName(new)
-        new.groupBy("key", "session").agg(F.max("useful").alias("useful")).write.mode("overwrite").parquet(f"{state_path}/v{number}")
-
-    return apply

@@ -229,8 +229,3 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     columns = ["key", "injects", "pos", "neg", "created", "last_inject"]
     assert sorted(map(tuple, spark.table("folded").select(columns).collect())) == sorted(map(tuple, L.aggregates(L.keyed(whole)).select(columns).collect()))
-    v = fold.merge_batch(str(tmp_path / "state"))
-    parts = [log(spark, "2026-04-01|trigger-silent|m|s1"), log(spark, "2026-04-01|trigger-useful|m|s1")]
-    for i, part in enumerate(parts):
-        v(part, i)
-    assert spark.read.parquet(str(tmp_path / "state/v1")).first()["useful"] is True
