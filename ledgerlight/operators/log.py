@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DEFAULT_HOLDOUT, SEPARATOR
+from ..schema import DEFAULT_HOLDOUT, SEPARATOR, TAIL_BYTES
 
 
 def scan(lines: DataFrame) -> DataFrame:
@@ -115,6 +115,29 @@ def holdout_remaining(log: DataFrame) -> DataFrame:
     return holdouts(log).select("key", left.cast("bigint").alias("remaining"))
 
 
+def tail(lines: DataFrame, size: int = TAIL_BYTES) -> DataFrame:
+    """(line_no, value): whole lines among the last ``size`` bytes of a log (line_no, value).
+
+    If the log is longer, the first line of the stretch is left out, as it may
+    be a part of one.  A line has a byte at least, so no more than ``size`` lines are looked at.
+    """
+    total = lines.agg(F.sum(F.octet_length("value") + 1).alias("total"))
+    last = lines.orderBy(F.desc("line_no")).limit(size)
+    w = Window.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = last.withColumn("so_far", F.sum(F.octet_length("value") + 1).over(w)).join(F.broadcast(total), F.lit(True))
+    return placed.filter((F.col("total") <= size) | (F.col("so_far") < size)).select("line_no", "value")
+
+
+def append_probe(new: DataFrame, lines: DataFrame, size: int = TAIL_BYTES) -> DataFrame:
+    """``new`` with ``fresh``: no line of the log's tail contains its ``key``; a null key is always fresh, an empty one never unless the tail is empty.
+
+    The tail is one row of at most ``size`` bytes; keys hold no line end, so looking in the joined lines is looking in each.
+    """
+    joined = tail(lines, size).agg(F.array_join(F.collect_list("value"), "\n").alias("_tail"), F.count("*").alias("_n"))
+    seen = (F.col("_n") > 0) & F.col("_tail").contains(F.col("key"))
+    return new.join(F.broadcast(joined), F.lit(True)).withColumn("fresh", ~F.coalesce(seen, F.lit(False))).drop("_tail", "_n")
+
+
 def append_dedup(new: DataFrame, log: DataFrame) -> DataFrame:
     """Rows of ``new`` whose date, event, target and session aren't in ``log`` yet, each once."""
     columns = ["date", "event", "target", "session"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import SECRET_KEY, SECRET_VALUES
-from ..schema import ACTIVE_EVENTS, CLOSING_EVENTS, DECAY_DAYS, ERROR_EVENTS, FACT_TYPES, STOPWORDS
+from ..schema import ACTIVE_EVENTS, CLOSING_EVENTS, DECAY_DAYS, ERROR_EVENTS, FACT_TYPES, STOPWORDS, TAIL_BYTES
 from ..sources.bind import PROJECT, TODAY
 
 
@@ -203,6 +203,9 @@ TIMED = f"timed AS (SELECT w.*, epoch_us(e.ts) // 1000 AS ms FROM wal w JOIN eve
 _DAY = 86_400_000
 
 SQL: dict[str, str] = {
+    "append_probe": with_(wal(), "lines AS (SELECT line_no, concat_ws('|', date, event, target, session) AS value FROM wal WHERE line_no % 3 <> 0)",
+        f"""ends AS (SELECT value, sum(strlen(value) + 1) OVER (ORDER BY line_no DESC) AS so_far, sum(strlen(value) + 1) OVER () AS total FROM lines),
+keys AS (SELECT DISTINCT concat_ws('|', event, target) AS key FROM wal WHERE line_no % 3 = 0)""", select=f"""SELECT key, NOT EXISTS (SELECT 1 FROM ends WHERE (total <= {TAIL_BYTES} OR so_far < {TAIL_BYTES}) AND contains(value, key)) AS fresh FROM keys"""),
     "retro_silent": with_(wal(), TIMED, select=f"""SELECT strftime(make_timestamp((due * 1000)::BIGINT), '%Y-%m-%d') AS date, 'trigger-silent-retro' AS event, target, session
 FROM (SELECT session, target, min(ms) + {_DAY} AS due FROM timed WHERE event = 'inject' GROUP BY ALL) i, now WHERE due <= n
   AND NOT EXISTS (SELECT 1 FROM timed c WHERE c.session = i.session AND c.event IN {_in(CLOSING_EVENTS)} AND c.ms <= i.due)"""),

@@ -111,6 +111,13 @@ def append_dedup(s, d):
     return L.append_dedup(w.filter("line_no % 2 = 0"), w.filter("line_no % 2 = 1"))
 
 
+@query
+def append_probe(s, d):
+    lines = bind.wal_lines(s, d)
+    keys = bind.wal(s, d).filter("line_no % 3 = 0").select(F.concat_ws("|", "event", "target").alias("key")).distinct()
+    return L.append_probe(keys, lines.filter("line_no % 3 <> 0"))
+
+
 @query
 def session_set_union(s, d):
     def lists(event: str) -> DataFrame:

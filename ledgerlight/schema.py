@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Weights of the additive score.
+#: Weights of the additive score, limits and thresholds.
 W_OVERLAP, W_USE, W_RECENCY, W_EFFECT, W_PROJECT = 3.0, 1.0, 2.0, 2.0, 1.0
 RECENCY_DAYS = 30.0
 TOP_K, SKILL_K, RECALL_SPARE = 8, 5, 4
@@ -15,6 +15,7 @@ MIN_RECURRENCE, STREAK, HIT_RATE, LOW_RATE, SILENT_LIMIT = 2, 5, 0.75, 0.25, 5
 OPEN_WARN = 0.5
 OUTCOME_DAYS, INTUITION_DAYS = 14, 30
 SEPARATOR = "\x1f"
+TAIL_BYTES = 256 * 1024
 MAX_LINE_BYTES, MAX_TRANSCRIPT_LINE = 1 << 20, 4 << 20
 
 #: Days after which an active fact of a type is stale; other types take 90; continuity and project never are.

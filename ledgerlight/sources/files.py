@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_list
+from ..schema import TAIL_BYTES
+from . import versions
 
 PARSED = T.StructType([T.StructField("fm", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())])
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): lines in physical order, numbered from 1 in each file (wholetext, so that order is exact)."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split("value", "\n")).alias("p", "value")).select((F.col("p") + 1).cast("bigint").alias("line_no"), "value")
+def read_log(spark: SparkSession, path: str, one_log: bool = False) -> DataFrame:
+    """(line_no, value): lines in physical order, numbered from 1 in each file, or through all files in order of their names if they are ``one_log``.
+
+    Files are read in splits, by as many tasks as there are; a line's number is
+    its place in its split plus the lines of the splits before, which are a
+    running sum over one row per split.  Lines end at ``\\n`` alone.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # Ids of consecutive rows of a task are consecutive, and a split is read by one task.
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    order = (Window.orderBy("_file", "_block") if one_log else Window.partitionBy("_file").orderBy("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    return lines.join(splits, ["_file", "_block"]).select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 def split_frontmatter(content: str) -> tuple[dict[str, str], str]:
@@ -79,13 +94,61 @@ def scope_union(own: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append log rows as text lines; one writer at a time."""
+    """Append log rows (date, event, target, session) of a job to the folder of a log; without a check for repeats."""
     rows.select(F.concat_ws("|", "date", "event", "target", "session").alias("value")).write.mode("append").text(path)
 
 
-def write_snapshot(projection: DataFrame, path: str) -> None:
-    """Replace the stored projection; readers see the old or the new one."""
-    projection.write.mode("overwrite").parquet(path)
+def log_tail(spark: SparkSession, path: str, size: int = TAIL_BYTES) -> list[str]:
+    """Whole lines among the last ``size`` bytes of a log: a file, or a folder of files in order of their names.
+
+    Only these bytes are read, from the files that hold them.  If the log is
+    longer, the first line of the stretch is left out, as it may be a part of one.
+    """
+    fs, where = versions.location(spark, path)
+    if not fs.exists(where):
+        return []
+    files = [fs.getFileStatus(where)]
+    if files[0].isDirectory():
+        files = sorted((f for f in fs.listStatus(where) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+    parts, left = [], size
+    for f in reversed(files):
+        if not left:
+            break
+        n = min(left, f.getLen())
+        parts.append(versions.read_bytes(spark, f.getPath().toString(), f.getLen() - n, n))
+        left -= n
+    lines = b"".join(reversed(parts)).decode("utf-8", "replace").split("\n")
+    if sum(f.getLen() for f in files) > size:
+        lines = lines[1:]
+    return [x for x in lines if x]
+
+
+def append_line(spark: SparkSession, path: str, line: str, key: str | None = None, wait: float = 1.0) -> bool:
+    """Append a line to the folder of a log, unless a line of its tail contains ``key``; tells whether it was written.
+
+    Writers take turns (``versions.exclusive``), so two that bring the same key
+    add one line.  A line is a file of its own, which appears whole; names sort
+    by time, after those before.
+    """
+    fs, where = versions.location(spark, path)
+    fs.mkdirs(where)
+    with versions.exclusive(spark, f"{path}/_lock", wait):
+        if key is not None and any(key in x for x in log_tail(spark, path)):
+            return False
+        last = max((n for n in versions.names(spark, path) if n.endswith(".log")), default="")
+        number = max(int(time.time() * 1000), int(last[:15]) + 1 if last[:15].isdigit() else 0)
+        versions.publish(spark, f"{path}/{number:015d}-{uuid.uuid4().hex}.log", line.replace("\n", " ") + "\n")
+    return True
+
+
+def store_projection(projection: DataFrame, path: str, batch: str | None = None) -> int:
+    """Publish the projection (keys project, slug) as a table's next version; readers keep the version they have."""
+    return versions.replace(projection, path, ["project", "slug"], batch)
+
+
+def load_projection(spark: SparkSession, path: str, at: int | None = None) -> DataFrame:
+    """The stored projection, the newest version by default."""
+    return versions.read(spark, path, at)
 
 
 def envelope(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,30 +31,39 @@ class Conflict(RuntimeError):
     """Another writer has published the version that was to be written."""
 
 
-def _fs(spark: SparkSession, path: str):
+def location(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder; none if it doesn't exist."""
-    fs, where = _fs(spark, folder)
-    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+    """Names in a folder, but for hidden ones; none if it doesn't exist."""
+    fs, where = location(spark, folder)
+    found = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in found if not n.startswith("."))
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    fs, where = _fs(spark, path)
+    fs, where = location(spark, path)
+    return read_bytes(spark, path, 0, fs.getFileStatus(where).getLen()).decode()
+
+
+def read_bytes(spark: SparkSession, path: str, start: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``start`` on."""
+    fs, where = location(spark, path)
     stream = fs.open(where)
     try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.seek(start)
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
     finally:
         stream.close()
 
 
 def publish(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that it appears whole: under another name first, then renamed."""
-    fs, where = _fs(spark, path)
-    _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    """Write a small file so that it appears whole: under a hidden name first, then renamed."""
+    fs, where = location(spark, path)
+    folder, _, name = path.rpartition("/")
+    _, draft = location(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
     stream = fs.create(draft, True)
     stream.write(bytearray(text.encode()))
     stream.close()
@@ -62,12 +72,27 @@ def publish(spark: SparkSession, path: str, text: str) -> None:
         raise Conflict(path)
 
 
+def _created(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there.  One of several callers succeeds: Hadoop's own check is no single step on local disks."""
+    fs, where = location(spark, path)
+    fs.mkdirs(where.getParent())
+    if fs.getScheme() == "file":
+        return spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile()
+    try:
+        fs.create(where, False).close()
+    except Py4JJavaError:
+        if fs.exists(where):
+            return False
+        raise
+    return True
+
+
 @contextmanager
 def exclusive(spark: SparkSession, path: str, wait: float = 1.0, poll: float = 0.05, stale: float = STALE_CLAIM) -> Iterator[None]:
     """Hold the file ``path`` alone; ``Conflict`` after ``wait`` seconds.  A file older than ``stale`` seconds is taken over."""
-    fs, where = _fs(spark, path)
+    fs, where = location(spark, path)
     end = time.monotonic() + wait
-    while not fs.createNewFile(where):
+    while not _created(spark, path):
         if fs.exists(where) and time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > stale:
             fs.delete(where, False)
         elif time.monotonic() >= end:
@@ -187,13 +212,13 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     number = latest(spark, path)
     if number is None:
         return 0
-    fs, _ = _fs(spark, path)
+    fs, _ = location(spark, path)
     kept = [n for n in range(max(0, number - keep + 1), number + 1) if f"{n:010d}.json" in names(spark, f"{path}/_versions")]
     used = {f.split("/")[1] for n in kept for f in _manifest(spark, path, n)["parts"].values()}
     for n in names(spark, f"{path}/_versions"):
         if not n.endswith(".json") or int(n[:-5]) not in kept:
-            fs.delete(_fs(spark, f"{path}/_versions/{n}")[1], False)
+            fs.delete(location(spark, f"{path}/_versions/{n}")[1], False)
     gone = [n for n in names(spark, f"{path}/data") if n not in used]
     for n in gone:
-        fs.delete(_fs(spark, f"{path}/data/{n}")[1], True)
+        fs.delete(location(spark, f"{path}/data/{n}")[1], True)
     return len(gone)
