@@ -32,10 +32,15 @@ def default_process(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}_]", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def parse_list(value: Column) -> Column:
-    """Items of ``[a, "b"]``, ``a, b`` or a scalar: trimmed, unquoted, empties dropped."""
-    inner = F.regexp_replace(F.trim(value), r"^\[|\]$", "")
-    items = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r"""^["']+|["']+$""", ""))
+    """Items of ``[a, "b"]``, ``a, b`` or a scalar: trimmed, then unquoted, empties dropped."""
+    inner = F.regexp_replace(strip(value), r"^\[|\]$", "")
+    items = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(strip(x), r"""^["']+|["']+$""", ""))
     return F.filter(items, lambda x: x != "")
 
 
@@ -66,10 +71,9 @@ def bare_slug(path: Column) -> Column:
 
 
 def root_cause(text: Column) -> Column:
-    """The value of the first ``root-cause:`` line without ``|`` and ``>``; null under ten characters."""
-    value = F.regexp_extract(text, r"""(?md)^root-cause:\s*["']?(.+?)["']?\s*$""", 1)
-    clean = F.translate(value, "|>", "")
-    return F.when(F.char_length(clean) >= MIN_ROOT_CAUSE, clean)
+    """The value of the first ``root-cause:`` line, unquoted; null under ten characters, as for the mark of a block."""
+    value = strip(F.regexp_extract(text, r"""(?md)^root-cause:\s*["']?(.+?)["']?\s*$""", 1))
+    return F.when(F.char_length(value) >= MIN_ROOT_CAUSE, value)
 
 
 #: Patterns of credentials, reconstructed from the documented behaviour: by key, then by value.

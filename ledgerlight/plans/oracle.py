@@ -156,18 +156,6 @@ def with_(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
-LITERALS = {
-    "lists": ["[a, \"b\", 'c d']", "x, y ,, z", "single", "", "[]"],
-    "paths": ["/home/u/.agent/memory/a.md", "/home/u/projects/p1/memory/sub/b.md", "/etc/passwd", "/home/u/.agent/global/x/y.md", "/projects/memory/z.md"],
-    "names": ["a b/c|d", "", "x\ny", "ok-1_2.md"],
-}
-
-
-def values(name: str) -> str:
-    rows = ", ".join(f"({i}, '{v.replace(chr(39), chr(39) * 2)}')" for i, v in enumerate(LITERALS[name]))
-    return f"{name}(i, v) AS (VALUES {rows})"
-
-
 def lcs(a: str, b: str) -> str:
     """Length of the longest common subsequence; ``a`` has 126 characters at most, as its rows are bits of one number."""
     full = f"((1::HUGEINT << length({a})) - 1)"
@@ -226,7 +214,6 @@ FROM (SELECT *, sum(ended) OVER (PARTITION BY session, kind ORDER BY ms ROWS UNB
     "wal_validate": with_(wal(True), select="""SELECT CASE WHEN len(string_split(v, '|')) <> 4 THEN 'columns' WHEN NOT regexp_full_match(date, '\\d{4}-\\d{2}-\\d{2}') THEN 'date' WHEN NOT regexp_full_match(event, '[a-z][a-z0-9-]*') THEN 'event' WHEN session = '' THEN 'session' ELSE 'ok' END AS reason, count(*) AS n
 FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROUP BY 1"""),
     "wal_keyed": with_(wal(), keyed(), select="SELECT line_no, event, project, slug, key FROM keyed"),
-    "list_parse": with_(values("lists"), select="""SELECT i::BIGINT AS i, array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(v), '^\\[|\\]$', '', 'g'), ','), lambda x: regexp_replace(trim(x), '^["'']+|["'']+$', '', 'g')), lambda x: x <> ''), '/') AS items FROM lists"""),
     "content_sha": with_(FACTS, select="SELECT slug, content_sha FROM facts"),
     "scope_union": with_(FACTS, select=f"SELECT slug, project FROM facts WHERE project = '{PROJECT}' UNION ALL SELECT slug, 'global' FROM facts WHERE project = 'src0'"),
     "transcript_text": with_(JSONL, TEXTS, select="SELECT session, text FROM texts"),
@@ -241,7 +228,6 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "skill_topk": with_(ALL, select=f"""SELECT skill, rank, slug, round(score, 6) AS score FROM (SELECT f.skill, p.slug, {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} AS score, row_number() OVER (PARTITION BY f.skill ORDER BY {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} DESC, p.slug, p.project) AS rank FROM proj p JOIN (SELECT slug, project, skill FROM facts WHERE type = 'skill-learning') f ON p.slug = f.slug AND p.project = f.project) WHERE rank <= 5"""),
     "wal_errors_7d": with_(wal(), select=f"SELECT event, count(*) AS n FROM wal WHERE event IN {_in(ERROR_EVENTS)} AND date >= strftime({_T} - 7, '%Y-%m-%d') GROUP BY event"),
     "open_quanta_30d": with_(wal(), QUANTA, select="SELECT *, CASE WHEN sessions > 0 AND open / sessions >= 0.5 THEN 'WARN' ELSE 'OK' END AS status FROM quanta"),
-    "guarded_path": with_(values("paths"), select="""SELECT v AS path, CASE WHEN starts_with(v, '/home/u/.agent/memory/') THEN substr(v, 23) WHEN starts_with(v, '/home/u/.agent/global/') THEN substr(v, 23) ELSE nullif(regexp_extract(v, '/projects/[^/]+/memory/(.+)$', 1), '') END AS rel FROM paths"""),
     "tombstones": with_(FACTS, REQUESTS, TERMS, select=f"SELECT DISTINCT query_id, slug, project FROM terms JOIN (SELECT slug, project, unnest({tokens(_FULL.replace(', body', ''))}) AS term FROM facts) USING (term)"),
     "prune_plan": with_(wal(), FACTS, select=f"""SELECT slug, project, status <> 'pinned' AND doc_id % 3 = 0 AND ((2024 - CAST(substr(created, 1, 4) AS INT)) * 365 + (1 - CAST(substr(created, 6, 2) AS INT)) * 30 + 31 - CAST(substr(created, 9, 2) AS INT)) > 30
   AND bare NOT IN (SELECT regexp_replace(target, '\\.md$', '') FROM wal WHERE event IN {_in(ACTIVE_EVENTS)} AND target IS NOT NULL) AS pruned FROM facts"""),
@@ -328,6 +314,5 @@ UNION ALL SELECT '{TODAY}', 'session-close', session, session FROM metrics"""),
     "query_terms": with_(REQUESTS, TERMS, select="SELECT query_id, term FROM terms"),
     "default_process": with_(FACTS, select="SELECT slug, trim(regexp_replace(lower(body), '[^\\p{L}\\p{Nd}_]', ' ', 'g')) AS processed FROM facts"),
     "truncate_desc": with_(FACTS, select="SELECT slug, CASE WHEN length(description) <= 120 THEN description ELSE rtrim(substr(description, 1, 120), ' ') || '…' END AS description FROM facts"),
-    "sanitize": with_(values("names"), select="""SELECT i::BIGINT AS i, regexp_replace(v, '[|\\r\\n]', '_', 'g') AS sanitized, CASE WHEN v = '' THEN '_' ELSE regexp_replace(v, '[^A-Za-z0-9._-]', '_', 'g') END AS safe, regexp_replace(regexp_replace(v, '^.*/', ''), '\\.md$', '') AS bare FROM names"""),
     "secrets_scan": "SELECT doc_id, regexp_matches(t, '" + SECRET_KEY.replace("'", "''") + "') AS by_key, " + " + ".join(f"regexp_matches(t, '{p}')::INT" for p in SECRET_VALUES) + " AS by_value FROM (SELECT doc_id, regexp_replace(text, '`[^`\\n]*`', '', 'g') AS t FROM documents)",
 }

@@ -19,7 +19,7 @@ from ..operators import ranking as R
 from ..operators import sessions as S
 from ..sources import bind, files
 from ..sources.bind import PROJECT, TODAY
-from . import oracle
+from . import oracle, oracle_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -50,10 +50,6 @@ def _aged(s: SparkSession, d: str) -> DataFrame:
     return P.mark_stale(_projection(s, d), TODAY)
 
 
-def _literals(s: SparkSession, name: str) -> DataFrame:
-    return s.createDataFrame(list(enumerate(oracle.LITERALS[name])), "i bigint, v string")
-
-
 # --- scans --------------------------------------------------------------------
 
 
@@ -74,7 +70,8 @@ def wal_keyed(s, d):
 
 @query
 def list_parse(s, d):
-    return _literals(s, "lists").select("i", F.array_join(X.parse_list(F.col("v")), "/").alias("items"))
+    value = F.concat(F.lit("[ "), F.col("body"), F.lit(', "'), "slug", F.lit("\", '', ' x ',\n'"), "skill", F.lit("']\n"))
+    return bind.facts(s, d).select("slug", F.array_join(X.parse_list(value), "/").alias("items"))
 
 
 @query
@@ -90,9 +87,11 @@ def scope_union(s, d):
 
 @query
 def frontmatter(s, d):
-    doc = F.concat(F.lit('---\nname: "'), "name", F.lit('"\nkeywords: [a, b]\n---\n'), F.col("body"))
-    p = bind.facts(s, d).filter("instr(name, '\"') = 0 and instr(name, '\n') = 0").select("slug", files.parse_frontmatter(doc).alias("p"))
-    return p.select("slug", F.col("p.fm")["name"].alias("name"), F.length("p.body").alias("body_chars"))
+    head = F.concat(F.lit('---\r\nname: "'), F.regexp_replace("name", "\n", "\n  "), F.lit('"\nkeywords:\n  - '), F.element_at("keywords", 1), F.lit("\n  - '"), "skill", F.lit("'\nplain words\nstatus: \"\"\n"))
+    doc = F.concat(head, F.lit("domains: ["), "project", F.lit(', "b c"]\nstatus: '), "status", F.lit("\n--- \n\n"), F.col("body"), F.lit("\n\n"))
+    p = bind.facts(s, d).select("slug", files.parse_frontmatter(doc).alias("p"))
+    values = [F.col("p.fm")[k].alias(k) for k in ("name", "keywords", "status")]
+    return p.select("slug", *values, F.array_join(X.parse_list(F.col("p.fm")["domains"]), "/").alias("domains"), F.size("p.fm").alias("n_keys"), F.length("p.body").alias("body_chars"))
 
 
 @query
@@ -146,7 +145,9 @@ def scope_filter(s, d):
 
 @query
 def guarded_path(s, d):
-    return _literals(s, "paths").select(F.col("v").alias("path"), G.guarded_relative(F.col("v")).alias("rel"))
+    n = F.col("doc_id") % 5
+    root = F.when(n == 0, "/home/u/.agent/memory/").when(n == 1, "/home/u/.agent/global/sub/").when(n == 2, F.concat(F.lit("/home/u/projects/"), "project", F.lit("/memory/"))).when(n == 3, "/etc/").otherwise("/projects/memory/")
+    return bind.facts(s, d).select(F.concat(root, "slug").alias("path")).select("path", G.guarded_relative(F.col("path")).alias("rel"))
 
 
 @query
@@ -485,14 +486,14 @@ def cap_body(s, d):
 
 @query
 def sanitize(s, d):
-    v = F.col("v")
-    return _literals(s, "names").select("i", X.sanitize(v).alias("sanitized"), X.safe_name(v).alias("safe"), X.bare_slug(v).alias("bare"))
+    body = F.col("body")
+    return bind.facts(s, d).select("slug", X.sanitize(body).alias("sanitized"), X.safe_name(body).alias("safe"), X.bare_slug(F.concat("project", F.lit("/x.md/"), "slug")).alias("bare"))
 
 
 @query
 def root_cause(s, d):
-    f = bind.facts(s, d)
-    return f.select("slug", X.root_cause(F.concat(F.lit("name: x\nroot-cause: '"), F.translate("name", "\n'\"|>", "     "), F.lit("'\n"))).alias("cause"))
+    text = F.concat(F.lit("name: x\n  root-cause: an indented line\nroot-cause: '"), F.col("body"), F.lit("'\n"))
+    return bind.facts(s, d).select("slug", X.root_cause(text).alias("cause"))
 
 
 @query
@@ -557,4 +558,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.SQL | oracle_text.SQL).items() if k in _QUERIES}

@@ -34,37 +34,31 @@ def read_log(spark: SparkSession, path: str, one_log: bool = False) -> DataFrame
 
 
 def split_frontmatter(content: str) -> tuple[dict[str, str], str]:
-    """Keys of a leading ``---`` block, and the rest.
+    """Keys of a leading ``---`` block, and the rest, trimmed.
 
-    A byte-order mark and CRLF are accepted; quotes around a value go; ``- item`` lines
-    below a key without value are joined by commas; other indented lines are
-    ignored; the later of two equal keys wins; an unclosed block is all body.
+    A byte-order mark and CRLF are accepted; quotes at either end of a value go;
+    ``- item`` lines below a key without value are joined by commas; other
+    indented lines are ignored; the later of two equal keys wins; an unclosed
+    block is all body.
     """
-    text = content.removeprefix("﻿").replace("\r\n", "\n")
+    text = content.removeprefix("\ufeff")
     lines = text.split("\n")
-    if lines[0].rstrip() != "---":
-        return {}, text
-    end = next((i for i, x in enumerate(lines[1:], 1) if x.rstrip() == "---"), None)
-    if end is None:
-        return {}, text
+    closing = next((i for i, x in enumerate(lines) if i and x.rstrip(" \t\r") == "---"), None) if text.startswith("---") else None
+    if closing is None:
+        return {}, text.strip()
     found: dict[str, str] = {}
-    items: list[str] | None = None
-    key = ""
-    for line in lines[1:end]:
+    pending: str | None = None  # the key whose items may follow
+    for line in lines[1:closing]:
         bare = line.strip()
-        if bare.startswith("- ") and items is not None:
-            items.append(bare[2:].strip().strip("\"'"))
-            found[key] = ", ".join(items)
-        elif line[:1] in (" ", "\t") or ":" not in line or bare.startswith("#"):
-            continue
-        else:
-            key, _, value = line.partition(":")
-            key, value = key.strip(), value.strip()
-            if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
-                value = value[1:-1]
-            found[key] = value
-            items = [] if not value else None
-    return found, "\n".join(lines[end + 1 :])
+        if pending is not None and bare.startswith("- "):
+            item = bare[2:].strip().strip("\"'")
+            found[pending] = f"{found[pending]}, {item}" if found[pending] else item
+        elif not line.startswith((" ", "\t")):
+            key, colon, value = line.partition(":")
+            if colon and key:
+                found[key.strip()] = value = value.strip().strip("\"'")
+            pending = key.strip() if colon and key and not value else None
+    return found, "\n".join(lines[closing + 1 :]).strip()
 
 
 @F.pandas_udf(PARSED)
