@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cap_body, query_terms, tokenize, truncate
-from ..schema import INDEX_BYTES, MAX_BODY_BYTES, MAX_TOTAL_BYTES, RECALL_SPARE, RECENCY_DAYS, SKILL_K, TOP_K, W_EFFECT, W_OVERLAP, W_PROJECT, W_RECENCY, W_USE
+from ..schema import GLOBAL, INDEX_BYTES, MAX_BODY_BYTES, MAX_TOTAL_BYTES, RECALL_SPARE, RECENCY_DAYS, SKILL_K, TOP_K, W_EFFECT, W_OVERLAP, W_PROJECT, W_RECENCY, W_USE
 
 
 def recency(last_injected: Column, created: Column, today: Column) -> Column:
@@ -51,11 +51,38 @@ def overlap(terms: DataFrame, keyword: DataFrame, strict_keys: bool = False) ->
     return terms.join(keyword.select("slug", "project", "term"), "term").groupBy(*by).agg(F.count_distinct("term").alias("overlap"))
 
 
-def scores(requests: DataFrame, projection: DataFrame, keyword: DataFrame, today: str, project: str) -> DataFrame:
-    """(query_id, slug, project, overlap, score): every request with every fact that shares a term with it, whatever the status."""
-    facts = projection.select("slug", "project", static_score(F.lit(today), F.lit(project)).alias("static"))
-    rows = overlap(terms_of(requests), keyword).join(facts, "slug")
-    return rows.select("query_id", "slug", "project", "overlap", (W_OVERLAP * F.col("overlap") + F.col("static")).alias("score"))
+def scopes(requests: DataFrame) -> DataFrame:
+    """(query_id, own, project): the projects that a request (query_id, project) may see, its own and the global store."""
+    return requests.select("query_id", F.col("project").alias("own"), F.explode(F.array_distinct(F.array("project", F.lit(GLOBAL)))).alias("project"))
+
+
+def _with_score(rows: DataFrame) -> DataFrame:
+    """Score of rows (own, project, overlap, static)."""
+    bonus = F.when((F.col("project") == F.col("own")) & (F.col("project") != GLOBAL), W_PROJECT).otherwise(0.0)
+    return rows.withColumn("score", W_OVERLAP * F.col("overlap") + (F.col("static") + bonus))
+
+
+def _static(projection: DataFrame, today: str) -> DataFrame:
+    return projection.select("slug", "project", static_score(F.lit(today), F.lit(None).cast("string")).alias("static"))
+
+
+def hits(requests: DataFrame, facts: DataFrame, keyword: DataFrame) -> DataFrame:
+    """(query_id, own, slug, project, overlap, static): facts (slug, project, static) in a request's scope that share a term with it.
+
+    A fact has the index rows of its slug in all projects.  Index rows without a
+    request's term go first; what is left meets the requests by term and project
+    together, so a term that most facts hold is dealt out by their projects.
+    """
+    terms = terms_of(requests)
+    index = keyword.select("slug", "term").join(terms.select("term").distinct(), "term", "left_semi").join(facts, "slug")
+    asked = terms.join(scopes(requests), "query_id")
+    found = asked.join(index, ["term", "project"]).groupBy("query_id", "own", "slug", "project")
+    return found.agg(F.count_distinct("term").alias("overlap"), F.first("static").alias("static"))
+
+
+def scores(requests: DataFrame, projection: DataFrame, keyword: DataFrame, today: str) -> DataFrame:
+    """(query_id, slug, project, overlap, score): every request (query_id, text, project) with every fact in its scope that shares a term with it, whatever the status."""
+    return _with_score(hits(requests, _static(projection, today), keyword)).select("query_id", "slug", "project", "overlap", "score")
 
 
 def _best(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -63,32 +90,52 @@ def _best(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def rank_topk(requests: DataFrame, projection: DataFrame, keyword: DataFrame, today: str, project: str, k: int = TOP_K, include_stale: bool = False) -> DataFrame:
-    """(query_id, rank, slug, project, overlap, score): the k best facts of every request.
+def rank_topk(requests: DataFrame, projection: DataFrame, keyword: DataFrame, today: str, k: int = TOP_K, include_stale: bool = False) -> DataFrame:
+    """(query_id, rank, slug, project, overlap, score): the k best facts in the scope of every request (query_id, text, project).
 
     Facts that share a term with a request come from a join on terms.  Of the
-    others only the k best by static score can be in a result, and they are the
-    same for all requests, so requests are never crossed with the facts.
+    others only the k best of a project by static score can be in a result, so
+    requests are never crossed with the facts; those of the k that share a term
+    after all count with their overlap.
     """
-    facts = eligible(projection, include_stale).select("slug", "project", static_score(F.lit(today), F.lit(project)).alias("static"))
-    hits = overlap(terms_of(requests), keyword).join(facts, "slug")
-    idle = facts.orderBy(F.desc("static"), "slug", "project").limit(k)
-    idle = requests.select("query_id").withColumn("_one", F.lit(1)).join(F.broadcast(idle.withColumn("_one", F.lit(1))), "_one").drop("_one")  # k rows
-    idle = idle.join(hits.select("query_id", "slug", "project"), ["query_id", "slug", "project"], "left_anti").withColumn("overlap", F.lit(0).cast("bigint"))
-    rows = hits.select("query_id", "slug", "project", "overlap", "static").unionByName(idle.select("query_id", "slug", "project", "overlap", "static"))
-    best = _best(rows.withColumn("score", W_OVERLAP * F.col("overlap") + F.col("static")), k, ["query_id"])
-    return best.select("query_id", "rank", "slug", "project", "overlap", "score")
+    facts = _static(eligible(projection, include_stale), today)
+    shared = hits(requests, facts, keyword)
+    top = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("static"), "slug"))
+    idle = facts.withColumn("_n", top).filter(F.col("_n") <= k).drop("_n").join(scopes(requests), "project")
+    rows = shared.unionByName(idle.withColumn("overlap", F.lit(0).cast("bigint"))).groupBy("query_id", "own", "slug", "project").agg(F.max("overlap").alias("overlap"), F.first("static").alias("static"))
+    return _best(_with_score(rows), k, ["query_id"]).select("query_id", "rank", "slug", "project", "overlap", "score")
 
 
-def recall_topk(requests: DataFrame, projection: DataFrame, keyword: DataFrame, live: DataFrame, today: str, project: str, k: int = TOP_K) -> DataFrame:
+def recall_topk(requests: DataFrame, projection: DataFrame, keyword: DataFrame, live: DataFrame, today: str, k: int = TOP_K) -> DataFrame:
     """Like ``rank_topk`` with stale facts and shared terms only; k + 4 are ranked, vanished ones (not in ``live``) go, then k stay."""
-    facts = eligible(projection, True).select("slug", "project", static_score(F.lit(today), F.lit(project)).alias("static"))
-    rows = overlap(terms_of(requests), keyword).join(facts, "slug").withColumn("score", W_OVERLAP * F.col("overlap") + F.col("static"))
+    rows = _with_score(hits(requests, _static(eligible(projection, True), today), keyword))
     near = _best(rows, k + RECALL_SPARE, ["query_id"]).join(live.select("slug", "project").distinct(), ["slug", "project"], "left_semi")
     again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return near.withColumn("rank", again).filter(F.col("rank") <= k).select("query_id", "rank", "slug", "project", "overlap", "score")
 
 
+def inject_topk(requests: DataFrame, projection: DataFrame, keyword: DataFrame, held: DataFrame, injected: DataFrame, today: str, k: int = TOP_K) -> DataFrame:
+    """(query_id, slug, project, outcome): what each request delivers: held facts are passed over and their places refilled, repeats lose their place.
+
+    ``held`` and ``injected`` have slug.  outcome: delivered, repeated (already
+    injected) or skipped (held, and ranked before the k-th fact that isn't).  The
+    k places are ranked among facts that aren't held, however many are; a held fact is then
+    compared with the last place.
+    """
+    kept = held.select("slug").distinct()
+    fresh = rank_topk(requests, projection.join(kept, "slug", "left_anti"), keyword, today, k)
+    facts = _static(eligible(projection), today).join(kept, "slug", "left_semi")
+    withheld = hits(requests, facts, keyword).unionByName(facts.join(scopes(requests), "project").withColumn("overlap", F.lit(0).cast("bigint")))
+    withheld = _with_score(withheld.groupBy("query_id", "own", "slug", "project").agg(F.max("overlap").alias("overlap"), F.first("static").alias("static")))
+    last = fresh.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_s"), F.col("slug").alias("_slug"), F.col("project").alias("_p"))
+    place = F.struct(-F.col("score"), F.col("slug"), F.col("project"))
+    before = F.col("_s").isNull() | (place < F.struct(-F.col("_s"), F.col("_slug"), F.col("_p")))
+    skipped = withheld.join(last, "query_id", "left").filter(before).select("query_id", "slug", "project", F.lit("skipped").alias("outcome"))
+    done = injected.select("slug", F.lit(True).alias("_i")).distinct()
+    given = fresh.join(done, "slug", "left").select("query_id", "slug", "project", F.when(F.col("_i"), "repeated").otherwise("delivered").alias("outcome"))
+    return given.unionByName(skipped)
+
+
 def skill_topk(projection: DataFrame, facts: DataFrame, today: str, project: str, k: int = SKILL_K) -> DataFrame:
     """(skill, rank, slug, score): the k best skill learnings of every skill."""
     learned = facts.filter("type = 'skill-learning'").select("slug", "project", "skill")
@@ -96,26 +143,12 @@ def skill_topk(projection: DataFrame, facts: DataFrame, today: str, project: str
     return _best(rows, k, ["skill"]).select("skill", "rank", "slug", "score")
 
 
-def degraded_rank(requests: DataFrame, facts: DataFrame, today: str, project: str, k: int = TOP_K) -> DataFrame:
-    """Ranking straight from the files, without index or history: active, effectiveness one half, no dates."""
+def degraded_rank(requests: DataFrame, facts: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Ranking straight from the files in each request's scope, without index or history: active, effectiveness one half, no dates."""
     text = F.concat_ws(" ", "name", "description", F.array_join("keywords", " "), F.array_join("domains", " "), "body")
     own = facts.select("slug", "project", F.explode(F.array_distinct(tokenize(text))).alias("term"))
-    hits = terms_of(requests).join(own, "term").groupBy("query_id", "slug", "project").agg(F.count("*").alias("overlap"))
-    score = W_OVERLAP * F.col("overlap") + W_EFFECT * 0.5 + F.when(F.col("project") == project, W_PROJECT).otherwise(0.0)
-    return _best(hits.withColumn("score", score), k, ["query_id"]).select("query_id", "rank", "slug", "project", "overlap", "score")
-
-
-def inject_topk(ranked: DataFrame, held: DataFrame, injected: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(query_id, slug, project, outcome) for full rankings: held facts are passed over and the k places refilled, repeats lose their place.
-
-    ``held`` and ``injected`` have slug.  outcome: delivered, skipped (held before the k places were taken) or repeated.
-    """
-    w = Window.partitionBy("query_id").orderBy("rank")
-    rows = ranked.join(held.select("slug").distinct().withColumn("_h", F.lit(True)), "slug", "left").join(injected.select("slug").distinct().withColumn("_i", F.lit(True)), "slug", "left")
-    h = F.coalesce("_h", F.lit(False))
-    rows = rows.withColumn("_fresh", F.sum(F.when(h, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    outcome = F.when(h & (F.col("_fresh") < k), "skipped").when(~h & (F.col("_fresh") <= k), F.when(F.coalesce("_i", F.lit(False)), "repeated").otherwise("delivered"))
-    return rows.withColumn("outcome", outcome).filter("outcome is not null").select("query_id", "slug", "project", "outcome")
+    found = terms_of(requests).join(scopes(requests), "query_id").join(own, ["term", "project"]).groupBy("query_id", "own", "slug", "project").agg(F.count("*").alias("overlap"))
+    return _best(_with_score(found.withColumn("static", F.lit(W_EFFECT * 0.5))), k, ["query_id"]).select("query_id", "rank", "slug", "project", "overlap", "score")
 
 
 def _prefix(rows: DataFrame, size: Column, used: int, budget: int, by: list[str], order: list) -> DataFrame:

@@ -72,7 +72,7 @@ FACTS = f"""facts AS (SELECT 'k' || doc_id || '.md' AS slug, source AS project,
   CASE WHEN doc_id % 3 = 0 THEN 'spark' ELSE 'sql' END AS skill, CASE WHEN doc_id % 7 = 0 THEN 'ambient' ELSE '' END AS precision_class,
   doc_id % 4 AS recurrence, doc_id % 5 AS success_count, sha256(text) AS content_sha, text AS body, doc_id, 'k' || doc_id AS bare FROM documents)"""
 
-REQUESTS = "requests AS (SELECT item_id AS query_id, text FROM benchmark)"
+REQUESTS = "requests AS (SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS own FROM benchmark)"
 TERMS = f"terms AS (SELECT DISTINCT query_id, unnest({tokens('text')}) AS term FROM requests)"
 _FULL = "concat_ws(' ', name, description, array_to_string(keywords, ' '), array_to_string(domains, ' '), body)"
 KEYWORD = f"keyword AS (SELECT slug, project, term, count(*)::DOUBLE AS weight FROM (SELECT slug, project, unnest({tokens(_FULL)}) AS term FROM facts) GROUP BY ALL)"
@@ -117,9 +117,19 @@ STALE = f"""stale_hit AS (SELECT DISTINCT slug FROM proj WHERE status = 'active'
   AND date_diff('day', coalesce(try_cast(last_injected AS DATE), try_cast(created AS DATE)), {_T}) > CASE type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in DECAY_DAYS.items())} ELSE 90 END),
 aged AS (SELECT p.* REPLACE (CASE WHEN p.status = 'active' AND s.slug IS NOT NULL THEN 'stale' ELSE p.status END AS status) FROM proj p LEFT JOIN stale_hit s ON p.slug = s.slug)"""
 ALL = ",\n".join([wal(), keyed(), FACTS, AGG, VERDICTS, HOLD, PROJECTION])
-RANKED = ",\n".join([ALL, REQUESTS, TERMS, KEYWORD, OVERLAP]) + f""",
-scored AS (SELECT r.query_id, s.slug, s.project, coalesce(o.overlap, 0) AS overlap, 3 * coalesce(o.overlap, 0) + {STATIC} AS score
-  FROM requests r CROSS JOIN proj s LEFT JOIN over o ON o.query_id = r.query_id AND o.slug = s.slug),
+#: The score's part without terms and own project; facts of src0 are the global store's.
+_BASE = STATIC.rsplit(" + CASE", 1)[0]
+_BONUS = "CASE WHEN s.project = r.own AND s.project <> 'global' THEN 1.0 ELSE 0 END"
+
+
+def ranked(of: str, name: str) -> str:
+    """CTEs that end in ``name``: every request with every row of ``of`` in its scope, and overlap and score."""
+    return f"""{name}_facts AS (SELECT *, {_BASE} AS static FROM (SELECT * REPLACE (CASE WHEN project = 'src0' THEN 'global' ELSE project END AS project) FROM {of})),
+{name} AS (SELECT r.query_id, s.slug, s.project, s.status, coalesce(o.overlap, 0) AS overlap, 3 * coalesce(o.overlap, 0) + (s.static + {_BONUS}) AS score
+  FROM requests r JOIN {name}_facts s ON s.project IN (r.own, 'global') LEFT JOIN over o ON o.query_id = r.query_id AND o.slug = s.slug)"""
+
+
+RANKED = ",\n".join([ALL, REQUESTS, TERMS, KEYWORD, OVERLAP, ranked("proj", "scored")]) + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, project) AS rank FROM scored)"""
 JSONL = """lines AS (SELECT 'c' || conv_id AS session, turn, role, text, 1704067200 + conv_id * 3600 + turn * 60 AS t FROM conversations)"""
 TEXTS = """texts AS (SELECT session, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM lines WHERE role = 'assistant' AND text <> '' GROUP BY session)"""
@@ -222,8 +232,8 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "session_set_union": with_(wal(), select="""SELECT session, array_to_string(list_sort(list(DISTINCT target)), ',') AS slugs FROM wal WHERE event IN ('inject', 'recall') GROUP BY session"""),
     "domain_filter": with_(ALL, select="SELECT slug, project FROM proj WHERE len(domains) = 0 OR list_has_any(domains, ['en', 'fr'])"),
     "scope_filter": with_(ALL, select=f"SELECT slug, project FROM proj WHERE project IN ('{PROJECT}', 'global')"),
-    "recall_topk": with_(RANKED, STALE, select=f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS rank, slug, project, overlap, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, project) AS rank FROM (SELECT o.query_id, s.slug, s.project, o.overlap, round(3 * o.overlap + {STATIC}, 6) AS score FROM over o JOIN aged s USING (slug))) q
+    "recall_topk": with_(RANKED, STALE, ranked("aged", "recalled"), select="""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS rank, slug, project, overlap, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, project) AS rank FROM (SELECT * REPLACE (round(score, 6) AS score) FROM recalled WHERE overlap > 0)) q
   WHERE rank <= 12 AND CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 6 <> 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8"""),
     "skill_topk": with_(ALL, select=f"""SELECT skill, rank, slug, round(score, 6) AS score FROM (SELECT f.skill, p.slug, {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} AS score, row_number() OVER (PARTITION BY f.skill ORDER BY {STATIC.replace('project =', 'p.project =').replace('created ', 'p.created ')} DESC, p.slug, p.project) AS rank FROM proj p JOIN (SELECT slug, project, skill FROM facts WHERE type = 'skill-learning') f ON p.slug = f.slug AND p.project = f.project) WHERE rank <= 5"""),
     "wal_errors_7d": with_(wal(), select=f"SELECT event, count(*) AS n FROM wal WHERE event IN {_in(ERROR_EVENTS)} AND date >= strftime({_T} - 7, '%Y-%m-%d') GROUP BY event"),
@@ -244,7 +254,9 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "inject_topk": with_(RANKED, select="""SELECT query_id, slug, project, CASE WHEN held THEN 'skipped' WHEN CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 7 = 2 THEN 'repeated' ELSE 'delivered' END AS outcome
 FROM (SELECT *, CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 5 = 1 AS held, count(*) FILTER (WHERE CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 5 <> 1) OVER (PARTITION BY query_id ORDER BY rank) AS fresh FROM ranked) WHERE CASE WHEN held THEN fresh < 8 ELSE fresh <= 8 END"""),
     "degraded_rank": with_(FACTS, REQUESTS, TERMS, select=f"""SELECT query_id, rank, slug, project, overlap, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, project) AS rank FROM (
-  SELECT query_id, slug, project, count(*) AS overlap, 3 * count(*) + 1.0 + CASE WHEN project = '{PROJECT}' THEN 1 ELSE 0 END AS score FROM terms JOIN (SELECT slug, project, unnest(list_distinct({tokens(_FULL)})) AS term FROM facts) USING (term) GROUP BY query_id, slug, project)) WHERE rank <= 8"""),
+  SELECT r.query_id, s.slug, s.project, count(*) AS overlap, 3 * count(*) + (1.0 + any_value({_BONUS})) AS score FROM terms JOIN requests r USING (query_id)
+  JOIN (SELECT slug, CASE WHEN project = 'src0' THEN 'global' ELSE project END AS project, unnest(list_distinct({tokens(_FULL)})) AS term FROM facts) s ON s.term = terms.term AND s.project IN (r.own, 'global')
+  GROUP BY r.query_id, s.slug, s.project)) WHERE rank <= 8"""),
     "holdout_clean": with_(wal(), keyed(), select="SELECT DISTINCT slug, session FROM keyed WHERE event = 'holdout-skip' EXCEPT SELECT slug, session FROM keyed WHERE event = 'inject'"),
     "wal_agg": with_(wal(), keyed(), AGG, select="SELECT * FROM agg"),
     "session_verdicts": with_(wal(), keyed(), VERDICTS, select="SELECT key, session, useful FROM verdicts"),

@@ -228,14 +228,18 @@ def mark_stale(s, d):
 # --- ranking ---------------------------------------------------------------------
 
 
+def _shared(s, d) -> DataFrame:
+    return bind.with_global(_projection(s, d))
+
+
 @query
 def rank_topk(s, d):
-    return _r6(R.rank_topk(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT), "score")
+    return _r6(R.rank_topk(bind.requests(s, d), _shared(s, d), _keyword(s, d), TODAY), "score")
 
 
 @query
 def score(s, d):
-    return _r6(R.scores(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT), "score")
+    return _r6(R.scores(bind.requests(s, d), _shared(s, d), _keyword(s, d), TODAY), "score")
 
 
 @query
@@ -245,8 +249,8 @@ def recency(s, d):
 
 @query
 def recall_topk(s, d):
-    live = bind.facts(s, d).filter(_number(F.col("slug")) % 6 != 5)
-    return _r6(R.recall_topk(bind.requests(s, d), _aged(s, d), _keyword(s, d), live, TODAY, PROJECT).withColumn("rank", F.col("rank").cast("bigint")), "score")
+    live = bind.with_global(bind.facts(s, d)).filter(_number(F.col("slug")) % 6 != 5)
+    return _r6(R.recall_topk(bind.requests(s, d), bind.with_global(_aged(s, d)), _keyword(s, d), live, TODAY).withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
 @query
@@ -256,23 +260,19 @@ def skill_topk(s, d):
 
 @query
 def degraded_rank(s, d):
-    return _r6(R.degraded_rank(bind.requests(s, d), bind.facts(s, d), TODAY, PROJECT), "score")
-
-
-def _ranked(s, d, k: int) -> DataFrame:
-    return R.rank_topk(bind.requests(s, d), _projection(s, d), _keyword(s, d), TODAY, PROJECT, k)
+    return _r6(R.degraded_rank(bind.requests(s, d), bind.with_global(bind.facts(s, d))), "score")
 
 
 @query
 def inject_topk(s, d):
     p = _projection(s, d).select("slug")
     held, done = p.filter(_number(F.col("slug")) % 5 == 1), p.filter((_number(F.col("slug")) % 7 == 2))
-    return R.inject_topk(_ranked(s, d, 200), held, done)
+    return R.inject_topk(bind.requests(s, d), _shared(s, d), _keyword(s, d), held, done, TODAY)
 
 
 @query
 def inject_render(s, d):
-    return R.inject_render(rank_topk(s, d), bind.facts(s, d)).select("query_id", "rank", "slug", F.octet_length("chunk").alias("bytes"))
+    return R.inject_render(rank_topk(s, d), bind.with_global(bind.facts(s, d))).select("query_id", "rank", "slug", F.octet_length("chunk").alias("bytes"))
 
 
 @query

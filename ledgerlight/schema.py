@@ -15,6 +15,8 @@ MIN_RECURRENCE, STREAK, HIT_RATE, LOW_RATE, SILENT_LIMIT = 2, 5, 0.75, 0.25, 5
 OPEN_WARN = 0.5
 OUTCOME_DAYS, INTUITION_DAYS = 14, 30
 SEPARATOR = "\x1f"
+#: Project name of the store that all projects share.
+GLOBAL = "global"
 TAIL_BYTES = 256 * 1024
 MAX_LINE_BYTES, MAX_TRANSCRIPT_LINE = 1 << 20, 4 << 20
 

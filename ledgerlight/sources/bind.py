@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import FACT_TYPES
+from ..schema import FACT_TYPES, GLOBAL
 
 TODAY = "2024-01-31"
 PROJECT = "src3"
@@ -117,8 +117,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, text): ranking requests from ``benchmark``."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """(query_id, text, project): ranking requests from ``benchmark``, dealt to the projects; every twentieth has no facts of its own."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("project"))
+
+
+def with_global(facts: DataFrame) -> DataFrame:
+    """Facts of project src0 are those of the global store."""
+    return facts.withColumn("project", F.when(F.col("project") == "src0", GLOBAL).otherwise(F.col("project")))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

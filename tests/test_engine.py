@@ -221,13 +221,6 @@ def test_classify(spark):
     assert {r["slug"]: r["useful"] for r in B.classify(t, d).collect()} == {"slug-a.md": True, "b.md": False, "c.md": False}
 
 
-def test_inject_refills_holdouts_but_not_repeats(spark):
-    ranked = spark.createDataFrame([(1, i, f"k{i}", "p") for i in range(1, 7)], "query_id int, rank int, slug string, project string")
-    s = lambda *x: spark.createDataFrame([(v,) for v in x], "slug string")
-    got = {r["slug"]: r["outcome"] for r in R.inject_topk(ranked, s("k1", "k6"), s("k2"), k=3).collect()}
-    assert got == {"k1": "skipped", "k2": "repeated", "k3": "delivered", "k4": "delivered"}
-
-
 def test_promote(spark):
     lines = [f"2026-01-0{i}|trigger-useful|always|s{i}" for i in range(1, 6)] + [f"2026-01-0{i}|trigger-silent|dud|s{i}" for i in range(1, 6)] + ["2026-01-01|ablate-start|done:3|cli"]
     lines += [f"2026-01-02|holdout-{k}|done|s{i}" for i in range(3) for k in ("skip", "hit")]
