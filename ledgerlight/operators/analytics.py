@@ -276,14 +276,42 @@ def ab_replay(events: DataFrame, ks: tuple[int, ...] = (3, 5, 8, 12)) -> DataFra
     return per.select(F.explode(pairs).alias("x")).groupBy(F.col("x.k").alias("k")).agg(F.count("*").alias("sessions"), F.avg("x.v").alias("recall"))
 
 
+def numbered_pool(events: DataFrame) -> DataFrame:
+    """(slug, place): the pool in order of a digest, numbered from 0; a running sum over 4,096 classes, and an order within each."""
+    pool = ab_pool(events).filter("slug is not null").withColumn("_d", F.md5("slug")).withColumn("_c", F.substring("_d", 1, 3))
+    sizes = pool.groupBy("_c").agg(F.count("*").alias("_n"))
+    before = sizes.select("_c", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_c").orderBy("_d", "slug"))
+    return pool.join(F.broadcast(before), "_c").select("slug", (F.col("_before") + inside - 1).alias("place"))
+
+
+def _primes(n: int = 16, below: int = 1 << 31) -> list[int]:
+    """The ``n`` greatest primes below a bound."""
+    found: list[int] = []
+    x = below - 1
+    while len(found) < n:
+        if x % 2 and all(x % d for d in range(3, int(x**0.5) + 1, 2)):
+            found.append(x)
+        x -= 2 if x % 2 else 1
+    return found
+
+
 def ab_random(events: DataFrame, ks: tuple[int, ...] = (3, 5, 8, 12), seed: int = 1) -> DataFrame:
-    """(k, sessions, recall) of a deterministic random choice of k targets per session, for comparison."""
-    pool = ab_pool(events)
-    sessions = ab_eval_sessions(events)
-    size = pool.count()
-    # A useful target is among the k chosen with probability k / pool size; its hash decides.
-    u = F.pmod(F.xxhash64(F.lit(seed), "session", "slug"), F.lit(1 << 30)) / float(1 << 30)
-    hits = sessions.select("session", F.size("useful").alias("size"), F.explode("useful").alias("slug"))
-    per = hits.groupBy("session", "size").agg(*[F.count_if(u < k / max(1, size)).alias(f"h{k}") for k in ks])
+    """(k, sessions, recall) of a seeded choice of exactly k targets of the pool per session, for comparison.
+
+    Each session orders the pool anew, by ``(a * place + b) mod size`` with a
+    prime ``a`` and a shift ``b`` from a digest of its name, and chooses the first
+    k (all of a smaller pool).  As that is a permutation (pools are smaller than 2 ** 31), it is
+    enough to look where the session's own useful targets come; the pool is never
+    put against the sessions.
+    """
+    pool = numbered_pool(events)
+    size = events.select(F.count_distinct("target").alias("_size"))
+    sessions = ab_eval_sessions(events).withColumn("_d", F.md5(F.concat(F.lit(f"{seed}:"), "session")))
+    draw = [F.conv(F.substring("_d", at, 8), 16, 10).cast("bigint") for at in (1, 9)]
+    factor = F.get(F.array(*[F.lit(p).cast("bigint") for p in _primes()]), (draw[0] % 16).cast("int"))
+    rows = sessions.select("session", F.size("useful").alias("size"), factor.alias("_a"), draw[1].alias("_b"), F.explode("useful").alias("slug")).join(pool, "slug").join(F.broadcast(size), F.lit(True))
+    at = (F.col("_a") * F.col("place") + F.col("_b")) % F.col("_size")
+    per = rows.groupBy("session", "size").agg(*[F.count_if(at < k).alias(f"h{k}") for k in ks])
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"h{k}") / F.col("size")).alias("v")) for k in ks])
     return per.select(F.explode(pairs).alias("x")).groupBy(F.col("x.k").alias("k")).agg(F.count("*").alias("sessions"), F.avg("x.v").alias("recall"))

@@ -157,6 +157,7 @@ METRIC_ROWS = """mrows AS (SELECT line_no, session, CASE WHEN starts_with(target
 CANDIDATES = """ct AS (SELECT key, count(DISTINCT session) FILTER (WHERE event = 'trigger-useful') AS u, count(DISTINCT session) FILTER (WHERE event = 'trigger-silent') AS s, bool_or(event = 'candidate-confirmed') AS c FROM keyed GROUP BY key),
 flagged AS (SELECT f.slug, f.project, CASE WHEN q.key IS NOT NULL THEN q.s ELSE b.s END AS silent FROM facts f LEFT JOIN ct q ON q.key = f.project || chr(31) || f.bare LEFT JOIN ct b ON b.key = f.bare
   WHERE f.status = 'candidate' AND CASE WHEN q.key IS NOT NULL THEN q.u = 0 AND NOT q.c AND q.s >= 5 ELSE b.u = 0 AND NOT b.c AND b.s >= 5 END)"""
+QUIET = r"quiet AS (SELECT * REPLACE (CASE WHEN regexp_matches(target, 'k(11|21)(\.md)?$') AND event IN ('trigger-useful', 'candidate-confirmed') THEN 'trigger-silent' ELSE event END AS event) FROM wal)"
 QUANTA = f"""oi AS (SELECT session, count(*) AS n FROM wal WHERE event = 'inject' AND date >= strftime({_T} - 30, '%Y-%m-%d') GROUP BY session),
 oc AS (SELECT DISTINCT session FROM wal WHERE event IN {_in(CLOSING_EVENTS)} AND date >= strftime({_T} - 30, '%Y-%m-%d')),
 quanta AS (SELECT count(*) AS sessions, count(*) FILTER (WHERE oc.session IS NULL) AS open, coalesce(sum(n) FILTER (WHERE oc.session IS NULL), 0)::BIGINT AS lost_injects FROM oi LEFT JOIN oc USING (session))"""
@@ -244,7 +245,7 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "empty_status": with_(FACTS, select="SELECT slug, project FROM facts WHERE doc_id % 17 = 3"),
     "reproject": with_(ALL, select="SELECT slug, content_sha, type, name, project, created, last_injected, ref_count, status, round(effectiveness, 6) AS effectiveness, holdout_remaining FROM proj"),
     "graduation": with_(ALL, select="SELECT project, slug, graduated FROM hist"),
-    "candidate_check": with_(wal(), keyed(), FACTS, CANDIDATES, select="SELECT * FROM flagged"),
+    "candidate_check": with_(wal(), QUIET, keyed().replace("FROM wal)", "FROM quiet)"), FACTS, CANDIDATES, select="SELECT * FROM flagged"),
     "overlap": with_(FACTS, REQUESTS, TERMS, KEYWORD, OVERLAP, select="SELECT query_id, slug, overlap FROM over"),
     "keyword_tf": with_(FACTS, KEYWORD, select="SELECT slug, project, term, weight FROM keyword"),
     "rank_topk": with_(RANKED, select="SELECT query_id, rank, slug, project, overlap, round(score, 6) AS score FROM ranked WHERE rank <= 8"),
@@ -317,7 +318,7 @@ UNION ALL SELECT '{TODAY}', 'candidate-confirmed', slug, min(session) FROM class
 UNION ALL SELECT '{TODAY}', 'session-metrics', 'domains:,error_count:' || errors || ',tool_calls:' || tool_calls || ',duration:' || seconds || 's', session FROM metrics
 UNION ALL SELECT '{TODAY}', 'session-close', session, session FROM metrics"""),
     "memindex_render": with_(FACTS, "ln AS (SELECT project, slug, '- [' || CASE WHEN name = '' THEN bare ELSE name END || '](' || slug || ') — ' || CASE WHEN length(description) <= 120 THEN description ELSE rtrim(substr(description, 1, 120), ' ') || '…' END || chr(10) AS line FROM facts)",
-        select="SELECT * FROM (SELECT project, slug, line, (15 + sum(strlen(line)) OVER (PARTITION BY project ORDER BY slug))::BIGINT AS bytes_so_far FROM ln) WHERE bytes_so_far <= 4000"),
+        select="SELECT * FROM (SELECT project, slug, line, (15 + sum(strlen(line)) OVER (PARTITION BY project ORDER BY slug))::BIGINT AS bytes_so_far FROM ln) WHERE bytes_so_far <= 24000"),
     "migrate_route": with_(FACTS, select="SELECT slug, project, CASE WHEN CAST(substr(project, 4) AS INT) % 2 = 0 THEN 'projects/-home-u-' || project || '/memory' ELSE 'global' END AS target_dir FROM facts"),
     "migrate_slugs": with_(FACTS, select="SELECT type AS dir, project AS sub, doc_id AS walk, CASE WHEN row_number() OVER (PARTITION BY type, skill || (doc_id % 40) ORDER BY doc_id) > 1 THEN project || '-' ELSE '' END || skill || (doc_id % 40) AS slug FROM facts"),
     "migrate_native": with_(FACTS, select="""SELECT slug, '---' || chr(10) || 'name: "' || replace(CASE WHEN doc_id % 2 = 0 THEN name ELSE upper(substr(bare, 1, 1)) || substr(bare, 2) END, '"', '''') || '"' || chr(10) || 'description: "' || replace(CASE WHEN description <> '' THEN description ELSE coalesce(substr(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '^#+', ''))), lambda x: x <> '')[1], 1, 100), '') END, '"', '''') || '"' || chr(10) || 'type: ' || type || chr(10) || '---' || chr(10)

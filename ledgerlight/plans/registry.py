@@ -12,6 +12,7 @@ from ..functions.similarity import indel, with_token_set_ratio
 from ..operators import analytics as A
 from ..operators import feedback as B
 from ..operators import gates as G
+from ..operators import lifecycle as LC
 from ..operators import log as L
 from ..operators import migrate as M
 from ..operators import projection as P
@@ -19,7 +20,7 @@ from ..operators import ranking as R
 from ..operators import sessions as S
 from ..sources import bind, files
 from ..sources.bind import PROJECT, TODAY
-from . import oracle, oracle_text
+from . import oracle, oracle_life, oracle_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -284,7 +285,7 @@ def skill_render(s, d):
 
 @query
 def memindex_render(s, d):
-    return R.memindex(bind.facts(s, d), budget=4000)
+    return R.memindex(bind.facts(s, d))
 
 
 # --- feedback -----------------------------------------------------------------------
@@ -362,7 +363,8 @@ def corpus_counts(s, d):
 
 @query
 def candidate_check(s, d):
-    return A.candidate_check(bind.facts(s, d), bind.wal(s, d))
+    quiet = F.col("target").rlike(r"k(11|21)(\.md)?$") & F.col("event").isin("trigger-useful", "candidate-confirmed")
+    return A.candidate_check(bind.facts(s, d), bind.wal(s, d).withColumn("event", F.when(quiet, "trigger-silent").otherwise(F.col("event"))))
 
 
 @query
@@ -423,6 +425,44 @@ def ab_random(s, d):
     return _r6(A.ab_random(bind.wal(s, d)), "recall")
 
 
+# --- lifecycle ----------------------------------------------------------------------------
+
+
+def _store(s, d) -> DataFrame:
+    """Live facts, and archives in which every third fact has been once, every ninth twice and every seventh under its second number only."""
+    f, n = bind.with_global(bind.facts(s, d)), F.col("doc_id")
+    bare = F.regexp_replace("slug", r"\.md$", "")
+    old = F.array_compact(F.array(F.when(n % 3 == 0, F.col("slug")), F.when((n % 9 == 0) | (n % 7 == 0), F.concat(bare, F.lit("-2.md")))))
+    content = F.concat(F.lit("---\nname: x\n---\n"), F.col("body"))
+    live = f.filter(n % 10 != 4).select("project", "slug", F.lit(None).cast("string").alias("archived"), content.alias("content"))
+    return live.unionByName(f.select("project", "slug", F.explode(old).alias("archived"), F.concat(F.lit("---\nname: x\nretired: 2023-01-01\n---\n"), F.col("body")).alias("content")))
+
+
+def _orders(s, d) -> DataFrame:
+    """Orders of every second fact, one in ten of them from a project that can't see it."""
+    f, n = bind.facts(s, d), F.col("doc_id")
+    own = F.when(n % 10 == 8, "elsewhere").otherwise(F.col("project"))
+    return f.filter(n % 2 == 0).select(own.alias("own"), "slug", F.when(n % 4 == 0, "out of date").alias("reason"), F.when(n % 6 == 0, F.concat(F.lit("k"), n + 1)).alias("successor"))
+
+
+@query
+def retire_facts(s, d):
+    done = LC.retire(_store(s, d), _orders(s, d), TODAY)
+    return done.select("own", "slug", "outcome", "project", "archived", "target", F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
+
+
+@query
+def revive_facts(s, d):
+    done = LC.revive(_store(s, d), _orders(s, d).select("own", "slug"))
+    return done.select("own", "slug", "outcome", "project", "target", F.md5("content").alias("digest"))
+
+
+@query
+def ablation_events(s, d):
+    orders = bind.facts(s, d).select("project", "slug", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5).alias("n"))
+    return LC.ablation_events(orders, TODAY).union(LC.ablation_events(orders, TODAY, start=False))
+
+
 # --- migration ----------------------------------------------------------------------------
 
 
@@ -558,4 +598,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {k: v for k, v in (oracle.SQL | oracle_text.SQL).items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.SQL | oracle_text.SQL | oracle_life.SQL).items() if k in _QUERIES}
