@@ -1,11 +1,14 @@
-"""Planning a move of old files into the present layout."""
+"""Planning a move of old files into the present layout, carrying it out, and taking it back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE_EVENTS
+from ..sources import versions
 
 
 def wal_active(wal: DataFrame) -> DataFrame:
@@ -74,3 +77,62 @@ def to_native(files: DataFrame) -> DataFrame:
     )
     content = F.concat(F.lit("---\nname: "), quote(name), F.lit("\ndescription: "), quote(text), F.lit("\ntype: "), "type", F.lit("\n---\n"), F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n"))
     return files.select("slug", content.alias("content"))
+
+
+def backups(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, batch) of the complete backups in a folder, oldest first; one whose copy was never published doesn't count."""
+    found = [(int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in versions.names(spark, folder) if n[:6].isdigit() and n[6:7] == "-"]
+    return sorted((k, batch) for k, batch in found if versions.latest(spark, f"{folder}/{k:06d}-{batch}") is not None)
+
+
+def back_up(spark: SparkSession, old: str, folder: str, batch: str) -> str:
+    """Copy the newest version of the table ``old`` to a numbered backup; one that this batch made already is kept as it is."""
+    done = backups(spark, folder)
+    for number, name in done:
+        if name == batch:
+            return f"{folder}/{number:06d}-{batch}"
+    target = f"{folder}/{max((k for k, _ in done), default=0) + 1:06d}-{batch}"
+    versions.replace(versions.read(spark, old), target, ["project", "slug"], batch)
+    return target
+
+
+def execute(spark: SparkSession, old: str, new: str, folder: str, convert: Callable[[DataFrame], DataFrame], batch: str) -> int:
+    """Move the table ``old`` (keys project, slug) into ``new`` (keys target_dir, slug): back up, write what is kept, drop it from ``old``.
+
+    ``convert`` makes the plan (project, slug, action, target_dir, new_slug,
+    content) from the old rows; rows of action ``keep`` move, the others stay.
+    A new table is started where there is none.  If a step fails, ``old`` and
+    ``new`` are put back as they were (``old`` from the newest backup) and the error is raised.  A batch that was
+    carried out changes nothing.  Returns the new table's version.
+    """
+    if versions.applied(spark, old, batch):
+        return versions.latest(spark, new)
+    back_up(spark, old, folder, batch)
+    before, base = versions.latest(spark, new), versions.latest(spark, old)
+    try:
+        plan = convert(versions.read(spark, old, base)).filter("action = 'keep'")
+        rows = plan.select("target_dir", F.col("new_slug").alias("slug"), "content")
+        if before is None:
+            versions.replace(rows, new, ["target_dir", "slug"], batch)
+        else:
+            versions.upsert(spark, new, rows.withColumn("deleted", F.lit(False)), batch, before)
+        gone = versions.read(spark, old, base).join(plan.select("project", "slug"), ["project", "slug"], "left_semi")
+        versions.upsert(spark, old, gone.withColumn("deleted", F.lit(True)), batch, base)
+    except Exception:
+        if versions.latest(spark, new) != before and before is not None:
+            versions.restore(spark, new, before)
+        elif versions.latest(spark, new) != before:
+            versions.replace(versions.read(spark, new).limit(0), new, ["target_dir", "slug"], forget=(batch,))
+        if versions.latest(spark, old) != base:
+            rollback(spark, old, folder)
+        raise
+    return versions.latest(spark, new)
+
+
+def rollback(spark: SparkSession, old: str, folder: str) -> int:
+    """Publish the newest backup as the next version of ``old``, in which its batch counts as not carried out; returns its number."""
+    done = backups(spark, folder)
+    if not done:
+        raise FileNotFoundError(folder)
+    number, batch = done[-1]
+    return versions.replace(versions.read(spark, f"{folder}/{number:06d}-{batch}"), old, ["project", "slug"], forget=(batch,))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators.analytics import _primes
 from ..sources.bind import TODAY
 from .oracle import EVAL, FACTS, wal, with_
+from .oracle import SQL as BASE
 
 _PROJECT = "CASE WHEN project = 'src0' THEN 'global' ELSE project END"
 _STORE = f"""live AS (SELECT {_PROJECT} AS project, slug, '---' || chr(10) || 'name: x' || chr(10) || '---' || chr(10) || body AS content FROM facts WHERE doc_id % 10 <> 4),
@@ -34,6 +35,7 @@ SQL: dict[str, str] = {
         select=f"""SELECT '{TODAY}' AS date, 'ablate-start' AS event, project || chr(31) || bare || ':' || CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN doc_id % 5 ELSE 5 END AS target, 'cli' AS session FROM facts
 UNION ALL SELECT '{TODAY}', 'ablate-stop', project || chr(31) || bare || ':manual', 'cli' FROM facts""",
     ),
+    "plan_summary": f"SELECT CASE WHEN pruned THEN 'pruned' ELSE 'kept' END AS action, count(*) AS n FROM ({BASE['prune_plan']}) GROUP BY 1",
     "ab_random": with_(
         wal(),
         EVAL,

@@ -476,6 +476,11 @@ def prune_plan(s, d):
     return M.prune_plan(bind.facts(s, d).withColumn("ref_count", F.col("doc_id") % 3), bind.wal(s, d), TODAY)
 
 
+@query
+def plan_summary(s, d):
+    return M.plan_summary(prune_plan(s, d))
+
+
 @query
 def migrate_route(s, d):
     f = bind.facts(s, d)

@@ -158,11 +158,14 @@ def _commit(spark: SparkSession, path: str, manifest: dict) -> int:
     return number
 
 
-def replace(rows: DataFrame, path: str, keys: list[str], batch: str | None = None, buckets: int = BUCKETS) -> int:
-    """Publish ``rows`` as the next version (the first one of a new table), whatever the table holds now; returns its number."""
+def replace(rows: DataFrame, path: str, keys: list[str], batch: str | None = None, buckets: int = BUCKETS, forget: tuple[str, ...] = ()) -> int:
+    """Publish ``rows`` as the next version (the first one of a new table), whatever the table holds now; returns its number.
+
+    Batches named in ``forget`` count as not applied from then on.
+    """
     spark = rows.sparkSession
     base = latest(spark, path)
-    before = _manifest(spark, path, base)["batches"] if base is not None else []
+    before = [b for b in _manifest(spark, path, base)["batches"] if b not in forget] if base is not None else []
     if batch is not None and batch in before:
         return base
     parts = _write(rows, path, keys, buckets)
@@ -170,6 +173,11 @@ def replace(rows: DataFrame, path: str, keys: list[str], batch: str | None = Non
     return _commit(spark, path, {"version": 0 if base is None else base + 1, "keys": keys, "buckets": buckets, "schema": rows.schema.jsonValue(), "parts": parts, "batches": batches})
 
 
+def restore(spark: SparkSession, path: str, at: int) -> int:
+    """Publish version ``at`` anew, with the batches it had; no rows are written."""
+    return _commit(spark, path, _manifest(spark, path, at) | {"version": latest(spark, path) + 1})
+
+
 def applied(spark: SparkSession, path: str, batch: str) -> bool:
     """Whether a batch of that name is in the newest version."""
     number = latest(spark, path)
