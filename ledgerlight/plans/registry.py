@@ -20,7 +20,7 @@ from ..operators import ranking as R
 from ..operators import sessions as S
 from ..sources import bind, files
 from ..sources.bind import PROJECT, TODAY
-from . import oracle, oracle_life, oracle_text
+from . import oracle, oracle_life, oracle_render, oracle_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -603,4 +603,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {k: v for k, v in (oracle.SQL | oracle_text.SQL | oracle_life.SQL).items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.SQL | oracle_text.SQL | oracle_life.SQL | oracle_render.SQL).items() if k in _QUERIES}
