@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cap_body, query_terms, tokenize, truncate
-from ..schema import GLOBAL, INDEX_BYTES, MAX_BODY_BYTES, MAX_TOTAL_BYTES, RECALL_SPARE, RECENCY_DAYS, SKILL_K, TOP_K, W_EFFECT, W_OVERLAP, W_PROJECT, W_RECENCY, W_USE
+from ..functions.text import cap_body, query_terms, sanitize, tokenize, truncate
+from ..schema import GLOBAL, INDEX_BYTES, MAX_BODY_BYTES, MAX_TOTAL_BYTES, RECALL_SPARE, RECENCY_DAYS, SEPARATOR, SKILL_K, TOP_K, W_EFFECT, W_OVERLAP, W_PROJECT, W_RECENCY, W_USE
 
 
 def recency(last_injected: Column, created: Column, today: Column) -> Column:
@@ -41,8 +41,17 @@ def scoped(projection: DataFrame, project: str) -> DataFrame:
 
 
 def terms_of(requests: DataFrame) -> DataFrame:
-    """(query_id, term): the distinct terms of every request."""
-    return requests.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
+    """(query_id, term): the distinct terms of every request (query_id, text).
+
+    Where requests have them, the last part of ``cwd`` and the text of ``git``
+    (branch, changed files, subjects) give terms too.
+    """
+    parts = [F.col("text")]
+    if "cwd" in requests.columns:
+        parts.append(F.regexp_extract("cwd", r"([^/]*)/*$", 1))
+    if "git" in requests.columns:
+        parts.append(F.col("git"))
+    return requests.select("query_id", F.explode(query_terms(*parts)).alias("term"))
 
 
 def overlap(terms: DataFrame, keyword: DataFrame, strict_keys: bool = False) -> DataFrame:
@@ -199,6 +208,41 @@ def tombstones(requests: DataFrame, facts: DataFrame) -> DataFrame:
     return terms_of(requests).join(own, "term").select("query_id", "slug", "project").distinct()
 
 
+def recall_render(requests: DataFrame, recalled: DataFrame, facts: DataFrame, archived: DataFrame) -> DataFrame:
+    """(query_id, part, place, text): what a pull shows, in order of part and place.
+
+    Part 1 are the facts of ``recalled`` (of ``recall_topk``, with status and
+    type): the first with its capped body, the others by name, description and
+    path.  Without any it is one row that says so.  Part 2 names retired facts (``archived``: slug, project,
+    retired, reason, successor, path and the texts that are searched) of the request's scope that share a
+    term with it, by project (the own one first) and slug.
+    """
+    rows = recalled.join(facts.select("slug", "project", "name", "description", "body", "path"), ["slug", "project"])
+    number = F.format_string("%.2f", F.col("score"))
+    stale = F.when(F.col("status") == "stale", " [stale]").otherwise("")
+    title = F.when(F.coalesce("name", F.lit("")) == "", F.col("slug")).otherwise(F.col("name"))
+    kind = F.when(F.coalesce("type", F.lit("")) == "", "note").otherwise(F.col("type"))
+    body = F.when(F.coalesce("body", F.lit("")) == "", "").otherwise(F.concat(cap_body(F.col("body")), F.lit("\n")))
+    first = F.concat(F.lit("## "), title, F.lit(" ("), kind, F.lit(", score "), number, F.lit(")"), stale, F.lit("\n"), body)
+    note = F.when(F.coalesce("description", F.lit("")) == "", "").otherwise(F.concat(F.lit(" — "), "description"))
+    other = F.concat(F.col("rank").cast("string"), F.lit(". "), "slug", F.lit(" ("), number, F.lit(")"), stale, note, F.lit("\n   "), "path", F.lit("\n"))
+    answers = rows.select("query_id", F.lit(1).alias("part"), F.col("rank").cast("int").alias("place"), F.when(F.col("rank") == 1, first).otherwise(other).alias("text"))
+    none = requests.select("query_id").join(recalled.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(1).alias("part"), F.lit(1).alias("place"), F.lit("no matches\n").alias("text"))
+    gone = tombstones(requests, archived).join(scopes(requests), ["query_id", "project"]).join(archived.select("slug", "project", "retired", "reason", "successor", "path"), ["slug", "project"])
+    successor = F.when(F.coalesce("successor", F.lit("")) == "", "no successor").otherwise(F.col("successor"))
+    reason = F.when(F.coalesce("reason", F.lit("")) == "", "").otherwise(F.concat(F.lit(" (reason: "), "reason", F.lit(")")))
+    line = F.concat(F.lit("  - "), F.regexp_replace("slug", r"\.md$", ""), F.lit(" [retired "), "retired", F.lit(" → "), successor, F.lit("]"), reason, F.lit("\n    "), "path", F.lit("\n"))
+    order = Window.partitionBy("query_id").orderBy((F.col("project") != F.col("own")).cast("int"), "slug")
+    graves = gone.select("query_id", F.lit(2).alias("part"), F.row_number().over(order).alias("place"), line.alias("text"))
+    return answers.unionByName(none).unionByName(graves)
+
+
+def recall_events(recalled: DataFrame, day: str, session: str = "cli") -> DataFrame:
+    """Log rows of a pull: only the first fact of each request counts as delivered; the row itself is its key, so a repeat on one day adds nothing."""
+    target = F.when(F.coalesce("project", F.lit("")) == "", F.col("slug")).otherwise(F.concat("project", F.lit(SEPARATOR), "slug"))
+    return recalled.filter("rank = 1").select(F.lit(day).alias("date"), F.lit("recall").alias("event"), sanitize(target).alias("target"), F.lit(session).alias("session")).distinct()
+
+
 def session_set_union(old: DataFrame, new: DataFrame) -> DataFrame:
     """(session, slugs): ordered union of two lists per session, first appearances kept."""
     rows = old.join(new.withColumnRenamed("slugs", "more"), "session", "full_outer")

@@ -75,6 +75,8 @@ FACTS = f"""facts AS (SELECT 'k' || doc_id || '.md' AS slug, source AS project,
 REQUESTS = "requests AS (SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS own FROM benchmark)"
 TERMS = f"terms AS (SELECT DISTINCT query_id, unnest({tokens('text')}) AS term FROM requests)"
 _FULL = "concat_ws(' ', name, description, array_to_string(keywords, ' '), array_to_string(domains, ' '), body)"
+#: What tombstones are searched for.
+FULL_HEAD = _FULL.replace(", body", "")
 KEYWORD = f"keyword AS (SELECT slug, project, term, count(*)::DOUBLE AS weight FROM (SELECT slug, project, unnest({tokens(_FULL)}) AS term FROM facts) GROUP BY ALL)"
 
 AGG = """agg AS (SELECT key,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..schema import MAX_BODY_BYTES, MAX_TOTAL_BYTES
-from .oracle import FACTS, RANKED
+from ..sources.bind import TODAY
+from .oracle import FACTS, FULL_HEAD, RANKED, STALE, TERMS, ranked, tokens
 from .oracle import SQL as BASE
 from .oracle import with_
 
@@ -23,7 +24,32 @@ def shown(of: str, by: str, header: str) -> str:
 sums AS (SELECT *, sum(bytes) OVER (PARTITION BY {by} ORDER BY rank) + {len(header)} AS so_far FROM chunks)"""
 
 
+_RECALL = f"""pulled AS (SELECT r.*, a.status, a.type, f.name, f.description, f.body, f.bare FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS rank, slug, project, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, project) AS rank FROM (SELECT * REPLACE (round(score, 6) AS score) FROM recalled WHERE overlap > 0)) q
+  WHERE rank <= 12 AND CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 6 <> 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8) r JOIN aged a USING (slug) JOIN facts f USING (slug))"""
+_STALE = "CASE WHEN status = 'stale' THEN ' [stale]' ELSE '' END"
+_ANSWER = f"""CASE WHEN rank = 1 THEN '## ' || CASE WHEN name = '' THEN slug ELSE name END || ' (' || type || ', score ' || printf('%.2f', score) || ')' || {_STALE} || chr(10) || CASE WHEN body = '' THEN '' ELSE {capped('body')} || chr(10) END
+  ELSE rank || '. ' || slug || ' (' || printf('%.2f', score) || ')' || {_STALE} || CASE WHEN description = '' THEN '' ELSE ' — ' || description END || chr(10) || '   ' || project || '/' || slug || chr(10) END"""
+_GRAVE = """'  - ' || bare || ' [retired ' || created || ' → ' || CASE WHEN doc_id % 8 = 1 THEN 'k1' ELSE 'no successor' END || ']' || CASE WHEN doc_id % 3 = 0 THEN ' (reason: merged)' ELSE '' END || chr(10) || '    ' || project || '/' || slug || chr(10)"""
+
 SQL: dict[str, str] = {
+    "recall_render": with_(
+        RANKED,
+        STALE,
+        ranked("aged", "recalled"),
+        _RECALL,
+        f"""graves AS (SELECT DISTINCT r.query_id, r.own, g.* FROM terms t JOIN requests r USING (query_id) JOIN (SELECT slug, bare, doc_id, created, CASE WHEN project = 'src0' THEN 'global' ELSE project END AS project, unnest({tokens(FULL_HEAD)}) AS term FROM facts WHERE doc_id % 4 = 1) g
+  ON g.term = t.term AND g.project IN (r.own, 'global')),
+stones AS (SELECT DISTINCT query_id, own, slug, project, {_GRAVE} AS text FROM graves)""",
+        select=f"""SELECT query_id, 1 AS part, rank::INTEGER AS place, md5({_ANSWER}) AS digest FROM pulled
+UNION ALL SELECT query_id, 1, 1, md5('no matches' || chr(10)) FROM requests WHERE query_id NOT IN (SELECT query_id FROM pulled)
+UNION ALL SELECT query_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY project <> own, slug)::INTEGER, md5(text) FROM stones""",
+    ),
+    "recall_events": with_(RANKED, STALE, ranked("aged", "recalled"), _RECALL, select=f"SELECT DISTINCT '{TODAY}' AS date, 'recall' AS event, project || chr(31) || slug AS target, 'cli' AS session FROM pulled WHERE rank = 1"),
+    "keyword_query": with_(
+        FACTS,
+        select=f"""SELECT DISTINCT query_id, unnest({tokens("concat_ws(' ', b.text, 'src' || (item_id % 20) || '-service', f.description)")}) AS term FROM (SELECT item_id AS query_id, * FROM benchmark) b LEFT JOIN facts f ON f.doc_id = b.item_id""",
+    ),
     "cap_body": with_(FACTS, select=f"SELECT slug, strlen({capped('body')})::INTEGER AS bytes FROM facts"),
     "inject_render": with_(
         RANKED,

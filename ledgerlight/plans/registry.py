@@ -254,6 +254,31 @@ def recall_topk(s, d):
     return _r6(R.recall_topk(bind.requests(s, d), bind.with_global(_aged(s, d)), _keyword(s, d), live, TODAY).withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
+def _recalled(s, d) -> DataFrame:
+    return recall_topk(s, d).join(bind.with_global(_aged(s, d)).select("slug", "project", "status", "type"), ["slug", "project"])
+
+
+@query
+def recall_render(s, d):
+    n = F.col("doc_id")
+    f = bind.with_global(bind.facts(s, d)).withColumn("path", F.concat("project", F.lit("/"), "slug"))
+    old = f.filter(n % 4 == 1).withColumns({"retired": F.col("created"), "reason": F.when(n % 3 == 0, "merged"), "successor": F.when(n % 8 == 1, "k1")})
+    shown = R.recall_render(bind.requests(s, d), _recalled(s, d), f, old)
+    return shown.select("query_id", "part", "place", F.md5("text").alias("digest"))
+
+
+@query
+def recall_events(s, d):
+    return R.recall_events(recall_topk(s, d), TODAY)
+
+
+@query
+def keyword_query(s, d):
+    notes = bind.facts(s, d).select(F.col("doc_id").alias("query_id"), F.col("description").alias("git"))
+    asked = bind.requests(s, d).withColumn("cwd", F.concat(F.lit("/home/u/"), "project", F.lit("-service/"))).join(notes, "query_id", "left")
+    return R.terms_of(asked)
+
+
 @query
 def skill_topk(s, d):
     return _r6(R.skill_topk(_projection(s, d), bind.facts(s, d), TODAY, PROJECT), "score")

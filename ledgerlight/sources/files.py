@@ -145,6 +145,18 @@ def load_projection(spark: SparkSession, path: str, at: int | None = None) -> Da
     return versions.read(spark, path, at)
 
 
+def projection_check(spark: SparkSession, path: str, log: str) -> tuple[str, str]:
+    """(status, detail) of a stored projection beside its log: WARN if it is missing or older than the log's last write, else OK."""
+    number = versions.latest(spark, path)
+    written = versions.modified(spark, log)
+    if number is None:
+        return ("OK", "no projection yet") if written is None else ("WARN", "projection missing, log exists")
+    built = versions.modified(spark, f"{path}/_versions/{number:010d}.json")
+    if written is not None and built < written:
+        return "WARN", "projection older than the log"
+    return "OK", f"projection version {number}"
+
+
 def envelope(rows: DataFrame) -> DataFrame:
     """(query_id, json): results as JSON objects."""
     return rows.select("query_id", F.to_json(F.struct(*[c for c in rows.columns if c != "query_id"])).alias("json"))

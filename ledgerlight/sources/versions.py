@@ -43,6 +43,16 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for n in found if not n.startswith("."))
 
 
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When a file, or the newest visible file of a folder, was last written, in milliseconds; null if there is none."""
+    fs, where = location(spark, path)
+    if not fs.exists(where):
+        return None
+    status = fs.getFileStatus(where)
+    found = [status] if status.isFile() else [f for f in fs.listStatus(where) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return max((f.getModificationTime() for f in found), default=None)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, where = location(spark, path)
     return read_bytes(spark, path, 0, fs.getFileStatus(where).getLen()).decode()

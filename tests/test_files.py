@@ -1,5 +1,6 @@
 """Logs as files: split reading, tails, appends by several writers; stored projections."""
 
+import os
 import random
 import threading
 
@@ -99,3 +100,17 @@ def test_projections_are_stored_whole(spark, tmp_path):
     assert show(reader) == show(first) == show(files.load_projection(spark, path, 0))
     assert {r[0] for r in files.load_projection(spark, path).select("ref_count").distinct().collect()} == {7}
     assert versions.latest(spark, path) == 1
+
+
+def test_projection_check(spark, tmp_path):
+    path, log = f"file://{tmp_path}/projection", f"file://{tmp_path}/wal"
+    assert files.projection_check(spark, path, log)[0] == "OK"
+    files.append_line(spark, log, "2026-01-01|inject|k|s")
+    assert files.projection_check(spark, path, log) == ("WARN", "projection missing, log exists")
+    rows = spark.createDataFrame([("p", "k.md")], "project string, slug string")
+    files.store_projection(rows, path)
+    assert files.projection_check(spark, path, log) == ("OK", "projection version 0")
+    written = next(p for p in tmp_path.glob("wal/*.log"))
+    later = (tmp_path / "projection/_versions/0000000000.json").stat().st_mtime + 5
+    os.utime(written, (later, later))
+    assert files.projection_check(spark, path, log)[0] == "WARN"
