@@ -91,13 +91,37 @@ SECRET_VALUES = (
 FENCE = r"(?ms)^(```|~~~)([^\n]*)\n.*?^\1[ \t]*$"
 
 
+#: Strings, in lower case, of which every match of the key pattern holds one, and for each value pattern strings of which every match holds one.
+KEY_HINTS = ("key", "secret", "password", "passphrase", "token")
+VALUE_HINTS = (("AKIA", "ASIA"), tuple(f"gh{c}_" for c in "pousr"), ("github_pat_",), ("sk-ant-",), ("xox",), ("-----BEGIN ",), ("eyJ",), ("://",))
+
+
+def _holds(text: Column, hints: tuple[str, ...]) -> Column:
+    out = text.contains(hints[0])
+    for h in hints[1:]:
+        out = out | text.contains(h)
+    return out
+
+
 def without_code(text: Column) -> Column:
     """The text without bodies of closed fences and inline code; what follows a fence's marks on its line stays."""
-    return F.regexp_replace(F.regexp_replace(text, FENCE, "$2"), r"`[^`\n]*`", "")
+    cut = F.regexp_replace(F.regexp_replace(text, FENCE, "$2"), r"`[^`\n]*`", "")
+    return F.when(_holds(text, ("`", "~~~")), cut).otherwise(text)
 
 
 def secret_hits(text: Column) -> Column:
-    """Whether the key pattern, and how many of the value patterns, occur outside code."""
-    body = without_code(text)
-    values = sum((body.rlike(p).cast("int") for p in SECRET_VALUES), F.lit(0))
-    return F.struct(body.rlike(SECRET_KEY).alias("by_key"), values.alias("by_value"))
+    """Whether the key pattern, and how many of the value patterns, occur outside code.
+
+    A pattern is tried only on texts that hold a string it can't match without; the key pattern's
+    leading characters may be none, so they don't matter to whether it occurs.
+    """
+    key = SECRET_KEY.replace("[A-Za-z0-9_-]*", "", 1)
+
+    def hits(body: Column) -> Column:
+        by_key = F.when(_holds(F.lower(body), KEY_HINTS), body.rlike(key)).otherwise(False)
+        values = sum((F.when(_holds(body, h), body.rlike(p).cast("int")).otherwise(0) for p, h in zip(SECRET_VALUES, VALUE_HINTS)), F.lit(0))
+        return F.struct(by_key.alias("by_key"), values.alias("by_value"))
+
+    found = let(without_code(text), hits)
+    # A null text has null hits, as a pattern has on it.
+    return F.when(text.isNotNull(), found).otherwise(F.struct(F.lit(None).cast("boolean").alias("by_key"), F.lit(None).cast("int").alias("by_value")))
