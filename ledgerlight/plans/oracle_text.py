@@ -24,6 +24,13 @@ SQL: dict[str, str] = {
         FACTS,
         select=rf"""SELECT slug, trim({strip(_FIRST)}, '"''') AS name, 'kw' || (doc_id % 13) || ', ' || skill AS keywords, status, project || '/b c' AS domains, 4 AS n_keys,
   length({strip("body")})::INTEGER AS body_chars FROM facts""",
+    ),
+    "fact_scan": with_(
+        FACTS,
+        """made AS (SELECT *, CASE doc_id % 50 WHEN 0 THEN 'MEMORY.md' WHEN 1 THEN 'k' || doc_id || '.txt' ELSE slug END AS file FROM facts),
+files AS (SELECT *, concat_ws(chr(10), 'name: fact ' || doc_id, 'type: ' || type, 'created: ' || chr(39) || created || chr(39), 'domains: [x, ' || project || ']', 'recurrence: ' || CASE WHEN doc_id % 4 = 3 THEN 'many' ELSE (doc_id % 4)::VARCHAR END) AS head FROM made)""",
+        select=rf"""SELECT '/m/' || project || '/' || file AS path, file AS slug, 'fact ' || doc_id AS name, type, created, '' AS status, 'x/' || project AS domains, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE doc_id % 4 END AS recurrence,
+  sha256(concat_ws(chr(10), '---', head, '---', body)) AS content_sha, md5({strip("body")}) AS body FROM files WHERE doc_id % 50 > 1""",
     ),
     "guarded_path": with_(
         FACTS,

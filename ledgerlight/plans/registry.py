@@ -95,6 +95,16 @@ def frontmatter(s, d):
     return p.select("slug", *values, F.array_join(X.parse_list(F.col("p.fm")["domains"]), "/").alias("domains"), F.size("p.fm").alias("n_keys"), F.length("p.body").alias("body_chars"))
 
 
+@query
+def fact_scan(s, d):
+    f, n = bind.facts(s, d), F.col("doc_id")
+    name = F.when(n % 50 == 0, "MEMORY.md").when(n % 50 == 1, F.concat(F.lit("k"), n, F.lit(".txt"))).otherwise(F.col("slug"))
+    head = F.concat(F.lit("---\nname: fact "), n, F.lit("\ntype: "), "type", F.lit("\ncreated: '"), "created", F.lit("'\ndomains: [x, "), "project", F.lit("]\nrecurrence: "), F.when(n % 4 == 3, "many").otherwise((n % 4).cast("string")), F.lit("\n---\n"))
+    raw = f.select(F.concat(F.lit("/m/"), "project", F.lit("/"), name).alias("path"), F.concat(head, "body").cast("binary").alias("content"))
+    rows = files.parse_facts(raw, "p")
+    return rows.select("path", "slug", "name", "type", "created", "status", F.array_join("domains", "/").alias("domains"), "recurrence", "content_sha", F.md5("body").alias("body"))
+
+
 @query
 def transcript_text(s, d):
     return B.transcript_text(bind.transcripts(s, d))

@@ -67,21 +67,25 @@ def parse_frontmatter(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"fm": [p[0] for p in parsed], "body": [p[1] for p in parsed]})
 
 
-def read_facts(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """Fact rows of the ``*.md`` files directly in a folder, without ``MEMORY.md``; none if there are no such files."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
-    raw = raw.select(F.substring_index("path", "/", -1).alias("slug"), "path", "content").filter("slug <> 'MEMORY.md'")
-    rows = raw.withColumn("p", parse_frontmatter(F.col("content").cast("string")))
+def parse_facts(raw: DataFrame, project: str) -> DataFrame:
+    """Fact rows of files (path, content): the ``*.md`` ones, without ``MEMORY.md``."""
+    rows = raw.select(F.substring_index("path", "/", -1).alias("slug"), "path", "content").filter("endswith(slug, '.md') and slug <> 'MEMORY.md'")
+    rows = rows.withColumn("p", parse_frontmatter(F.col("content").cast("string")))
     get = lambda k: F.coalesce(F.col("p.fm")[k], F.lit(""))
     return rows.select(
         "slug", "path", *[get(k).alias(k) for k in ("name", "description", "type", "created", "status", "skill")],
         *[parse_list(get(k)).alias(k) for k in ("keywords", "domains", "evidence")],
         get("precision_class").alias("precision_class"),
-        F.coalesce(get("recurrence").try_cast("bigint"), F.lit(0).cast("bigint")).alias("recurrence"),
-        F.sha2("content", 256).alias("content_sha"), F.col("p.body").alias("body"), F.lit(project).alias("project"),
+        F.coalesce(F.when(get("recurrence").rlike(r"^[+-]?\d{1,18}$"), get("recurrence").try_cast("bigint")), F.lit(0).cast("bigint")).alias("recurrence"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"), F.col("p.body").alias("body"), F.lit(project).alias("project"),
     )
 
 
+def read_facts(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """Fact rows of the files directly in a folder; none if there are no such files."""
+    return parse_facts(spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path), project)
+
+
 def scope_union(own: DataFrame, shared: DataFrame) -> DataFrame:
     """Facts of a project and of the global store together."""
     return own.unionByName(shared.withColumn("project", F.lit("global")))
