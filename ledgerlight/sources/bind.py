@@ -40,15 +40,13 @@ def wal(spark: SparkSession, sf_dir: str, malformed: bool = False, timed: bool =
         *(["ts"] if timed else []),
     )
     e = e.join(F.broadcast(owner), "k", "left")  # 25 rows at most
-    base_event = F.when(F.col("u") == 7, "inject").otherwise(
-        F.create_map(*[F.lit(x) for p in (("view", "inject"), ("click", "trigger-useful"), ("error", "trigger-silent"), ("purchase", "outcome-positive"), ("signup", "outcome-negative")) for x in p])[F.col("event_type")]
-    )
-    bare = F.concat(F.lit("k"), "k")
-    qs = F.concat("source", F.lit("\x1f"), bare)
-    base_target = F.when(F.col("line_no") % 4 != 0, F.concat(qs, F.lit(".md"))).otherwise(bare)
-    session = F.concat(F.lit("s"), "u", F.lit("-"), "date")
+    # Parts that the rules share are columns of their own, so that the chain of rules stays small.
+    kinds = F.create_map(*[F.lit(x) for p in (("view", "inject"), ("click", "trigger-useful"), ("error", "trigger-silent"), ("purchase", "outcome-positive"), ("signup", "outcome-negative")) for x in p])
+    e = e.withColumns({"bare": F.concat(F.lit("k"), "k"), "base_session": F.concat(F.lit("s"), "u", F.lit("-"), "date"), "metrics": F.concat(F.lit("error_count:"), F.col("u") % 4, F.lit(",tool_calls:"), "k", F.lit(",duration:60s"))})
+    e = e.withColumns({"base_event": F.when(F.col("u") == 7, "inject").otherwise(kinds[F.col("event_type")]), "qs": F.concat("source", F.lit("\x1f"), "bare")})
+    e = e.withColumn("base_target", F.when(F.col("line_no") % 4 != 0, F.concat("qs", F.lit(".md"))).otherwise(F.col("bare")))
     r, u, k = F.col("r"), F.col("u"), F.col("k")
-    metrics = F.concat(F.lit("error_count:"), u % 4, F.lit(",tool_calls:"), k, F.lit(",duration:60s"))
+    base_event, base_target, session, bare, qs, metrics = (F.col(c) for c in ("base_event", "base_target", "base_session", "bare", "qs", "metrics"))
     rules = [
         (r == 0, "inject-agg", base_target, (1 + u % 20).cast("string")),
         (r == 1, "recall", base_target, session),
@@ -73,18 +71,18 @@ def wal(spark: SparkSession, sf_dir: str, malformed: bool = False, timed: bool =
             (r == 30, "Bad Event", base_target, session),
             (r == 31, base_event, base_target, F.lit("")),
         ]
-    def value(x: Column | str) -> Column:
-        return x if isinstance(x, Column) else F.lit(x)
 
-    def row(event: Column | str, target: Column, session_: Column) -> Column:
-        return F.struct(value(event).alias("event"), value(target).alias("target"), value(session_).alias("session"))
+    def chained(part: int, otherwise: Column) -> Column:
+        out = F
+        for rule in rules:
+            value = rule[part]
+            out = out.when(rule[0], value if isinstance(value, Column) else F.lit(value))
+        return out.otherwise(otherwise)
 
-    chain = F
-    for when, *what in rules:
-        chain = chain.when(when, row(*what))
     date = F.when(r == 29, F.lit("2024/01/02")).otherwise(F.col("date")) if malformed else F.col("date")
-    # inline() makes the chain's result plain columns, so that later expressions don't repeat it.
-    return e.select("line_no", date.alias("date"), *(["ts"] if timed else []), F.inline(F.array(chain.otherwise(row(base_event, base_target, session)))))
+    # inline() makes the results plain columns, so that later expressions don't repeat the chains.
+    row = F.struct(chained(1, base_event).alias("event"), chained(2, base_target).alias("target"), chained(3, session).alias("session"))
+    return e.select("line_no", date.alias("date"), *(["ts"] if timed else []), F.inline(F.array(row)))
 
 
 def wal_lines(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
