@@ -218,7 +218,7 @@ def recall_render(requests: DataFrame, recalled: DataFrame, facts: DataFrame, ar
     term with it, by project (the own one first) and slug.
     """
     rows = recalled.join(facts.select("slug", "project", "name", "description", "body", "path"), ["slug", "project"])
-    number = F.format_string("%.2f", F.col("score"))
+    number = F.call_function("format_number", F.col("score"), F.lit("0.00"))  # ties go to the even digit
     stale = F.when(F.col("status") == "stale", " [stale]").otherwise("")
     title = F.when(F.coalesce("name", F.lit("")) == "", F.col("slug")).otherwise(F.col("name"))
     kind = F.when(F.coalesce("type", F.lit("")) == "", "note").otherwise(F.col("type"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import log as L
+from ..sources import versions
 
 
 def counters(log: DataFrame) -> DataFrame:
@@ -25,11 +26,27 @@ def counters(log: DataFrame) -> DataFrame:
 
 
 def start_counters(stream: DataFrame, name: str, checkpoint: str | None = None):
-    """Start the fold of a streaming log (line_no, date, event, target, session) into the in-memory table ``name``."""
+    """Start the fold of a streaming log (line_no, date, event, target, session) into the in-memory table ``name``, for looking at small logs."""
     writer = counters(L.keyed(stream)).writeStream.outputMode("complete").format("memory").queryName(name)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def keep_counters(stream: DataFrame, path: str, checkpoint: str):
+    """Start the fold of a streaming log into the versioned table at ``path``.
+
+    A batch brings the new totals of the keys that it changed; these replace the
+    old ones, and only buckets that hold such a key are written.  A batch that is tried again changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if versions.latest(spark, path) is None:
+            versions.replace(batch.limit(0), path, ["key"])
+        versions.upsert(spark, path, batch.withColumn("deleted", F.lit(False)), f"counters-{number}")
+
+    return counters(L.keyed(stream)).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+
 def deduplicated(stream: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
     """The stream's rows once each, among those at most ``delay`` late."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["date", "event", "target", "session"])

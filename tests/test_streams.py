@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import log as L
 from ledgerlight.operators import sessions as S
 from ledgerlight.sources import versions
+from ledgerlight.streaming import fold
 from ledgerlight.streaming import sessions as T
 
 LOG = "line_no bigint, ts timestamp, date string, event string, target string, session string"
@@ -114,3 +116,22 @@ def test_a_useful_verdict_takes_a_silent_one_back(spark, tmp_path, first, then,
     name = f"changes_{first}_{then}".replace("-", "_")
     played(spark, tmp_path, [(0, first, "k", "s"), (1, then, "k", "s")], lambda stream: T.verdict_changes(stream).writeStream.format("memory").queryName(name).outputMode("update").start(), parts=2)
     assert [(r["pos"], r["neg"]) for r in spark.table(name).collect()] == want
+
+
+def test_counters_are_kept_in_a_table(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(i, r.choice(["inject", "recall", "outcome-positive", "outcome-negative", "inject-agg"]), f"k{r.randrange(40)}", str(r.randrange(3))) for i in range(160)]
+    path = f"file://{tmp_path}/counters"
+    played(spark, tmp_path, rows, lambda stream: fold.keep_counters(stream, path, f"{tmp_path}/ck"))
+    columns = ["key", "injects", "pos", "neg", "created", "last_inject"]
+    want = L.aggregates(L.keyed(log_of(spark, [*rows, (24 * 60, "other", "x", "end")]))).select(columns).collect()
+    assert sorted(map(str, versions.read(spark, path).select(columns).collect())) == sorted(map(str, want))
+    # A version for each batch that changed something, and one before the first.
+    assert versions.latest(spark, path) >= 4
+
+
+def test_repeated_rows_pass_once(spark, tmp_path):
+    rows = [(0, "inject", "k", "s"), (1, "inject", "k", "s"), (2, "inject", "k", "t"), (3, "recall", "k", "s"), (20, "inject", "k", "s"), (100, "inject", "k", "s")]
+    played(spark, tmp_path, rows, in_memory("once", lambda stream: fold.deduplicated(stream, "ts", "36 hours")), parts=3)
+    got = sorted((r["date"], r["event"], r["session"]) for r in spark.table("once").filter("session <> 'end'").collect())
+    assert got == [("2024-03-01", "inject", "s"), ("2024-03-01", "inject", "t"), ("2024-03-01", "recall", "s"), ("2024-03-05", "inject", "s")]
