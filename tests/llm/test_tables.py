@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.orc
 import pytest
 
-from ledgerlight.llm import audit, queries, tokenfile
+from ledgerlight.llm import audit, queries, sharding, tokenfile
 from ledgerlight.llm.runtime import new_path
 
 from ..conftest import DATA
@@ -182,3 +182,21 @@ def test_token_file_query_equals_the_tokenizer(spark):
         want.append((i, at, *digest(ids)))
         at += len(ids)
     assert sorted(map(tuple, queries.op12_token_files(spark, DATA).collect())) == want
+
+
+# --- shards ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards_equal_plain_prefix_sums(spark, shards):
+    rows = [(i * 7 % 101, "é" * (i * 37 % 300)) for i in range(250)] + [(None, None), (None, "x"), (5, "dup"), (5, "dup")] + [(9, "hot")] * 90 + [(50, "long " * 4000)]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, zlib.crc32((rows[k][1] or "").encode()), k))
+    sizes = [len((rows[k][1] or "").encode()) + sharding.ROW_BYTES for k in order]
+    total, before, slots, want = sum(sizes), 0, {}, []
+    for k, size in zip(order, sizes):
+        shard = min(shards - 1, (2 * before + size) * shards // (2 * total))
+        slots[shard] = slots.get(shard, -1) + 1
+        want.append((rows[k][0], size, zlib.crc32((rows[k][1] or "").encode()), shard, slots[shard]))
+        before += size
+    got = sharding.shard_by_bytes(H.documents(spark, rows).coalesce(1), shards).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
