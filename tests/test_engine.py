@@ -266,3 +266,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     columns = ["key", "injects", "pos", "neg", "created", "last_inject"]
     assert sorted(map(tuple, spark.table("folded").select(columns).collect())) == sorted(map(tuple, L.aggregates(L.keyed(whole)).select(columns).collect()))
+
+
+def test_shared_facts_are_classified_without_a_text_per_row(spark):
+    """Each session with all facts of its share: as the plain form has it, and no row of a fact takes a text along."""
+    r = random.Random(3)
+    pieces = ["did it", "Élan", "k1", "k12", "fix 𝄞 note", "x", "a longer phrase than the windows are", "no"]
+    texts = [(f"c{i}", " ".join(r.choice(pieces) for _ in range(r.randrange(6))).upper()) for i in range(30)] + [("c30", "ab" * 70000 + "fix 𝄞 note" + "ba" * 70000), ("c31", None)]
+    sessions = [(f"c{i}", i % 3) for i in range(34)] + [("c40", 9)]
+    facts = [(i % 4, f"k{i}.md", r.choice([*pieces, "", None]), r.choice([[r.choice(pieces)], [""], [], [r.choice(pieces), None], None])) for i in range(60)] + [(0, ".md", "", [])]
+    t, c = spark.createDataFrame(texts, "session string, text string"), spark.createDataFrame(sessions, "session string, share bigint")
+    f = spark.createDataFrame(facts, "share bigint, slug string, name string, evidence array<string>")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    got = B.classify_shared(t, c, f)
+    want = rows(B.classify(t, c.join(f, "share").select("session", "slug", "name", "evidence")))
+    assert rows(got) == want and 0 < sum(u for *_, u in want) < len(want)
