@@ -281,3 +281,6 @@ def test_shared_facts_are_classified_without_a_text_per_row(spark):
     got = B.classify_shared(t, c, f)
     want = rows(B.classify(t, c.join(f, "share").select("session", "slug", "name", "evidence")))
     assert rows(got) == want and 0 < sum(u for *_, u in want) < len(want)
+    d = spark.createDataFrame([("c0", 1)], "session string, errors bigint").selectExpr("session", "errors", "errors AS tool_calls", "errors AS seconds")
+    all_facts = f.withColumn("status", F.lit("candidate"))
+    assert rows(B.close_events(got, all_facts, d, "2024-01-01", B.useful_shared(t, c, f))) == rows(B.close_events(got, all_facts, d, "2024-01-01"))
