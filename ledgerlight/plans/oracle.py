@@ -251,7 +251,7 @@ FROM (SELECT *, concat_ws('|', date, event, target, session) AS v FROM wal) GROU
     "overlap": with_(FACTS, REQUESTS, TERMS, KEYWORD, OVERLAP, select="SELECT query_id, slug, overlap FROM over"),
     "keyword_tf": with_(FACTS, KEYWORD, select="SELECT slug, project, term, weight FROM keyword"),
     "rank_topk": with_(RANKED, select="SELECT query_id, rank, slug, project, overlap, round(score, 6) AS score FROM ranked WHERE rank <= 8"),
-    "score": with_(RANKED, select="SELECT query_id, slug, project, overlap, round(score, 6) AS score FROM scored WHERE overlap > 0"),
+    "score": with_(RANKED, select="SELECT query_id, slug, project, overlap, round(score, 6) AS score FROM scored"),
     "recency": with_(ALL, select=f"SELECT slug, project, round({recency('last_injected', 'created', _T)}, 6) AS recency FROM proj"),
     "effectiveness": with_(ALL, select="SELECT slug, project, round(effectiveness, 6) AS effectiveness FROM proj"),
     "inject_topk": with_(RANKED, select="""SELECT query_id, slug, project, CASE WHEN held THEN 'skipped' WHEN CAST(regexp_extract(slug, '\\d+') AS BIGINT) % 7 = 2 THEN 'repeated' ELSE 'delivered' END AS outcome
