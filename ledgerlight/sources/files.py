@@ -6,7 +6,7 @@ import time
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,6 @@ from ..functions.text import parse_list
 from ..schema import TAIL_BYTES
 from . import versions
 
-PARSED = T.StructType([T.StructField("fm", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType())])
-
 
 def read_log(spark: SparkSession, path: str, one_log: bool = False) -> DataFrame:
     """(line_no, value): lines in physical order, numbered from 1 in each file, or through all files in order of their names if they are ``one_log``.
@@ -61,10 +59,22 @@ def split_frontmatter(content: str) -> tuple[dict[str, str], str]:
     return found, "\n".join(lines[closing + 1 :]).strip()
 
 
-@F.pandas_udf(PARSED)
-def parse_frontmatter(content: pd.Series) -> pd.DataFrame:
-    parsed = [split_frontmatter(c or "") for c in content]
-    return pd.DataFrame({"fm": [p[0] for p in parsed], "body": [p[1] for p in parsed]})
+#: A leading block with its closing line and what ends that; white space as Python's ``strip`` has it.
+_BLOCK, _SPACE = r"(?s)^\x{FEFF}?---.*?\n---[ \t\r]*(?:\n|\z)", r"\s\x1c-\x1f"
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _keys_of(block: pd.Series) -> pd.Series:
+    return pd.Series([split_frontmatter(b or "")[0] for b in block])
+
+
+def parse_frontmatter(content: Column) -> Column:
+    """``split_frontmatter`` of a column, as a struct of fm and body; only the block goes to Python, however long the text is."""
+    text = F.coalesce(content, F.lit(""))
+    block = F.regexp_extract(text, _BLOCK, 0)
+    rest = F.when(block == "", F.regexp_replace(text, r"^\x{FEFF}", "")).otherwise(F.substr(text, F.char_length(block) + 1))
+    body = F.regexp_replace(rest, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+\z", "")
+    return F.struct(_keys_of(block).alias("fm"), body.alias("body"))
 
 
 def parse_facts(raw: DataFrame, project: str) -> DataFrame:

@@ -215,6 +215,19 @@ def test_transcripts(spark):
     assert B.transcript_metrics(df).first().asDict() == {"session": "s", "tool_calls": 1, "errors": 1, "seconds": 120}
 
 
+def test_frontmatter_of_a_column(spark):
+    """As the plain form has it, and no text below the block is sent to Python."""
+    heads = ["", "\ufeff", "---\n", "\ufeff---x\r\na: 𝄞\r\n", "---\nname: b\nl:\n  - 'x'\n", "--\n", " ---\n"]
+    ends = ["", "---", "---\n", "--- \t\r\n", "---x\n", " ---\n", "---\n---\n"]
+    tails = ["", "body", "\u00a0\x1c\n body\u2003𝄞 \n---\nk: v\n\x1f", "line\n" * 30000]
+    texts = [h + e + t for h in heads for e in ends for t in tails] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["p"]["fm"], r["p"]["body"]) for r in df.select("i", files.parse_frontmatter(F.col("t")).alias("p")).collect()}
+    assert got == {i: files.split_frontmatter(t or "") for i, t in enumerate(texts)}
+    plan = df.select(files.parse_frontmatter(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_keys_of(" in plan and "_keys_of(t" not in plan and "_keys_of(coalesce" not in plan, plan
+
+
 def test_classify(spark):
     d = spark.createDataFrame([("s", "slug-a.md", "Nm", ["Did It"]), ("s", "b.md", "", [""]), ("t", "c.md", "c", [])], "session string, slug string, name string, evidence array<string>")
     t = spark.createDataFrame([("s", "we did it here")], "session string, text string")
