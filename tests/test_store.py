@@ -124,6 +124,16 @@ def test_best_matches_equal_all_pairs(spark, monkeypatch, at_least, rows):
     assert J.best_matches(n.limit(0), k, at_least).count() == 0
 
 
+def test_sides_are_prepared_once_for_all_blocks(spark, monkeypatch):
+    """The matches read stored sides: no plan of a block goes back to the texts."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 10)
+    texts = sentences(8, 60)
+    k = spark.createDataFrame([(f"m{i}", t, i) for i, t in enumerate(texts[:30])], "id string, cause string, ord bigint")
+    n = spark.createDataFrame([(i, t) for i, t in enumerate(texts[30:])], "new_id bigint, cause string")
+    plan = J.best_matches(n, k, 50.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1  # the new ids
+
+
 def test_few_pairs_are_verified(spark):
     """Of all pairs of the largest test tables, under one in a hundred reaches the subsequence function."""
     d = "/root/testdata/sf0.1"
